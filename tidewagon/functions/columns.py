@@ -10,8 +10,14 @@ from tidewagon.schemas import MINUTE_MS, ORDER_UNTRACKED, SLA_HOURS, SLA_RISK_MI
 ARRIVAL = ("timestamp", "seq")
 
 
-def arrival() -> Column:
-    return F.struct(*ARRIVAL)
+def last_of(fields: list, condition: Column | None = None) -> Column:
+    """Aggregate: the fields of the last event, or of the last that meets the condition (else null).
+
+    The fields are in ``<result>.fields``. The greatest struct that begins with the arrival order says
+    the same as ``max_by`` but keeps the order only once in its buffer.
+    """
+    event = F.struct(*ARRIVAL, F.struct(*fields).alias("fields"))
+    return F.max(event if condition is None else F.when(condition, event))
 
 
 def now_ms(clock: str | int) -> Column:

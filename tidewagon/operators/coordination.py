@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidewagon.functions.columns import arrival, sla_deadline
+from tidewagon.functions.columns import last_of, sla_deadline
 from tidewagon.operators.latest import order_state
 from tidewagon.schemas import SHIPMENT_CLOSED
 
@@ -16,9 +16,9 @@ PROGRESS = {"CREATED": 0, "PICKED": 1, "PACKED": 2, "DISPATCHED": 3, "IN_TRANSIT
 def shipment_latest(shipment_events: DataFrame) -> DataFrame:
     """Latest status and warehouse per shipment, and whether it ever had an exception."""
     return (shipment_events.groupBy("shipment_id").agg(
-        F.max_by(F.struct("warehouse_id", F.col("event_type").alias("status")), arrival()).alias("v"),
+        last_of(["warehouse_id", F.col("event_type").alias("status")]).alias("v"),
         F.bool_or(F.col("event_type") == "EXCEPTION").alias("had_exception"))
-        .select("shipment_id", "v.*", "had_exception"))
+        .select("shipment_id", "v.fields.*", "had_exception"))
 
 
 def order_shipment_links(order_status: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def order_shipment_links(order_status: DataFrame) -> DataFrame:
 def shipment_order_map(order_status: DataFrame) -> DataFrame:
     """Shipment to order: the order that named it last."""
     named = order_status.select("timestamp", "seq", "order_id", F.explode("shipment_ids").alias("shipment_id"))
-    return named.groupBy("shipment_id").agg(F.max_by("order_id", arrival()).alias("order_id"))
+    return (named.groupBy("shipment_id").agg(last_of(["order_id"]).alias("v"))
+            .select("shipment_id", "v.fields.order_id"))
 
 
 def order_rollup(order_status: DataFrame, shipment_events: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidewagon.functions.columns import arrival, count_where
+from tidewagon.functions.columns import count_where, last_of
 from tidewagon.schemas import SHIPMENT_EVENT_TYPES
 
 
@@ -40,5 +40,5 @@ def status_counts_total(shipment_events: DataFrame) -> DataFrame:
 
 def current_status_counts(shipment_events: DataFrame) -> DataFrame:
     """Number of shipments per latest status, what the name of the counts view suggests."""
-    latest = shipment_events.groupBy("shipment_id").agg(F.max_by("event_type", arrival()).alias("status"))
-    return latest.groupBy("status").agg(F.count("*").alias("shipment_count"))
+    latest = shipment_events.groupBy("shipment_id").agg(last_of(["event_type"]).alias("v"))
+    return latest.groupBy(F.col("v.fields.event_type").alias("status")).agg(F.count("*").alias("shipment_count"))

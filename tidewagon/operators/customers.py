@@ -20,12 +20,25 @@ SHIPMENT_CLAMPED = ["in_transit_count"]
 ORDER_PLAIN = ["total_orders", "cancelled_orders", "returned_orders"]
 ORDER_CLAMPED = ["pending_orders", "shipped_orders", "delivered_orders", "at_risk_orders"]
 
+_FAILED = 3 ** 4
 
-def _step(up: Column | None, down: Column | None) -> Column:
-    """+1 where ``up`` holds, -1 where ``down`` holds, otherwise 0."""
-    out = F.when(up, F.lit(1)) if up is not None else F
-    out = out.when(down, F.lit(-1)) if down is not None else out
-    return out.otherwise(F.lit(0)).cast("long")
+
+def _packed(pending: int = 0, shipped: int = 0, delivered: int = 0, at_risk: int = 0, failed: bool = False) -> int:
+    digits = (pending, shipped, delivered, at_risk)
+    return sum((d + 1) * 3 ** place for place, d in enumerate(digits)) + (_FAILED if failed else 0)
+
+
+# What each order status does to the counters. Taking a failed order from shipped is decided later.
+_ORDER_MOVES = {
+    "RECEIVED": _packed(pending=1),
+    "VALIDATED": _packed(),
+    "ALLOCATED": _packed(),
+    "SHIPPED": _packed(pending=-1, shipped=1),
+    "DELIVERED": _packed(shipped=-1, delivered=1, at_risk=-1),
+    "CANCELLED": _packed(pending=-1, at_risk=-1, failed=True),
+    "RETURNED": _packed(delivered=-1),
+    "PARTIAL_FAILURE": _packed(pending=-1, at_risk=-1, failed=True),
+}
 
 
 def _plain(events: DataFrame, state: DataFrame | None, counters: dict[str, Column]) -> DataFrame:
@@ -60,7 +73,8 @@ def shipment_stats_state(shipment_events: DataFrame, clock: str | int = "event",
         "on_time_count": (kind == "DELIVERED")
         & (F.col("timestamp") <= F.col("expected_delivery") + LATE_GRACE_MS)})
     moving = shipment_events.where(kind.isin("IN_TRANSIT", *SHIPMENT_CLOSED)).select(
-        _KEY, *ARRIVAL, _step(kind == "IN_TRANSIT", kind.isin(*SHIPMENT_CLOSED)).alias("in_transit_count"))
+        _KEY, *ARRIVAL,
+        F.when(kind == "IN_TRANSIT", 1).otherwise(-1).cast("long").alias("in_transit_count"))
     slices = ordered.reduce_slices(ordered.sliced(moving, _KEY, slice_ms), _KEY, SHIPMENT_CLAMPED)
     slices = ordered.with_state(slices, state, _KEY, SHIPMENT_CLAMPED)
     return _merge(plain, ordered.combine_slices(slices, _KEY, SHIPMENT_CLAMPED), SHIPMENT_CLAMPED)
@@ -93,20 +107,13 @@ def customer_order_stats(order_status: DataFrame, clock: str | int = "event",
         "cancelled_orders": failed,
         "returned_orders": status == "RETURNED"})
 
-    risky = ~status.isin(*ORDER_UNTRACKED) & minutes_to_sla(clock).between(0, SLA_RISK_MINUTES)
-    moves = F.lit(0)
-    for place, step in enumerate((
-            _step(status == "RECEIVED", failed | (status == "SHIPPED")),
-            _step(status == "SHIPPED", status == "DELIVERED"),
-            _step(status == "DELIVERED", status == "RETURNED"),
-            _step(risky, failed | (status == "DELIVERED")))):
-        moves = moves + (step + 1) * 3 ** place
     # One packed column (a base-3 digit per counter, then the failed flag), so that both passes below
-    # read the same narrow rows and share their shuffle.
-    packed = F.when(failed, moves + 81).otherwise(moves).cast("short")
-    unmoved = sum(3 ** place for place in range(4))
+    # read the same narrow rows and share their shuffle. Being at risk adds to the at-risk digit.
+    risky = ~status.isin(*ORDER_UNTRACKED) & minutes_to_sla(clock).between(0, SLA_RISK_MINUTES)
+    moves = F.create_map(*[F.lit(x) for kv in _ORDER_MOVES.items() for x in kv])[status]
+    moves = moves + F.when(risky, 3 ** 3).otherwise(0)
     steps = ordered.sliced(
-        order_status.select(_KEY, *ARRIVAL, packed.alias("moves")).where(F.col("moves") != unmoved),
+        order_status.select(_KEY, *ARRIVAL, moves.cast("short").alias("moves")).where(F.col("moves") != _packed()),
         _KEY, slice_ms)
     digit = lambda place: F.expr(f"cast(moves div {3 ** place} % 3 - 1 as bigint)")
     base = [_KEY, "slice", *ARRIVAL]
@@ -120,7 +127,7 @@ def customer_order_stats(order_status: DataFrame, clock: str | int = "event",
     # Pending before an event: the entering value plus the slice's sum so far, unless the clamp inside
     # the slice holds it higher.
     runs = ordered.with_run(
-        steps.select(*base, (F.col("moves") >= 81).alias("failed"), digit(0).alias("pending_step"),
+        steps.select(*base, (F.col("moves") >= _FAILED).alias("failed"), digit(0).alias("pending_step"),
                      digit(1).alias("shipped_orders")),
         _KEY, "pending_step")
     before = (F.col("pending_step_run") - F.col("pending_step")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidewagon.functions.columns import ARRIVAL
 from tidewagon.schemas import MINUTE_MS
 
-SLICE_MS = 5 * MINUTE_MS
+SLICE_MS = 15 * MINUTE_MS
 # Slice number of a stored state, before every slice of events.
 STATE_SLICE = -(1 << 62)
 

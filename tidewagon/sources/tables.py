@@ -6,9 +6,10 @@ Only the columns an operator uses reach the parquet scan, as everything here is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidewagon.functions.columns import padded
+from tidewagon.schemas import OPERATION_TYPES, ORDER_STATUSES, SLA_TIERS
 from tidewagon.sources import builders
 
 # The columns of the general event table; ``ts`` is declared as stored.
@@ -38,18 +39,22 @@ def base_events_stream(spark: SparkSession, folder: str, pattern: str = "events.
         .option("maxFilesPerTrigger", 64).parquet(folder))
 
 
-def _pick(column: str, *pairs: tuple, default: str | None = None):
+def _pick(column: str, *pairs: tuple, default: str) -> Column:
     """Simple value-to-value mapping of one column."""
-    out = None
+    out = F
     for value, result in pairs:
-        cond = F.expr(column) == F.lit(value)
-        out = F.when(cond, F.lit(result)) if out is None else out.when(cond, F.lit(result))
-    return out.otherwise(F.lit(default)) if default is not None else out
+        out = out.when(F.expr(column) == F.lit(value), F.lit(result))
+    return out.otherwise(F.lit(default))
 
 
-def _warehouse():
-    return _pick("user_id % 5", (0, "WH-RTM"), (1, "WH-FRA"), (2, "WH-BCN"), (3, "WH-WAW"),
-                 default="WH-STO")
+def _nth(index: str, *values: str) -> Column:
+    """The value at a position counted from 0."""
+    items = ", ".join(f"'{v}'" for v in values)
+    return F.expr(f"array({items})[cast({index} as int)]")
+
+
+def _warehouse() -> Column:
+    return _nth("user_id % 5", *builders.SITE_CODES)
 
 
 def shipment_events_from(ev: DataFrame) -> DataFrame:
@@ -57,24 +62,22 @@ def shipment_events_from(ev: DataFrame) -> DataFrame:
         case event_type when 'signup' then 'CREATED' when 'purchase' then 'DELIVERED'
           when 'view' then 'IN_TRANSIT'
           when 'error' then case when seq % 4 = 0 then 'CANCELLED' else 'EXCEPTION' end
-          else case seq % 4 when 0 then 'PICKED' when 1 then 'PACKED' when 2 then 'DISPATCHED'
-               else 'OUT_FOR_DELIVERY' end end""")
+          else array('PICKED', 'PACKED', 'DISPATCHED', 'OUT_FOR_DELIVERY')[cast(seq % 4 as int)] end""")
     return ev.select(
         "seq",
         F.expr("concat('SH-', cast(user_id as string), '-', cast(seq % 7 as string))").alias("shipment_id"),
         _warehouse().alias("warehouse_id"),
         padded("CUST-", F.col("user_id"), 4).alias("customer_id"),
         F.expr("ts_ms + ((seq * 37) % 121 - 60) * 60000").alias("expected_delivery"),
-        _pick("user_id % 4", (0, "Berlin"), (1, "Paris"), (2, "Madrid"), default="Oslo").alias("destination_city"),
-        _pick("user_id % 4", (0, "Germany"), (1, "France"), (2, "Spain"), default="Norway").alias("destination_country"),
+        _nth("user_id % 4", "Berlin", "Paris", "Madrid", "Oslo").alias("destination_city"),
+        _nth("user_id % 4", "Germany", "France", "Spain", "Norway").alias("destination_country"),
         event_type.alias("event_type"),
         F.col("ts_ms").alias("timestamp"),
     )
 
 
 def order_status_from(ev: DataFrame) -> DataFrame:
-    statuses = _pick("seq * 31 % 8", (0, "RECEIVED"), (1, "VALIDATED"), (2, "ALLOCATED"), (3, "SHIPPED"),
-                     (4, "DELIVERED"), (5, "CANCELLED"), (6, "RETURNED"), default="PARTIAL_FAILURE")
+    statuses = _nth("seq * 31 % 8", *ORDER_STATUSES)
     return ev.select(
         "seq",
         padded("ORD-", F.expr("user_id * 5 + seq % 5"), 5).alias("order_id"),
@@ -113,8 +116,7 @@ def vehicle_telemetry_from(ev: DataFrame) -> DataFrame:
 
 
 def warehouse_operations_from(ev: DataFrame) -> DataFrame:
-    operation = _pick("seq % 7", (0, "RECEIVING"), (1, "PUTAWAY"), (2, "PICK"), (3, "PACK"), (4, "LOAD"),
-                      (5, "INVENTORY_ADJUSTMENT"), default="CYCLE_COUNT")
+    operation = _nth("seq % 7", *OPERATION_TYPES)
     return ev.select(
         "seq",
         F.expr("concat('WOP-', cast(seq as string))").alias("event_id"),
@@ -136,7 +138,7 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
         padded("CUST-", F.col("c_custkey"), 4).alias("customer_id"),
         F.col("c_name").alias("company_name"),
         F.expr("concat(lower(c_mktsegment), cast(c_custkey as string), '@example.com')").alias("contact_email"),
-        _pick("c_nationkey % 4", (0, "STANDARD"), (1, "EXPRESS"), (2, "SAME_DAY"), default="CRITICAL").alias("sla_tier"),
+        _nth("c_nationkey % 4", *SLA_TIERS).alias("sla_tier"),
         F.expr("case when c_acctbal < 0 then 'SUSPENDED' else 'ACTIVE' end").alias("account_status"),
     )
 
