@@ -2,8 +2,9 @@
 
 Times are epoch millis. On a batch frame the windows are plain arithmetic on the event time; on a
 stream they use ``window`` with a watermark, whose delay is the grace period of the view. A watermark
-moves once per micro-batch and for the whole query, so which late rows are dropped can differ from an
-engine that moves its clock per record; for input in order the results are the same.
+moves once per micro-batch and for the whole query, and lateness is judged by its value one batch
+before, so a late row can still count where an engine that moves its clock per record would drop it;
+for input in order the results are the same.
 """
 
 from __future__ import annotations
