@@ -203,7 +203,7 @@ def test_order_rollup(spark):
 def test_lifecycle_violations_across_slices(spark, slice_ms):
     path = ["CREATED", "PICKED", "DISPATCHED", "IN_TRANSIT", "EXCEPTION", "EXCEPTION", "OUT_FOR_DELIVERY", "DELIVERED", "CREATED"]
     df = shipments(spark, [{"event_type": e, "timestamp": T0 + i * MIN // 2} for i, e in enumerate(path)])
-    assert rows(quality.lifecycle_violations(df, slice_ms), "seq", "from_status", "to_status") == [
+    assert rows(quality.lifecycle_violations(df, slice_ms, 0), "seq", "from_status", "to_status") == [
         (2, "PICKED", "DISPATCHED"), (8, "DELIVERED", "CREATED")]
 
 

@@ -128,6 +128,15 @@ def test_late_operations_have_no_grace(spark, tmp_path):
     assert windows.last_windows(out, T0 + 20 * MIN, n=1).count() == 1
 
 
+def test_compaction_can_drop_windows_past_their_retention(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    df = operations(spark, [{"timestamp": T0}, {"timestamp": T0 + 600 * MIN}])
+    _write_parts(df, folder, [(0, 2)])
+    source = streams.file_events(spark, "warehouse_operations", folder, streaming=True)
+    out = _run(spark, "warehouse_metrics", source, tmp_path, compact_every=1, retention_ms=360 * MIN)
+    assert rows(out, "window_start") == [(T0 + 600 * MIN,)]
+
+
 def test_an_older_event_in_a_later_batch_folds_on_arrival(spark, tmp_path):
     folder = str(tmp_path / "in")
     df = orders(spark, [{"status": "RECEIVED", "timestamp": T0 + 10 * MIN}, {"status": "CANCELLED", "timestamp": T0}])

@@ -61,7 +61,8 @@ def _merge(plain: DataFrame, clamped: DataFrame, names: list[str]) -> DataFrame:
 
 
 def shipment_stats_state(shipment_events: DataFrame, clock: str | int = "event",
-                         state: DataFrame | None = None, slice_ms: int = ordered.SLICE_MS) -> DataFrame:
+                         state: DataFrame | None = None, slice_ms: int = ordered.SLICE_MS,
+                         heavy_events: int = ordered.HEAVY_EVENTS) -> DataFrame:
     """``customer_shipment_stats`` plus ``on_time_count`` (delivered no later than the grace period)."""
     kind = F.col("event_type")
     plain = _plain(shipment_events, state, {
@@ -75,24 +76,26 @@ def shipment_stats_state(shipment_events: DataFrame, clock: str | int = "event",
     moving = shipment_events.where(kind.isin("IN_TRANSIT", *SHIPMENT_CLOSED)).select(
         _KEY, *ARRIVAL,
         F.when(kind == "IN_TRANSIT", 1).otherwise(-1).cast("long").alias("in_transit_count"))
-    slices = ordered.reduce_slices(ordered.sliced(moving, _KEY, slice_ms), _KEY, SHIPMENT_CLAMPED)
+    slices = ordered.reduce_slices(ordered.sliced(moving, _KEY, slice_ms, heavy_events), _KEY, SHIPMENT_CLAMPED)
     slices = ordered.with_state(slices, state, _KEY, SHIPMENT_CLAMPED)
     return _merge(plain, ordered.combine_slices(slices, _KEY, SHIPMENT_CLAMPED), SHIPMENT_CLAMPED)
 
 
 def customer_shipment_stats(shipment_events: DataFrame, clock: str | int = "event",
-                            slice_ms: int = ordered.SLICE_MS) -> DataFrame:
+                            slice_ms: int = ordered.SLICE_MS,
+                         heavy_events: int = ordered.HEAVY_EVENTS) -> DataFrame:
     """Shipment counters per customer.
 
     ``in_transit_count`` rises on IN_TRANSIT and falls on DELIVERED and CANCELLED, never below 0 at
     any step; an EXCEPTION leaves it. ``late_count`` counts open *events* past the expected delivery,
     without grace.
     """
-    return shipment_stats_state(shipment_events, clock, None, slice_ms).drop("on_time_count")
+    return shipment_stats_state(shipment_events, clock, None, slice_ms, heavy_events).drop("on_time_count")
 
 
 def customer_order_stats(order_status: DataFrame, clock: str | int = "event",
-                         state: DataFrame | None = None, slice_ms: int = ordered.SLICE_MS) -> DataFrame:
+                         state: DataFrame | None = None, slice_ms: int = ordered.SLICE_MS,
+                         heavy_events: int = ordered.HEAVY_EVENTS) -> DataFrame:
     """Order counters per customer, every one floored at 0 at each step.
 
     A CANCELLED or PARTIAL_FAILURE takes from pending, or from shipped when nothing is pending, so
@@ -114,7 +117,7 @@ def customer_order_stats(order_status: DataFrame, clock: str | int = "event",
     moves = moves + F.when(risky, 3 ** 3).otherwise(0)
     steps = ordered.sliced(
         order_status.select(_KEY, *ARRIVAL, moves.cast("short").alias("moves")).where(F.col("moves") != _packed()),
-        _KEY, slice_ms)
+        _KEY, slice_ms, heavy_events)
     digit = lambda place: F.expr(f"cast(moves div {3 ** place} % 3 - 1 as bigint)")
     base = [_KEY, "slice", *ARRIVAL]
 

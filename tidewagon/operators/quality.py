@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidewagon import schemas as s
-from tidewagon.operators.ordered import SLICE_MS, adjacent_pairs
+from tidewagon.operators.ordered import HEAVY_EVENTS, SLICE_MS, adjacent_pairs
 
 # Status changes a shipment may make.
 ALLOWED_CHANGES = (
@@ -39,10 +39,11 @@ FOREIGN_KEYS = (
 UNIQUE = (("products", "sku"),)
 
 
-def lifecycle_violations(shipment_events: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
+def lifecycle_violations(shipment_events: DataFrame, slice_ms: int = SLICE_MS,
+                         heavy_events: int = HEAVY_EVENTS) -> DataFrame:
     """Status changes outside the shipment life cycle. The first event of a shipment is no change."""
     change = F.concat_ws(">", "previous", "event_type")
-    pairs = adjacent_pairs(shipment_events, "shipment_id", "event_type", slice_ms)
+    pairs = adjacent_pairs(shipment_events, "shipment_id", "event_type", slice_ms, heavy_events)
     return (pairs.where(F.col("previous").isNotNull() & ~change.isin(*[f"{a}>{b}" for a, b in ALLOWED_CHANGES]))
             .select("shipment_id", "seq", "timestamp", F.col("previous").alias("from_status"),
                     F.col("event_type").alias("to_status")))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewagon.functions.columns import count_where
 from tidewagon.schemas import (
-    HOUR_MS, LATE_GRACE_MS, MINUTE_MS, NEWEST_WINDOWS, OPERATION_TYPES, RETENTION_MS,
+    DAY, DAY_MS, HOUR_MS, LATE_GRACE_MS, MINUTE_MS, NEWEST_WINDOWS, OPERATION_TYPES, RETENTION_MS,
 )
 
 PERFORMANCE_SIZE_MS = HOUR_MS
@@ -107,8 +107,13 @@ def within_retention(events: DataFrame, as_of: Column | int) -> DataFrame:
     """Events that can belong to a window starting in the retention period before ``as_of``.
 
     A window holds no event before its start, so this narrows the scan without changing any of them.
+    Of events stored by day only the days concerned are listed.
     """
-    return events.where(F.col("timestamp") >= as_of - F.lit(RETENTION_MS))
+    earliest = as_of - F.lit(RETENTION_MS)
+    recent = events.where(F.col("timestamp") >= earliest)
+    if DAY in events.columns:
+        recent = recent.where(F.datediff(F.col(DAY), F.lit("1970-01-01").cast("date")) >= F.floor(earliest / DAY_MS))
+    return recent
 
 
 def last_windows(view: DataFrame, as_of: Column | int, n: int = NEWEST_WINDOWS,

@@ -34,12 +34,16 @@ ORDER_UNTRACKED = ("DELIVERED", "CANCELLED", "RETURNED", "PARTIAL_FAILURE")
 VEHICLE_ACTIVE = ("EN_ROUTE", "LOADING", "UNLOADING")
 MINUTE_MS = 60_000
 HOUR_MS = 60 * MINUTE_MS
+DAY_MS = 24 * HOUR_MS
 LATE_GRACE_MS = 30 * MINUTE_MS
 SLA_RISK_MINUTES = 60
 SLA_HIGH_MINUTES = 30
 RETENTION_MS = 6 * HOUR_MS
 NEWEST_WINDOWS = 4
 
+# Partition column of stored events: the UTC day.
+DAY = "day"
+
 # Hours granted per order priority.
 SLA_HOURS = {"STANDARD": 120, "EXPRESS": 48, "SAME_DAY": 12, "CRITICAL": 4}
 

@@ -6,7 +6,9 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidewagon.schemas import REFERENCE, STREAM_ENUMS, STREAMS
+from tidewagon.schemas import DAY, DAY_MS, REFERENCE, STREAM_ENUMS, STREAMS
+
+FILES_PER_DAY = 64
 
 _AVRO_PRIMITIVES = {T.StringType(): "string", T.LongType(): "long", T.IntegerType(): "int",
                     T.DoubleType(): "double"}
@@ -14,10 +16,24 @@ _AVRO_PRIMITIVES = {T.StringType(): "string", T.LongType(): "long", T.IntegerTyp
 _NULLABLE = {("warehouse_operations", "shipment_id")}
 
 
+def write_events(events: DataFrame, folder: str, mode: str = "append") -> None:
+    """Store events as parquet in one folder per UTC day, so that reads by time list only their days.
+
+    A day is spread over many files by a hash of time and order, as a day or a key may be large.
+    """
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("timestamp") / DAY_MS).cast("int"))
+    events.withColumn(DAY, day).repartition(DAY, F.pmod(F.xxhash64("timestamp", "seq"), F.lit(FILES_PER_DAY))) \
+        .write.mode(mode).partitionBy(DAY).parquet(folder)
+
+
 def file_events(spark: SparkSession, name: str, folder: str, file_format: str = "parquet",
-                streaming: bool = False, files_per_trigger: int = 64) -> DataFrame:
-    """Events of one stream from files that carry the declared columns and ``seq``."""
-    schema = T.StructType(list(STREAMS[name][2].fields) + [T.StructField("seq", T.LongType())])
+                streaming: bool = False, files_per_trigger: int = 64, by_day: bool = False) -> DataFrame:
+    """Events of one stream from files that carry the declared columns and ``seq``.
+
+    ``by_day`` adds the ``day`` column of folders written by ``write_events``.
+    """
+    extra = [T.StructField("seq", T.LongType())] + ([T.StructField(DAY, T.DateType())] if by_day else [])
+    schema = T.StructType(list(STREAMS[name][2].fields) + extra)
     if streaming:
         return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
                 .format(file_format).load(folder))

@@ -8,6 +8,8 @@ complete, which is when Spark has written their ``_SUCCESS`` marker.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewagon.functions.columns import iso_utc
@@ -54,17 +56,24 @@ def read_view(spark: SparkSession, path: str, keys: list[str], before: int | Non
             .select(*keys, "v.*"))
 
 
-def compact(spark: SparkSession, path: str, keys: list[str], upto: int, keep: Column | None = None) -> None:
+def newest(retention_ms: int) -> Callable[[DataFrame], Column]:
+    """Keep the windows that start no longer than the retention before the newest one."""
+    start = F.col("window_start")
+    return lambda rows: start >= rows.agg(F.max("window_start")).scalar() - F.lit(retention_ms)
+
+
+def compact(spark: SparkSession, path: str, keys: list[str], upto: int,
+            keep: Callable[[DataFrame], Column] | None = None) -> None:
     """Write the latest rows as a new base, then drop what the previous base already covered.
 
     One earlier base and its changes stay, for readers that have just listed the folders. ``keep``
-    drops rows past their retention.
+    gives the condition for rows to be kept, such as ``newest``.
     """
     rows = read_view(spark, path, keys, before=upto + 1)
     if rows is None:
         return
     earlier = [n for n in _complete(spark, f"{path}/base", "upto") if n < upto]
-    (rows if keep is None else rows.where(keep)).write.mode("overwrite").parquet(f"{path}/base/upto={upto}")
+    (rows if keep is None else rows.where(keep(rows))).write.mode("overwrite").parquet(f"{path}/base/upto={upto}")
     if not earlier:
         return
     fs, _, hadoop = _files(spark, path)

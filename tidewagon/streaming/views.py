@@ -54,9 +54,12 @@ VIEWS = {
 
 
 def run_view(name: str, events: DataFrame, path: str, checkpoint: str, clock: str | int = "event",
-             compact_every: int = COMPACT_EVERY, trigger: dict | None = None) -> StreamingQuery:
+             compact_every: int = COMPACT_EVERY, retention_ms: int | None = None,
+             trigger: dict | None = None) -> StreamingQuery:
     """Start maintaining a view from its event stream. Several views may read the same stream.
 
+    ``retention_ms`` lets compaction drop old windows of a windowed view.
+
     The checkpoint makes the offsets, and the per-batch folders make the output, repeatable: together
     every event counts once.
     """
@@ -65,7 +68,8 @@ def run_view(name: str, events: DataFrame, path: str, checkpoint: str, clock: st
 
     def keep_up(batch_id: int, rows: DataFrame) -> None:
         if (batch_id + 1) % compact_every == 0:
-            store.compact(rows.sparkSession, path, view.keys, batch_id)
+            keep = None if retention_ms is None else store.newest(retention_ms)
+            store.compact(rows.sparkSession, path, view.keys, batch_id, keep)
 
     def write(rows: DataFrame, batch_id: int) -> None:
         store.write_changes(rows, batch_id, path)
