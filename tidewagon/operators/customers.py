@@ -14,10 +14,7 @@ from tidewagon.operators import ordered
 from tidewagon.schemas import LATE_GRACE_MS, ORDER_UNTRACKED, SHIPMENT_CLOSED, SLA_RISK_MINUTES
 
 _KEY = "customer_id"
-SHIPMENT_PLAIN = ["total_shipments", "delivered_count", "late_count", "cancelled_count",
-                  "exception_count", "on_time_count"]
 SHIPMENT_CLAMPED = ["in_transit_count"]
-ORDER_PLAIN = ["total_orders", "cancelled_orders", "returned_orders"]
 ORDER_CLAMPED = ["pending_orders", "shipped_orders", "delivered_orders", "at_risk_orders"]
 
 _FAILED = 3 ** 4
