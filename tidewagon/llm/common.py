@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 
+import pandas as pd
 import tidewagon
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -46,6 +47,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def strings(column) -> list[str | None]:
+    """A pandas column of texts as Python strings, whatever it holds for null."""
+    return [t if isinstance(t, str) else None for t in column.tolist()]
+
+
+def objects(values) -> pd.Series:
+    """A pandas column of plain Python objects, which becomes one Arrow array at any size."""
+    return pd.Series(list(values), dtype=object)
+
+
 def remainder(key: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``."""
     return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(modulus))

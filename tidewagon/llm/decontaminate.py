@@ -29,6 +29,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewagon.llm.common import objects, strings
+
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 SHINGLE = 5
@@ -225,7 +227,7 @@ def leaks(packed: bytes, docs: DataFrame, text: Column) -> Column:
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = _index_of(shared.value)
         for texts in batches:
-            yield pd.Series([index.hits(t) for t in texts], dtype=object)
+            yield objects(index.hits(t) for t in strings(texts))
 
     return found(text)
 

@@ -26,12 +26,14 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from tidewagon.llm.common import objects, strings
+
 MIN_SHARE, MAX_SHARE = 0.002, 0.2
 # Each subset takes this share of the lexicon; every share is used for ``DRAWS`` subsets.
 SHARES = (1 / 4, 1 / 8, 1 / 16, 1 / 32, 1 / 64, 1 / 128, 1 / 256, 1 / 512)
-DRAWS = 4
+DRAWS = 8
 SUBSETS = len(SHARES) * DRAWS
-DIGITS = 8
+DIGITS = 4
 CHARS_PER_TASK = 24_000_000
 HELD_TERMS = 400_000
 _TERM = re.compile(r"[^\W_]+")
@@ -47,12 +49,12 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
         for part in batches:
-            for text in part["text"]:
+            for text in strings(part["text"]):
                 held.update(set(terms(text)))
                 if len(held) > HELD_TERMS:
-                    yield pd.DataFrame({"term": list(held), "df": list(held.values())})
+                    yield pd.DataFrame({"term": objects(held), "df": list(held.values())})
                     held = Counter()
-        yield pd.DataFrame({"term": list(held), "df": list(held.values())})
+        yield pd.DataFrame({"term": objects(held), "df": list(held.values())})
 
     return docs.select("text").mapInPandas(count, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
@@ -95,7 +97,7 @@ class Lexicon(dict):
         for mask in self.in_subset:
             chosen = hashes[(bits & mask) != 0]
             # 0 stands for a subset without terms.
-            out.append(f"{xxhash.xxh32_intdigest(chosen.tobytes()) | 1:08x}" if len(chosen) else "0" * DIGITS)
+            out.append(f"{xxhash.xxh32_intdigest(chosen.tobytes()) % 65535 + 1:04x}" if len(chosen) else "0" * DIGITS)
         return "".join(out)
 
 
@@ -164,11 +166,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def in_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by part, order, id descending, text; each row waits for the one after it."""
         lexicon_here = _lexicon_of(words.value)
+        names = ["id", *[c.split()[0] for c in _RESULT.split(", ")]]
         before = None  # (part, id, text, words, fingerprint) of the row that waits
         out: list[tuple] = []
         for part in batches:
             for number, order, doc, text in zip(part["part"].tolist(), part["order"].tolist(),
-                                                part["id"].tolist(), part["text"].tolist()):
+                                                strings(part["id"]), strings(part["text"])):
                 if before is not None and before[0] != number:
                     before = None
                 if before is None and order:
@@ -177,7 +180,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 if before is not None:
                     out.append(compare(lexicon_here, before, (text, mine)))
                 before = None if order else (number, doc, text, mine)
-            yield pd.DataFrame(out, columns=["id", *[c.split()[0] for c in _RESULT.split(", ")]])
+            yield pd.DataFrame({name: objects(row[i] for row in out) for i, name in enumerate(names)})
             out = []
 
     def compare(lexicon_here: Lexicon, row: tuple, following: tuple) -> tuple:

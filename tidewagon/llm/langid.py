@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewagon.llm.common import bounded_sample, held_out, remainder, written
+from tidewagon.llm.common import bounded_sample, held_out, objects, remainder, strings, written
 
 UNDETERMINED = "und"
 # Bounds of the training sample; scoring has none.
@@ -186,7 +186,7 @@ def fit(docs: DataFrame) -> Model:
         unit, m, c = _unit(landmarks), len(landmarks), len(languages)
         gram, cross, count = np.zeros((m, m)), np.zeros((m, c)), 0
         for part in batches:
-            part = part[[has_letter(t) for t in part["text"]]]
+            part = part[[has_letter(t) for t in strings(part["text"])]]
             place = [languages.index(x) if x in languages else -1 for x in part["lang"]]
             for index, sizes, k in window_kernels(part["text"].tolist(), unit, TRAIN_WINDOWS):
                 if place[index] >= 0:
@@ -211,8 +211,8 @@ def language(model: Model, text: Column) -> Column:
     @F.pandas_udf("lang_pred string, score double")
     def named(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            names, scores = predict(model, texts.tolist())
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            names, scores = predict(model, strings(texts))
+            yield pd.DataFrame({"lang_pred": objects(names), "score": scores})
 
     return named(text)
 

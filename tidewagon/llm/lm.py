@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewagon.llm.common import objects, strings
+
 WORDS = 240
 SHAPES = 15  # classes of other words by length
 EDGE = WORDS + SHAPES  # what stands beyond both ends of a text
@@ -57,12 +59,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
         for part in batches:
-            for text in part["text"]:
+            for text in strings(part["text"]):
                 held.update((text or "").lower().split())
                 if len(held) > HELD_WORDS:
-                    yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+                    yield pd.DataFrame({"word": objects(held), "n": list(held.values())})
                     held = Counter()
-        yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+        yield pd.DataFrame({"word": objects(held), "n": list(held.values())})
 
     return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -178,7 +180,7 @@ def one_round(docs: DataFrame, vocabulary: list[str], start: bytes, number: int)
             held, around = [], []
 
         for part in batches:
-            for text in part["text"]:
+            for text in strings(part["text"]):
                 tokens = known.tokens(text)
                 # The first example moves from text to text, so short texts and all places take part.
                 first = (seen + number * RATE // ROUNDS) % RATE
@@ -219,7 +221,7 @@ def scored(model: tuple[list[str], bytes], docs: DataFrame, text: Column) -> Col
         known, net = Vocabulary(words), from_bytes(weights)
         for texts in batches:
             sizes, sums = [], []
-            for tokens, near in _grouped(known, texts):
+            for tokens, near in _grouped(known, strings(texts)):
                 ends = np.cumsum([len(t) for t in tokens])
                 values = np.concatenate([[0.0], np.cumsum(log_probabilities(net, np.concatenate(tokens), near))])
                 sizes += [len(t) for t in tokens]

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidewagon.llm.common import written
+from tidewagon.llm.common import objects, strings, written
 
 CAPACITY = 4096
 OPEN_BINS = 256
@@ -155,13 +155,14 @@ def _pack_task(batches: Iterator[pd.DataFrame], path: str, capacity: int, open_b
     ends: list[pd.DataFrame] = []
     for part in batches:
         rows = []
-        for doc, text in zip(part["doc_id"].tolist(), part["text"].tolist()):
+        for doc, text in zip(strings(part["doc_id"]), strings(part["text"])):
             ids = memory.of(text) + end
             for piece, at in enumerate(range(0, len(ids), width)):
                 data = ids[at:at + width]
                 number, offset = bins.put(len(data) // 4)
                 rows.append((doc, piece, at // 4, len(data) // 4, zlib.crc32(data), (task << 32) + number, offset))
         frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset"])
+        frame["doc_id"] = objects(frame["doc_id"])
         ends.append(frame.assign(task=task))
     # A piece's bin may close or stay open until the end of the task; the rows are narrow and one split's worth.
     left = np.array(sorted((task << 32) + n for n in bins.still_open()), dtype=np.int64)

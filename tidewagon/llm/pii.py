@@ -22,6 +22,8 @@ from dataclasses import asdict, dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewagon.llm.common import objects, strings
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "local_phone")
 KEEP = 0.5
@@ -174,7 +176,7 @@ def found(text: Column) -> Column:
 
     @F.pandas_udf("array<struct<kind:string,start:int,end:int,score:double>>")
     def spans(texts: pd.Series) -> pd.Series:
-        return pd.Series([[asdict(s) for s in find(t)] for t in texts], dtype=object)
+        return pd.Series([[asdict(s) for s in find(t)] for t in strings(texts)], dtype=object)
 
     return spans(text)
 
@@ -185,12 +187,13 @@ def report(docs: DataFrame) -> DataFrame:
     @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores array<double>")
     def summed(texts: pd.Series) -> pd.DataFrame:
         rows = []
-        for text in texts:
+        for text in strings(texts):
             spans = find(text)
             base = [s for s in spans if s.kind in BASE_KINDS]
             rows.append((*[sum(s.kind == k for s in base) for k in BASE_KINDS],
                          hashlib.sha256(listing(base).encode()).hexdigest(), listing(spans), [s.score for s in spans]))
-        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores"])
+        names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores"]
+        return pd.DataFrame({name: objects(r[i] for r in rows) for i, name in enumerate(names)})
 
     return docs.select("doc_id", summed("text").alias("r")).select("doc_id", "r.*")
 
@@ -200,7 +203,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t) for t in texts], dtype=object)
+        return pd.Series([redact(t) for t in strings(texts)], dtype=object)
 
     out = docs.withColumn("text", clean("text"))
     if "n_chars" in docs.columns:

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewagon.llm.common import held_out, labelled_texts
+from tidewagon.llm.common import held_out, labelled_texts, strings
 
 THRESHOLD = 0.5
 # Bounds of the training sample; scoring has none.
@@ -174,7 +174,7 @@ def probability(net: dict, text: Column) -> Column:
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(predict(net, texts.tolist()))
+            yield pd.Series(predict(net, strings(texts)))
 
     return scored(text)
 

@@ -31,7 +31,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewagon.llm.common import written
+from tidewagon.llm.common import strings, written
 from tidewagon.llm.components import smallest_reachable
 
 SHINGLE = 3
@@ -80,7 +80,7 @@ def fingerprint_column(text: Column, shingle: int = SHINGLE) -> Column:
     @F.pandas_udf("long")
     def printed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([_signed(fingerprint(t, shingle)) for t in texts], dtype="int64")
+            yield pd.Series([_signed(fingerprint(t, shingle)) for t in strings(texts)], dtype="int64")
 
     return printed(text)
 

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewagon.llm.common import held_out, labelled_texts
+from tidewagon.llm.common import held_out, labelled_texts, objects, strings
 
 THRESHOLD = 0.3
 SENTENCE_THRESHOLD = 0.3
@@ -199,9 +199,10 @@ def verdict(model: Model, text: Column) -> Column:
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = _scorer(model)
         for texts in batches:
-            scores = [scorer.score(t) for t in texts]
-            spans = [scorer.locate(t) if t and s >= THRESHOLD else [] for t, s in zip(texts, scores)]
-            yield pd.DataFrame({"score": scores, "sentences": spans})
+            whole = strings(texts)
+            scores = [scorer.score(t) for t in whole]
+            spans = [scorer.locate(t) if t and s >= THRESHOLD else [] for t, s in zip(whole, scores)]
+            yield pd.DataFrame({"score": scores, "sentences": objects(spans)})
 
     return scored(text)
 
