@@ -37,7 +37,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 PART = 0.5  # least overlap of the question and of the answer alone
 INDEX_ITEMS = 20_000  # items of one index
-BLOCK = 8  # items of a block of the index
+BLOCK = 2  # items of a block of the index
 PASSAGE = 128  # least words of a passage; passages overlap by half
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?\n]+\s*(?=\S)")
@@ -108,7 +108,9 @@ class Index:
         at = np.flatnonzero(numbers < len(self.posts))
         if not len(at):
             return at
-        half, known = at // self.half, numbers[at]
+        # A term counts once in each half.
+        pair = np.unique(at // self.half * len(self.posts) + numbers[at])
+        half, known = np.divmod(pair, len(self.posts))
         size = self.size[known]
         post = np.repeat(self.first[known] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         count = int(half[-1]) + 1
