@@ -74,15 +74,15 @@ _step = st.tuples(st.integers(0, 23), st.sampled_from(ORDER_STATUSES), st.intege
 
 @settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(steps=st.lists(_step, min_size=150, max_size=400), slice_minutes=st.sampled_from([1, 7, 60, 10 ** 9]),
-       cut=st.integers(0, 400), heavy=st.sampled_from([0, 20, 10 ** 6]))
-def test_order_stats_equal_a_stepwise_fold(spark, steps, slice_minutes, cut, heavy):
+       cut=st.integers(0, 400))
+def test_order_stats_equal_a_stepwise_fold(spark, steps, slice_minutes, cut):
     events, now = [], T0
     for i, (who, status, gap, left) in enumerate(steps):
         now += gap * MIN
         events.append({"customer_id": f"CUST-{0 if who < 8 else who}", "status": status, "timestamp": now, "seq": i,
                        "sla_timestamp": now + left * MIN})
     frame = orders(spark, events)
-    how = {"slice_ms": slice_minutes * MIN, "heavy_events": heavy}
+    how = {"slice_ms": slice_minutes * MIN}
     whole = customers.customer_order_stats(frame, **how)
     assert found_orders(whole) == expected_orders(events)
     # The same in two parts, the second on top of the first one's result.
@@ -101,7 +101,7 @@ def test_in_transit_equals_a_stepwise_fold(spark, slice_minutes):
     rng = random.Random(5)
     events = [{"customer_id": f"CUST-{rng.choice((0, 0, 0, 1, 2, 3, 4, 5, 6))}", "event_type": rng.choice(SHIPMENT_EVENT_TYPES),
                "timestamp": T0 + i // 2 * MIN} for i in range(600)]
-    out = customers.customer_shipment_stats(shipments(spark, events), slice_ms=slice_minutes * MIN, heavy_events=100)
+    out = customers.customer_shipment_stats(shipments(spark, events), slice_ms=slice_minutes * MIN)
     expected = {c: fold_in_transit(g) for c, g in by_customer(events).items()}
     assert {r.customer_id: r.in_transit_count for r in out.collect()} == expected
 
@@ -115,12 +115,6 @@ def test_events_without_a_customer_are_left_out_of_the_ordered_part(spark):
 def test_adjacent_pairs_do_not_depend_on_the_slice(spark):
     events = [{"shipment_id": f"SH-{i % 3}", "event_type": SHIPMENT_EVENT_TYPES[i % 7], "timestamp": T0 + i * MIN} for i in range(90)]
     df = shipments(spark, events)
-    pairs = [sorted(tuple(r) for r in ordered.adjacent_pairs(df, "shipment_id", "event_type", m * MIN, 0).collect() if r.previous)
+    pairs = [sorted(tuple(r) for r in ordered.adjacent_pairs(df, "shipment_id", "event_type", m * MIN).collect() if r.previous)
              for m in (2, 11, 10 ** 9)]
     assert pairs[0] == pairs[1] == pairs[2] and len(pairs[0]) == 87
-
-
-def test_heavy_keys_are_those_above_both_limits(spark):
-    df = shipments(spark, [{"event_type": "CREATED", "shipment_id": "SH-1" if i % 3 else f"SH-X{i}"} for i in range(90)])
-    assert [r.shipment_id for r in ordered.heavy_keys(df, "shipment_id", 10).collect()] == ["SH-1"]
-    assert ordered.heavy_keys(df, "shipment_id", 100).count() == 0

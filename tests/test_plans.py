@@ -85,7 +85,7 @@ def test_ordered_passes_share_one_shuffle_of_the_events(spark, stored):
 
 
 def test_a_large_customer_is_spread_over_partitions(spark, stored):
-    spread = ordered.sliced(stored.select("customer_id", "timestamp", "seq"), "customer_id", heavy_events=100).where("customer_id = 'CUST-0'")
+    spread = ordered.sliced(stored.select("customer_id", "timestamp", "seq"), "customer_id").where("customer_id = 'CUST-0'")
     before = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # small partitions would be put together again
     try:
@@ -93,3 +93,23 @@ def test_a_large_customer_is_spread_over_partitions(spark, stored):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert sum(sizes) == 200 and len(sizes) == 4 and max(sizes) < 100
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables are not here")
+@pytest.mark.parametrize("name", ["late_top_k", "at_risk_top_k", "customer_search_top", "fleet_first"])
+def test_top_lists_are_a_top_k_per_task(spark, name):
+    text = plan(named_queries()[name](spark, FOLDER))
+    assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables are not here")
+@pytest.mark.parametrize("name", ["lookup_order_state", "lookup_order_sla_tracking", "lookup_late_shipments"])
+def test_key_sets_filter_before_the_view(spark, name):
+    text = plan(named_queries()[name](spark, FOLDER))
+    last_aggregate = [m.start() for m in re.finditer(r"(Sort|Hash|ObjectHash)Aggregate\(key", text)][0]
+    assert "LeftSemi" in text and text.index("LeftSemi") > last_aggregate
+
+
+def test_days_are_rebalanced_when_written(spark):
+    events = shipments(spark, [{"event_type": "DELIVERED", "timestamp": T0}])
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan(events.hint("rebalance", "timestamp"))

@@ -17,29 +17,23 @@ _KEY = "customer_id"
 SHIPMENT_CLAMPED = ["in_transit_count"]
 ORDER_CLAMPED = ["pending_orders", "shipped_orders", "delivered_orders", "at_risk_orders"]
 
-_FAILED = 3 ** 4
-
-
-def _packed(pending: int = 0, shipped: int = 0, delivered: int = 0, at_risk: int = 0, failed: bool = False) -> int:
-    digits = (pending, shipped, delivered, at_risk)
-    return sum((d + 1) * 3 ** place for place, d in enumerate(digits)) + (_FAILED if failed else 0)
-
-
+_STEPS = ["pending_step", "shipped_step", "delivered_step", "at_risk_step"]
 # What each order status does to the counters. Taking a failed order from shipped is decided later.
-_ORDER_MOVES = {
-    "RECEIVED": _packed(pending=1),
-    "VALIDATED": _packed(),
-    "ALLOCATED": _packed(),
-    "SHIPPED": _packed(pending=-1, shipped=1),
-    "DELIVERED": _packed(shipped=-1, delivered=1, at_risk=-1),
-    "CANCELLED": _packed(pending=-1, at_risk=-1, failed=True),
-    "RETURNED": _packed(delivered=-1),
-    "PARTIAL_FAILURE": _packed(pending=-1, at_risk=-1, failed=True),
+_ORDER_STEPS = {
+    "pending_step": {"RECEIVED": 1, "SHIPPED": -1, "CANCELLED": -1, "PARTIAL_FAILURE": -1},
+    "shipped_step": {"SHIPPED": 1, "DELIVERED": -1},
+    "delivered_step": {"DELIVERED": 1, "RETURNED": -1},
+    "at_risk_step": {"DELIVERED": -1, "CANCELLED": -1, "PARTIAL_FAILURE": -1},
 }
 
 
+def _step(name: str, status: Column) -> Column:
+    moves = F.create_map(*[F.lit(x) for kv in _ORDER_STEPS[name].items() for x in kv])
+    return F.coalesce(moves[status], F.lit(0))
+
+
 def _plain(events: DataFrame, state: DataFrame | None, counters: dict[str, Column]) -> DataFrame:
-    batch = events.groupBy(_KEY).agg(
+    batch = ordered.with_key(events, _KEY).groupBy(_KEY).agg(
         *[count_where(c).alias(name) for name, c in counters.items()],
         F.max("timestamp").alias("last_updated"))
     if state is None:
@@ -58,8 +52,7 @@ def _merge(plain: DataFrame, clamped: DataFrame, names: list[str]) -> DataFrame:
 
 
 def shipment_stats_state(shipment_events: DataFrame, clock: str | int = "event",
-                         state: DataFrame | None = None, slice_ms: int = ordered.SLICE_MS,
-                         heavy_events: int = ordered.HEAVY_EVENTS) -> DataFrame:
+                         state: DataFrame | None = None, slice_ms: int = ordered.SLICE_MS) -> DataFrame:
     """``customer_shipment_stats`` plus ``on_time_count`` (delivered no later than the grace period)."""
     kind = F.col("event_type")
     plain = _plain(shipment_events, state, {
@@ -73,26 +66,24 @@ def shipment_stats_state(shipment_events: DataFrame, clock: str | int = "event",
     moving = shipment_events.where(kind.isin("IN_TRANSIT", *SHIPMENT_CLOSED)).select(
         _KEY, *ARRIVAL,
         F.when(kind == "IN_TRANSIT", 1).otherwise(-1).cast("long").alias("in_transit_count"))
-    slices = ordered.reduce_slices(ordered.sliced(moving, _KEY, slice_ms, heavy_events), _KEY, SHIPMENT_CLAMPED)
+    slices = ordered.reduce_slices(ordered.sliced(moving, _KEY, slice_ms), _KEY, SHIPMENT_CLAMPED)
     slices = ordered.with_state(slices, state, _KEY, SHIPMENT_CLAMPED)
     return _merge(plain, ordered.combine_slices(slices, _KEY, SHIPMENT_CLAMPED), SHIPMENT_CLAMPED)
 
 
 def customer_shipment_stats(shipment_events: DataFrame, clock: str | int = "event",
-                            slice_ms: int = ordered.SLICE_MS,
-                         heavy_events: int = ordered.HEAVY_EVENTS) -> DataFrame:
+                            slice_ms: int = ordered.SLICE_MS) -> DataFrame:
     """Shipment counters per customer.
 
     ``in_transit_count`` rises on IN_TRANSIT and falls on DELIVERED and CANCELLED, never below 0 at
     any step; an EXCEPTION leaves it. ``late_count`` counts open *events* past the expected delivery,
     without grace.
     """
-    return shipment_stats_state(shipment_events, clock, None, slice_ms, heavy_events).drop("on_time_count")
+    return shipment_stats_state(shipment_events, clock, None, slice_ms).drop("on_time_count")
 
 
 def customer_order_stats(order_status: DataFrame, clock: str | int = "event",
-                         state: DataFrame | None = None, slice_ms: int = ordered.SLICE_MS,
-                         heavy_events: int = ordered.HEAVY_EVENTS) -> DataFrame:
+                         state: DataFrame | None = None, slice_ms: int = ordered.SLICE_MS) -> DataFrame:
     """Order counters per customer, every one floored at 0 at each step.
 
     A CANCELLED or PARTIAL_FAILURE takes from pending, or from shipped when nothing is pending, so
@@ -107,28 +98,31 @@ def customer_order_stats(order_status: DataFrame, clock: str | int = "event",
         "cancelled_orders": failed,
         "returned_orders": status == "RETURNED"})
 
-    # One packed column (a base-3 digit per counter, then the failed flag), so that both passes below
-    # read the same narrow rows and share their shuffle. Being at risk adds to the at-risk digit.
+    # One array of bytes, a step per counter, so that both passes below read the same narrow rows and share
+    # their shuffle; separate columns would be pruned differently for each pass.
     risky = ~status.isin(*ORDER_UNTRACKED) & minutes_to_sla(clock).between(0, SLA_RISK_MINUTES)
-    moves = F.create_map(*[F.lit(x) for kv in _ORDER_MOVES.items() for x in kv])[status]
-    moves = moves + F.when(risky, 3 ** 3).otherwise(0)
+    moves = {name: _step(name, status) for name in _STEPS}
+    moves["at_risk_step"] = moves["at_risk_step"] + F.when(risky, 1).otherwise(0)
+    moves["failed"] = failed.cast("byte")
     steps = ordered.sliced(
-        order_status.select(_KEY, *ARRIVAL, moves.cast("short").alias("moves")).where(F.col("moves") != _packed()),
-        _KEY, slice_ms, heavy_events)
-    digit = lambda place: F.expr(f"cast(moves div {3 ** place} % 3 - 1 as bigint)")
+        order_status.select(_KEY, *ARRIVAL, F.array(*[c.cast("byte") for c in moves.values()]).alias("steps"))
+        .where(F.exists("steps", lambda x: x != 0)),
+        _KEY, slice_ms)
+    part = lambda name: F.col("steps")[list(moves).index(name)].cast("long")
     base = [_KEY, "slice", *ARRIVAL]
 
     simple = ["pending_orders", "delivered_orders", "at_risk_orders"]
     slices = ordered.reduce_slices(
-        steps.select(*base, digit(0).alias(simple[0]), digit(2).alias(simple[1]), digit(3).alias(simple[2])),
+        steps.select(*base, part("pending_step").alias(simple[0]), part("delivered_step").alias(simple[1]),
+                     part("at_risk_step").alias(simple[2])),
         _KEY, simple)
     entered = ordered.entering(ordered.with_state(slices, state, _KEY, simple), _KEY, "pending_orders")
 
     # Pending before an event: the entering value plus the slice's sum so far, unless the clamp inside
     # the slice holds it higher.
     runs = ordered.with_run(
-        steps.select(*base, (F.col("moves") >= _FAILED).alias("failed"), digit(0).alias("pending_step"),
-                     digit(1).alias("shipped_orders")),
+        steps.select(*base, (part("failed") != 0).alias("failed"), part("pending_step").alias("pending_step"),
+                     part("shipped_step").alias("shipped_orders")),
         _KEY, "pending_step")
     before = (F.col("pending_step_run") - F.col("pending_step")
               - F.least(-F.col("pending_orders_in"), F.col("pending_step_floor")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewagon.functions.columns import count_where, percent
 from tidewagon.operators.top import top_with_total
@@ -19,10 +19,10 @@ PENDING = ("RECEIVED", "VALIDATED", "ALLOCATED")
 
 def fleet_status(vehicle_state: DataFrame) -> DataFrame:
     """Vehicles per status, with the fleet size on every row."""
-    known = vehicle_state.where(F.col("status").isNotNull())
-    total = vehicle_state.agg(F.count("*")).scalar()
-    return (known.groupBy("status").agg(F.count("*").alias("vehicle_count"))
-            .withColumn("total_vehicles", total))
+    # The view is read once; the window runs over one row per status.
+    groups = vehicle_state.groupBy("status").agg(F.count("*").alias("vehicle_count"))
+    return groups.withColumn("total_vehicles", F.sum("vehicle_count").over(Window.partitionBy())).where(
+        F.col("status").isNotNull())
 
 
 def fleet_first(vehicle_state: DataFrame, limit: int = FLEET_SHOWN) -> DataFrame:

@@ -153,6 +153,12 @@ def lookup(view: DataFrame, key: str, value: str) -> DataFrame:
     return view.where(F.col(key) == value)
 
 
+def of_keys(events: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The events of the keys in ``keys``. Build a view from these to look many keys up: the view then
+    orders and aggregates the wanted keys only."""
+    return events.join(keys.select(key).distinct(), key, "left_semi")
+
+
 def lookup_many(view: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of the view whose key is in ``keys``."""
     return view.join(keys.select(key), key, "left_semi")

@@ -1,9 +1,9 @@
 """Order-dependent work on keys that may be very large.
 
-A window over a whole key would put that key into one task. Here a key with many events is cut into
-time slices: the ordered part runs per (key, slice), each slice is reduced to one row, and only those
-few rows are put in order per key. The number of slices of a key is the covered time divided by the
-slice width, whatever the number of its events. A key with few events is one slice.
+A window over a whole key would put that key into one task. Here every key is cut into time slices: the
+ordered part runs per (key, slice), each slice is reduced to one row, and only those few rows are put in
+order per key. The number of slices of a key is at most the covered time divided by the slice width, whatever
+the number of its events. All keys go the same way at every size.
 
 **Clamped counters.** ``x <- max(0, x + d)``, applied in order from ``x0 >= 0``, ends at
 ``x0 + S - least(0, L)`` where ``S`` is the sum of all steps and ``L`` the lowest value that the
@@ -19,35 +19,25 @@ from tidewagon.functions.columns import ARRIVAL
 from tidewagon.schemas import MINUTE_MS
 
 SLICE_MS = 15 * MINUTE_MS
-# A key is cut into slices when it has more events than this and more than a MAX_HEAVY-th of all.
-HEAVY_EVENTS = 1_000_000
-MAX_HEAVY = 20_000
 # Slice number of a stored state, before every slice of events.
 STATE_SLICE = -(1 << 62)
 
 
-def heavy_keys(events: DataFrame, key: str, heavy_events: int = HEAVY_EVENTS) -> DataFrame:
-    """The keys with many events: by the second limit never more than ``MAX_HEAVY`` of them."""
-    share = events.agg((F.count("*") / MAX_HEAVY).cast("long")).scalar()
-    counted = events.groupBy(key).agg(F.count("*").alias("event_count"))
-    return counted.where(F.col("event_count") > F.greatest(F.lit(heavy_events).cast("long"), share)).select(key)
-
-
-def sliced(df: DataFrame, key: str, slice_ms: int = SLICE_MS, heavy_events: int = HEAVY_EVENTS) -> DataFrame:
+def sliced(df: DataFrame, key: str, slice_ms: int = SLICE_MS) -> DataFrame:
     """Add ``slice`` and spread the events by (key, slice).
 
-    The list of heavy keys is bounded, so it is broadcast: the events move only once, in the explicit
-    ``repartition``, which several ordered passes over the same columns share. Events without a key
-    are left out, as they belong to no group.
+    The events move once, in the explicit ``repartition``, which several ordered passes over the same columns
+    share. Events without a key or time are left out, as they belong to no group.
     """
-    events = df.where(F.col(key).isNotNull() & F.col("timestamp").isNotNull())
-    heavy = heavy_keys(events, key, heavy_events).withColumn("heavy", F.lit(True))
     number = F.call_function("div", F.col("timestamp"), F.lit(slice_ms).cast("long"))
-    return (events.join(F.broadcast(heavy), key, "left")
-            .withColumn("slice", F.when(F.col("heavy"), number).otherwise(F.lit(0).cast("long")))
+    return (with_key(df, key).withColumn("slice", number)
             # Always true; stated so that every pass has the same filters, and so the same shuffle.
-            .where(F.col("slice").isNotNull())
-            .drop("heavy").repartition(key, "slice"))
+            .where(F.col("slice").isNotNull()).repartition(key, "slice"))
+
+
+def with_key(df: DataFrame, key: str) -> DataFrame:
+    """The events that have a key and a time."""
+    return df.where(F.col(key).isNotNull() & F.col("timestamp").isNotNull())
 
 
 def _in_slice(key: str):
@@ -114,14 +104,13 @@ def combine_slices(slices: DataFrame, key: str, counters: list[str]) -> DataFram
         (F.sum(f"{c}_sum") - F.least(F.lit(0), F.min(f"{c}_low"))).alias(c) for c in counters])
 
 
-def adjacent_pairs(df: DataFrame, key: str, value: str, slice_ms: int = SLICE_MS,
-                   heavy_events: int = HEAVY_EVENTS) -> DataFrame:
+def adjacent_pairs(df: DataFrame, key: str, value: str, slice_ms: int = SLICE_MS) -> DataFrame:
     """Each event with the value of the event before it: ``previous``, null for the first of a key.
 
     Within a slice this is ``lag``. The first event of a slice takes the last value of the slice
     before, and these pairs are found on the reduced slices and joined by union, not by a join.
     """
-    rows = sliced(df.select(key, *ARRIVAL, value), key, slice_ms, heavy_events)
+    rows = sliced(df.select(key, *ARRIVAL, value), key, slice_ms)
     w = _in_slice(key)
     inside = rows.select(key, "slice", *ARRIVAL, value, F.lag(value).over(w).alias("previous"),
                          F.row_number().over(w).alias("position"))

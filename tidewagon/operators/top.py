@@ -11,12 +11,12 @@ def top_with_total(df: DataFrame, order: list[Column], limit: int = LIST_SHOWN)
     """The first ``limit`` rows, each with ``total`` (of all rows) and ``note`` (null when none is cut).
 
     The total is a scalar subquery: a count over an unpartitioned window would bring every row into
-    one task. The order runs as a per-task top-k.
+    one task. Both columns come before the limit, so that order and limit stay together as a per-task top-k.
     """
     total = F.col("total")
-    return (df.orderBy(*order).limit(limit)
-            .withColumn("total", df.agg(F.count("*")).scalar())
-            .withColumn("note", F.when(total > limit, F.format_string(f"Showing first {limit} of %d results", total))))
+    return (df.withColumn("total", df.agg(F.count("*")).scalar())
+            .withColumn("note", F.when(total > limit, F.format_string(f"Showing first {limit} of %d results", total)))
+            .orderBy(*order).limit(limit))
 
 
 def late_top(late: DataFrame, limit: int = LIST_SHOWN) -> DataFrame:

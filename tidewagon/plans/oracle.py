@@ -382,17 +382,6 @@ _SELECTS = {
     "ref_routes_by_origin": "select * from routes where origin_warehouse_id = 'WH-STO'",
     "ref_routes_by_destination": "select * from routes where lower(destination_city) like '%li%'",
     "ref_distinct_destinations": "select destination_city, destination_country, min(route_id) as first_route_id from routes group by 1, 2",
-    "build_warehouses": f"select * exclude (pos), 'OPERATIONAL' as status from ({_MAIN_SITES}) where pos in (select s_suppkey from supplier)",
-    "build_customers": _build_customers("c_custkey + 1", "customer"),
-    "build_vehicles": _vehicles("p_partkey", "part"),
-    "build_products": f"""select printf('PROD-%06d', n) as product_id, printf('SKU-%08d', n) as sku,
-        {_pick('n % 5', ('Electronics Item', 'Home Goods', 'Apparel Item', 'Automotive Part', 'General Merchandise'))} || ' ' || n as name,
-        {_pick('n % 5', ('ELECTRONICS', 'HOME_GOODS', 'APPAREL', 'AUTOMOTIVE', 'GENERAL'))} as category,
-        round(0.1::double + (n % 100) * 0.15::double, 6) as weight_kg, (5 + n % 80)::double as length_cm, (5 + n % 60)::double as width_cm,
-        (2 + n % 40)::double as height_cm, round(5.0::double + (n % 500) * 2.5::double, 6) as unit_price
-        from (select o_orderkey + 1 as n from orders)""",
-    "build_drivers": _drivers("p_partkey", "part"),
-    "build_routes": _routes("o_orderkey", "orders"),
     "insert_if_absent": """select * exclude (c_acctbal) from customers
         union all select * from incoming where customer_id not in (select customer_id from customers)""",
     "normalize_ids": f"""select c_custkey, {_id('CUST-', 4)} as as_customer, {_id('VEH-', 3)} as as_vehicle,

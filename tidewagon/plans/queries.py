@@ -308,30 +308,22 @@ _ALL: dict[str, Callable[[Inputs], DataFrame]] = {
     "lookup_vehicle_state": lambda i: _flat_vehicle(hybrid.lookup_many(
         _vehicle_state(i), _keys(i, "drivers", "status = 'AVAILABLE'", "assigned_vehicle_id")
         .withColumnRenamed("assigned_vehicle_id", "vehicle_id"), "vehicle_id")),
-    "lookup_customer_shipment_stats": lambda i: hybrid.lookup_many(
-        cust_ops.customer_shipment_stats(i.shipments),
-        _keys(i, "customers", "sla_tier = 'CRITICAL'", "customer_id"), "customer_id"),
-    "lookup_late_shipments": lambda i: hybrid.lookup_many(
-        latest.late_shipments(i.shipments), i.operations.where(F.size("errors") > 0), "shipment_id"),
+    "lookup_customer_shipment_stats": lambda i: cust_ops.customer_shipment_stats(hybrid.of_keys(
+        i.shipments, _keys(i, "customers", "sla_tier = 'CRITICAL'", "customer_id"), "customer_id")),
+    "lookup_late_shipments": lambda i: latest.late_shipments(hybrid.of_keys(
+        i.shipments, i.operations.where(F.size("errors") > 0), "shipment_id")),
     "lookup_warehouse_metrics": lambda i: _flat_metrics(hybrid.lookup_many(
         _recent_metrics(i), _keys(i, "warehouses", "country <> 'Spain'", "warehouse_id"), "warehouse_id")),
     "lookup_hourly_performance": lambda i: hybrid.lookup_many(
         _recent_hourly(i), _keys(i, "warehouses", "country <> 'Spain'", "warehouse_id"), "warehouse_id"),
-    "lookup_order_state": lambda i: _flat_order(hybrid.lookup_many(
-        latest.order_state(i.orders), i.orders.where("status = 'CANCELLED'"), "order_id")),
-    "lookup_customer_order_stats": lambda i: hybrid.lookup_many(
-        cust_ops.customer_order_stats(i.orders),
-        _keys(i, "customers", "account_status = 'SUSPENDED'", "customer_id"), "customer_id"),
-    "lookup_order_sla_tracking": lambda i: hybrid.lookup_many(
-        latest.order_sla_tracking(i.orders), i.orders.where("priority = 'CRITICAL'"), "order_id"),
+    "lookup_order_state": lambda i: _flat_order(latest.order_state(hybrid.of_keys(
+        i.orders, i.orders.where("status = 'CANCELLED'"), "order_id"))),
+    "lookup_customer_order_stats": lambda i: cust_ops.customer_order_stats(hybrid.of_keys(
+        i.orders, _keys(i, "customers", "account_status = 'SUSPENDED'", "customer_id"), "customer_id")),
+    "lookup_order_sla_tracking": lambda i: latest.order_sla_tracking(hybrid.of_keys(
+        i.orders, i.orders.where("priority = 'CRITICAL'"), "order_id")),
     # reference tables
     **_REFERENCE,
-    "build_warehouses": lambda i: reference.all_rows(builders.build_warehouses(i.series("supplier", "s_suppkey")), "warehouses"),
-    "build_customers": lambda i: reference.all_rows(builders.build_customers(i.series("customer", "c_custkey")), "customers"),
-    "build_vehicles": lambda i: reference.all_rows(builders.build_vehicles(i.series("part", "p_partkey")), "vehicles"),
-    "build_products": lambda i: reference.all_rows(builders.build_products(i.series("orders", "o_orderkey")), "products"),
-    "build_drivers": lambda i: _flat_driver(reference.all_rows(builders.build_drivers(i.series("part", "p_partkey")), "drivers")),
-    "build_routes": lambda i: reference.all_rows(builders.build_routes(i.series("orders", "o_orderkey")), "routes"),
     "insert_if_absent": lambda i: builders.insert_if_absent(i.table("customers"), _incoming_customers(i), "customer_id"),
     "normalize_ids": _normalized,
     "customer_search_top": lambda i: top.customer_search_top(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -17,6 +18,7 @@ def local_session(cores: int | str = "*", app: str = "tidewagon", **conf: str) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "tidewagon-warehouse"))
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -28,9 +30,9 @@ def local_session(cores: int | str = "*", app: str = "tidewagon", **conf: str) -
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's ``spark.checkpoint.dir``, reachable from every executor.
 
-    A local temporary folder is used only where that setting is absent (tests on one machine).
+    Without that setting it is below the warehouse folder, which is shared as well.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tidewagon-")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -140,6 +140,11 @@ def build_routes(series: DataFrame) -> DataFrame:
 
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Existing rows plus the incoming ones whose key is new. A key repeated in the load is kept once."""
-    new = incoming.join(existing.select(key), key, "left_anti").dropDuplicates([key])
+    """Existing rows plus the incoming ones whose key is new.
+
+    Of a key repeated in the load the smallest row by all its columns is kept, however the load is partitioned.
+    """
+    fresh = incoming.join(existing.select(key), key, "left_anti")
+    least = F.min(F.struct(*[F.col(c) for c in incoming.columns if c != key])).alias("row")
+    new = fresh.groupBy(key).agg(least).select(key, "row.*")
     return existing.unionByName(new, allowMissingColumns=True)

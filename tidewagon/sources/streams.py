@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidewagon.schemas import DAY, DAY_MS, REFERENCE, STREAM_ENUMS, STREAMS
 
-FILES_PER_DAY = 64
+FILE_ROWS = 5_000_000
 
 _AVRO_PRIMITIVES = {T.StringType(): "string", T.LongType(): "long", T.IntegerType(): "int",
                     T.DoubleType(): "double"}
@@ -19,11 +19,12 @@ _NULLABLE = {("warehouse_operations", "shipment_id")}
 def write_events(events: DataFrame, folder: str, mode: str = "append") -> None:
     """Store events as parquet in one folder per UTC day, so that reads by time list only their days.
 
-    A day is spread over many files by a hash of time and order, as a day or a key may be large.
+    ``rebalance`` gathers a day and splits it again when it is large, so the number of tasks follows its size;
+    a file holds at most ``FILE_ROWS`` events.
     """
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("timestamp") / DAY_MS).cast("int"))
-    events.withColumn(DAY, day).repartition(DAY, F.pmod(F.xxhash64("timestamp", "seq"), F.lit(FILES_PER_DAY))) \
-        .write.mode(mode).partitionBy(DAY).parquet(folder)
+    (events.withColumn(DAY, day).hint("rebalance", F.col(DAY)).write.option("maxRecordsPerFile", FILE_ROWS).mode(mode)
+     .partitionBy(DAY).parquet(folder))
 
 
 def file_events(spark: SparkSession, name: str, folder: str, file_format: str = "parquet",
@@ -63,12 +64,13 @@ def avro_schema(name: str) -> str:
 
 
 def broker_events(spark: SparkSession, name: str, servers: str, header_bytes: int = 5,
-                  starting: str = "earliest", max_offsets: int | None = None) -> DataFrame:
-    """A stream read from its topic. Needs the Kafka and Avro packages on the cluster.
+                  starting: str = "earliest", max_offsets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """A stream read from its topic, and the records set aside. Needs the Kafka and Avro packages on the cluster.
 
-    ``header_bytes`` is the length of the schema-registry header before each record. A record that
-    cannot be decoded is dropped, as the stream has to go on. ``seq`` is the offset: all events of a
-    key are in one partition.
+    ``header_bytes`` is the length of the schema-registry header before each record. A record that cannot be
+    decoded, or that has no key or time, goes to the second frame with its topic, partition, offset and raw
+    value, so the stream goes on and nothing is lost. ``seq`` is the offset: all events of a key are in one
+    partition.
     """
     from pyspark.sql.avro.functions import from_avro
 
@@ -79,21 +81,26 @@ def broker_events(spark: SparkSession, name: str, servers: str, header_bytes: in
         reader = reader.option("maxOffsetsPerTrigger", max_offsets)
     body = F.expr(f"substring(value, {header_bytes + 1})")
     decoded = reader.load().select(
-        F.col("offset").alias("seq"), from_avro(body, avro_schema(name), {"mode": "PERMISSIVE"}).alias("event"))
-    return decoded.select("seq", "event.*").where(F.col(key).isNotNull() & F.col("timestamp").isNotNull())
+        "topic", "partition", "offset", "value", from_avro(body, avro_schema(name), {"mode": "PERMISSIVE"}).alias("event"))
+    usable = F.col(f"event.{key}").isNotNull() & F.col("event.timestamp").isNotNull()
+    return (decoded.where(usable).select(F.col("offset").alias("seq"), "event.*"),
+            decoded.where(~usable).select("topic", "partition", "offset", "value"))
 
 
 def jdbc_reference(spark: SparkSession, table: str, url: str, properties: dict[str, str],
-                   partitions: int = 1, bounds: tuple[str, str] | None = None) -> DataFrame:
+                   partitions: int = 1, key_hash: str = "abs(hashtext({key})::bigint)") -> DataFrame:
     """A reference table over JDBC; Spark pushes the columns, filters and limits that queries use.
 
-    ``bounds`` with ``partitions`` splits the read by ranges of ``created_at`` for a large table.
+    With several ``partitions`` each task reads the keys of one remainder. ``key_hash`` is the database's
+    expression for a non-negative hash of the key column.
     """
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**properties)
-    if bounds is not None:
-        reader = (reader.option("partitionColumn", "created_at").option("lowerBound", bounds[0])
-                  .option("upperBound", bounds[1]).option("numPartitions", partitions))
-    return reader.load().select(*REFERENCE[table][1].fieldNames())
+    if partitions == 1:
+        found = spark.read.jdbc(url, table, properties=properties)
+    else:
+        number = key_hash.format(key=REFERENCE[table][0])
+        found = spark.read.jdbc(url, table, predicates=[f"{number} % {partitions} = {k}" for k in range(partitions)],
+                                properties=properties)
+    return found.select(*REFERENCE[table][1].fieldNames())
 
 
 def file_reference(spark: SparkSession, table: str, folder: str) -> DataFrame:

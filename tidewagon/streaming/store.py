@@ -35,8 +35,12 @@ def write_changes(rows: DataFrame, batch_id: int, path: str) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/changes/batch_id={batch_id}")
 
 
-def read_view(spark: SparkSession, path: str, keys: list[str], before: int | None = None) -> DataFrame | None:
-    """Latest row per key, or only what batches before ``before`` wrote. None when nothing is there."""
+def read_view(spark: SparkSession, path: str, keys: list[str], before: int | None = None,
+              only: DataFrame | None = None) -> DataFrame | None:
+    """Latest row per key, or only what batches before ``before`` wrote. None when nothing is there.
+
+    ``only`` limits the view to some keys, before the rows of a key are put together.
+    """
     usable = lambda n: before is None or n < before
     bases = [n for n in _complete(spark, f"{path}/base", "upto") if usable(n)]
     newest = bases[-1] if bases else -1
@@ -51,6 +55,8 @@ def read_view(spark: SparkSession, path: str, keys: list[str], before: int | Non
     if not parts:
         return None
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if only is not None:
+        rows = rows.join(only, keys, "left_semi")
     values = [c for c in rows.columns if c not in (*keys, "batch_id")]
     return (rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
             .select(*keys, "v.*"))

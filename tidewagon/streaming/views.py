@@ -12,6 +12,7 @@ times, which is arrival order. Latest-value views always keep the row with the g
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewagon.operators import counts, customers, latest, windows
 from tidewagon.streaming import store
 
-# Recommended for unbounded keyed state; set it on the session before the first query.
+# Most views keep a row per key for ever, so their state is kept on disk. Set for each view by ``run_view``.
 STATE_PROVIDER = ("spark.sql.streaming.stateStore.providerClass",
                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 COMPACT_EVERY = 50
@@ -64,6 +65,7 @@ def run_view(name: str, events: DataFrame, path: str, checkpoint: str, clock: st
     every event counts once.
     """
     view = VIEWS[name]
+    events.sparkSession.conf.set(*STATE_PROVIDER)
     extra = {"clock": clock} if view.clocked else {}
 
     def keep_up(batch_id: int, rows: DataFrame) -> None:
@@ -78,16 +80,15 @@ def run_view(name: str, events: DataFrame, path: str, checkpoint: str, clock: st
     def fold(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            state = store.read_view(batch.sparkSession, path, view.keys, before=batch_id)
-            if state is not None:
-                state = state.join(batch.select(*view.keys).distinct(), view.keys, "left_semi")
+            touched = batch.select(*view.keys).distinct()
+            state = store.read_view(batch.sparkSession, path, view.keys, before=batch_id, only=touched)
             write(view.build(batch, state=state, **extra), batch_id)
         finally:
             batch.unpersist()
 
     source, mode, sink = (events, "append", fold) if view.folds else (
         view.build(events, **extra), "update", write)
-    return (source.writeStream.queryName(f"{name}-{abs(hash(path))}").outputMode(mode)
+    return (source.writeStream.queryName(f"{name}-{zlib.crc32(path.encode()):08x}").outputMode(mode)
             .option("checkpointLocation", checkpoint).foreachBatch(sink)
             .trigger(**(trigger or {"availableNow": True})).start())
 
