@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tidewagon.session import shared_folder
 
 
+FEW_GROUPS = 10_000
 _SHIPPED: set[str] = set()
 
 
@@ -74,7 +75,9 @@ def bounded_sample(rows: DataFrame, group: str, per_group: int, key: str) -> Dat
     in order, so a group with most of the rows never meets in one task. Null groups and keys are left out.
     """
     rows = rows.where(F.col(group).isNotNull() & F.col(key).isNotNull())
-    counts = rows.groupBy(group).agg(F.count("*").alias("_in_group"))
+    counts = written(rows.groupBy(group).agg(F.count("*").alias("_in_group")), "sample-counts")
+    # Few groups are broadcast, after a check of their number: a join by group would deal all rows out by group.
+    counts = F.broadcast(counts) if counts.count() <= FEW_GROUPS else counts
     draw = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30))
     near = (rows.withColumn("_draw", draw).join(counts, group)
             .where(F.col("_draw") * F.col("_in_group") <= F.lit((per_group * 1.25 + 16) * (1 << 30))))
