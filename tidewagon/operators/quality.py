@@ -79,15 +79,18 @@ def reference_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def split_json(df: DataFrame, column: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Decode a JSON column: the readable rows with their fields, and the others set aside.
-
-    Unknown fields are ignored and a missing one is null; only text that is not a JSON object of the
-    declared types is set aside, so that a stream goes on past a bad record.
-    """
+def read_json(df: DataFrame, column: str, schema: T.StructType) -> DataFrame:
+    """Decode a JSON column in one pass: its fields, and ``readable``, false for text that is not a JSON object of
+    the declared types. Unknown fields are ignored and a missing one is null."""
     wide = T.StructType(list(schema.fields) + [T.StructField("_bad", T.StringType())])
     parsed = df.withColumn("_json", F.from_json(
         F.col(column), wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    bad = F.col("_json").isNull() | F.col("_json._bad").isNotNull()
-    good = parsed.where(~bad).select(*df.columns, *[F.col(f"_json.{f.name}").alias(f.name) for f in schema.fields])
-    return good, parsed.where(bad).select(*df.columns)
+    readable = F.col("_json").isNotNull() & F.col("_json._bad").isNull()
+    fields = [F.when(readable, F.col(f"_json.{f.name}")).alias(f.name) for f in schema.fields]
+    return parsed.select(*df.columns, *fields, readable.alias("readable"))
+
+
+def split_json(df: DataFrame, column: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """The readable rows with their fields, and the others set aside, so that a stream goes on past a bad record."""
+    parsed = read_json(df, column, schema)
+    return parsed.where("readable").drop("readable"), parsed.where("not readable").select(*df.columns)

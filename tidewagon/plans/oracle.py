@@ -32,53 +32,27 @@ _MINUTES = "(sla_timestamp - timestamp) // 60000"
 _TRACKED = f"{_OPEN_ORDER} and {_MINUTES} <= 60"
 
 
-def _vehicles(n: str, source: str) -> str:
-    return f"""select printf('VEH-%03d', n) as vehicle_id,
-        case when n <= 30 then 'VAN' when n <= 45 then 'BOX_TRUCK' else 'SEMI_TRAILER' end as vehicle_type,
-        {_pick('least((n - 1) // 10, 4)', ('NL-', 'DE-', 'ES-', 'PL-', 'SE-'))} || printf('%04d', n) as license_plate,
-        case when n <= 30 then 1500.0 when n <= 45 then 5000.0 else 20000.0 end::double as capacity_kg,
-        case when n <= 30 then 12.0 when n <= 45 then 40.0 else 80.0 end::double as capacity_cubic_m,
-        {_pick('least((n - 1) // 10, 4)', _SITES)} as home_warehouse_id,
-        case when n % 12 = 0 then 'MAINTENANCE' else 'AVAILABLE' end as status,
-        case when n % 5 = 0 then 'ELECTRIC' when n % 7 = 0 then 'HYBRID' else 'DIESEL' end as fuel_type
-        from (select {n} + 1 as n from {source})"""
-
-
-def _drivers(n: str, source: str) -> str:
-    first = ("Hans", "Pierre", "Maria", "Erik", "Sofia", "Jan", "Anna", "Miguel", "Olga", "Lars")
-    last = ("Mueller", "Dupont", "Garcia", "Kowalski", "Andersson", "Schmidt", "Jansen", "Petrov")
-    return f"""select printf('DRV-%03d', n) as driver_id, {_pick('n % 10', first)} as first_name,
-        {_pick('n % 8', last)} as last_name,
-        case when n <= 30 then 'B' when n <= 60 then 'C' else 'CE' end as license_type,
-        {_pick('n % 4', ('ADR', 'HACCP', 'ADR,HACCP', ''))} as certifications,
-        case when n <= 50 then printf('VEH-%03d', n) end as assigned_vehicle_id,
-        {_pick('least((n - 1) // 15, 4)', _SITES)} as home_warehouse_id,
-        case when n % 10 = 0 then 'VACATION' when n % 5 = 0 then 'OFF_DUTY' else 'AVAILABLE' end as status
-        from (select {n} + 1 as n from {source})"""
-
-
-def _routes(n: str, source: str) -> str:
-    cities = ("Amsterdam", "Berlin", "Paris", "Madrid", "Rome", "Vienna", "Prague", "Budapest", "Copenhagen", "Oslo",
-              "Helsinki", "Brussels", "Zurich", "Milan", "Munich", "Hamburg", "Lyon", "Lisbon", "Dublin", "London")
-    lands = ("Netherlands", "Germany", "France", "Spain", "Italy", "Austria", "Czech Republic", "Hungary", "Denmark",
-             "Norway", "Finland", "Belgium", "Switzerland", "Italy", "Germany", "Germany", "France", "Portugal",
-             "Ireland", "United Kingdom")
-    return f"""select printf('RTE-%03d', n) as route_id, {_pick('least((n - 1) // 20, 4)', _SITES)} as origin_warehouse_id,
-        {_pick('n % 20', cities)} as destination_city, {_pick('n % 20', lands)} as destination_country,
-        (100 + n * 15 + (n % 7) * 50)::double as distance_km,
-        round(2 + n * 0.2::double + (n % 5) * 0.5::double, 6) as estimated_hours,
-        {_pick('n % 3', ('DIRECT', 'HUB_SPOKE', 'MULTI_STOP'))} as route_type, true as active
-        from (select {n} + 1 as n from {source})"""
-
-
-def _build_customers(n: str, source: str) -> str:
-    names = ("Acme Corp", "Global Trade", "Euro Logistics", "Nordic Supplies", "Baltic Commerce", "Rhine Industries",
-             "Atlantic Partners", "Continental Goods", "Union Traders", "Express Holdings")
-    return f"""select printf('CUST-%04d', n) as customer_id, {_pick('n % 10', names)} || ' ' || n as company_name,
-        'contact' || n || '@company' || n || '.eu' as contact_email,
-        case when n <= 20 then 'CRITICAL' when n <= 60 then 'SAME_DAY' when n <= 120 then 'EXPRESS' else 'STANDARD' end as sla_tier,
-        case when n % 50 = 0 then 'SUSPENDED' else 'ACTIVE' end as account_status
-        from (select {n} as n from {source})"""
+def _site(key: str) -> str:
+    return f"case when {key} < 5 then {_pick(key, _SITES)} else printf('WH-%04d', {key}) end"
+
+
+_REF_VEHICLES = f"""select printf('VEH-%03d', s_suppkey + 1) as vehicle_id, {_pick('s_nationkey % 3', ('VAN', 'BOX_TRUCK', 'SEMI_TRAILER'))} as vehicle_type,
+    upper(substr(s_name, 1, 3)) || '-' || s_nationkey || '-' || s_suppkey as license_plate,
+    (1500 + s_nationkey * 500)::double as capacity_kg, (10 + s_nationkey * 2)::double as capacity_cubic_m,
+    case when s_acctbal < -500 then null when s_acctbal > 9500 then 'WH-N' || s_nationkey else {_site('s_suppkey')} end as home_warehouse_id,
+    case when s_acctbal < 0 then 'MAINTENANCE' when s_acctbal < 4000 then 'AVAILABLE' when s_acctbal < 9000 then 'IN_USE' else 'RETIRED' end as status,
+    case s_nationkey % 5 when 0 then 'ELECTRIC' when 1 then 'HYBRID' else 'DIESEL' end as fuel_type from supplier"""
+_REF_DRIVERS = f"""select printf('DRV-%03d', c_custkey + 1) as driver_id, lower(c_mktsegment) as first_name, c_name as last_name,
+    {_pick('c_nationkey % 3', ('B', 'C', 'CE'))} as license_type, {_pick('c_nationkey % 4', ('ADR', 'HACCP', 'ADR,HACCP', ''))} as certifications,
+    case when c_acctbal > 5000 then printf('VEH-%03d', c_custkey // 15 + 1) end as assigned_vehicle_id,
+    case when c_acctbal < -500 then null when c_acctbal > 9500 then 'WH-N' || c_nationkey else {_site('c_custkey // 15')} end as home_warehouse_id,
+    case when c_mktsegment = 'BUILDING' then 'VACATION' when c_acctbal < 0 then 'OFF_DUTY'
+      when c_mktsegment = 'MACHINERY' then 'ON_DUTY' else 'AVAILABLE' end as status from customer"""
+_REF_ROUTES = f"""select printf('RTE-%03d', p_partkey + 1) as route_id,
+    case when p_size >= 50 then 'WH-P' || p_size else {_site('p_partkey // 20')} end as origin_warehouse_id,
+    n_name as destination_city, r_name as destination_country, round(p_retailprice, 2) as distance_km,
+    p_size / 4.0::double as estimated_hours, {_pick('p_size % 3', ('DIRECT', 'HUB_SPOKE', 'MULTI_STOP'))} as route_type,
+    p_size < 45 as active from part join nation on p_size % 25 = n_nationkey join region on n_regionkey = r_regionkey"""
 
 
 _MAIN_SITES = """select * from (values
@@ -140,9 +114,9 @@ _PARTS = {
         union all select printf('WH-%04d', s_suppkey), s_name, n_name, r_name, (40 + s_nationkey)::double, s_nationkey::double,
           case when s_acctbal < 0 then 'CLOSED' else 'OPERATIONAL' end
           from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey where s_suppkey >= 5""",
-    "vehicles": _vehicles("s_suppkey", "supplier"),
-    "drivers": _drivers("c_custkey", "customer"),
-    "routes": _routes("p_partkey", "part"),
+    "vehicles": _REF_VEHICLES,
+    "drivers": _REF_DRIVERS,
+    "routes": _REF_ROUTES,
     "late": _latest("ship", "shipment_id", """customer_id, warehouse_id, expected_delivery, event_type as current_status,
         destination_city, destination_country, greatest(0, (timestamp - expected_delivery - 1800000) // 60000) as delay_minutes,
         timestamp as last_updated""", _LATE),
@@ -227,15 +201,15 @@ _PARTS = {
     "links": "select distinct order_id, unnest(shipment_ids) as shipment_id from ords",
     "changes": """select shipment_id, seq, timestamp, lag(event_type) over (partition by shipment_id order by timestamp, seq) as from_status,
         event_type as to_status from ship""",
-    "extract_sites": "select * from warehouses where status = 'OPERATIONAL' and warehouse_id <> 'WH-STO'",
-    "extract_customers": """select * exclude (c_acctbal) replace (case when c_acctbal > 9000 then 'REVIEW' else account_status end as account_status)
-        from (select * from customers union all select * from customers where c_acctbal < 0)""",
+    "extract_customers": "select * exclude (c_acctbal) from customers union all select * from incoming",
     "raw_ids": """select c_custkey, case c_custkey % 6 when 0 then c_name when 1 then ' cust-' || c_custkey || ' '
         when 2 then lower(c_mktsegment) when 3 then cast(c_custkey * 100000007 + 99999999999 as varchar)
         when 4 then '  ' else cast(c_custkey as varchar) end as raw from customer""",
     "clean_ids": r"""select c_custkey, case when trim(raw) = '' then null else trim(upper(raw)) end as t,
         try_cast(regexp_replace(raw, '[^0-9]', '', 'g') as int) as n from raw_ids""",
-    "incoming": _build_customers("(p_partkey + 1) * 3", "part"),
+    "incoming": f"""select printf('CUST-%04d', s_suppkey * 20) as customer_id, s_name as company_name,
+        'supplier' || s_suppkey || '@example.com' as contact_email, {_pick('s_nationkey % 4', ('STANDARD', 'EXPRESS', 'SAME_DAY', 'CRITICAL'))} as sla_tier,
+        case when s_acctbal < 0 then 'SUSPENDED' when s_acctbal > 9000 then 'REVIEW' else 'ACTIVE' end as account_status from supplier""",
 }
 
 
@@ -362,6 +336,14 @@ _SELECTS = {
     "lookup_customer_order_stats": """select * from ord_stats
         where customer_id in (select customer_id from customers where account_status = 'SUSPENDED')""",
     "lookup_order_sla_tracking": "select * from sla where order_id in (select order_id from ords where priority = 'CRITICAL')",
+    "lookup_one_vehicle_state": "select * from vshown where vehicle_id = 'VEH-007'",
+    "lookup_one_customer_shipment_stats": f"select {_STAT_COLUMNS} from ship_stats where customer_id = 'CUST-0007'",
+    "lookup_one_customer_order_stats": "select * from ord_stats where customer_id = 'CUST-0007'",
+    "lookup_one_late_shipment": "select * from late where shipment_id = 'SH-7-3'",
+    "lookup_one_order_state": "select * from oshown where order_id = 'ORD-00037'",
+    "lookup_one_order_sla": "select * from sla where order_id = 'ORD-00037'",
+    "lookup_one_warehouse_metrics": "select * from recent_metrics where warehouse_id = 'WH-STO'",
+    "lookup_one_hourly_performance": "select * from recent_hourly where warehouse_id = 'WH-STO'",
     "ref_warehouses": "select * from warehouses",
     "ref_warehouse_by_id": "select * from warehouses where warehouse_id = 'WH-RTM'",
     "ref_warehouses_by_city": "select * from warehouses where lower(city) like '%r%'",
@@ -381,6 +363,12 @@ _SELECTS = {
     "ref_routes": "select * from routes",
     "ref_routes_by_origin": "select * from routes where origin_warehouse_id = 'WH-STO'",
     "ref_routes_by_destination": "select * from routes where lower(destination_city) like '%li%'",
+    "ref_vehicles_by_warehouse_count": "select count(*) as count from vehicles where home_warehouse_id = 'WH-STO'",
+    "ref_drivers_available_count": "select count(*) as count from drivers where status = 'AVAILABLE'",
+    "ref_routes_by_origin_count": "select count(*) as count from routes where origin_warehouse_id = 'WH-STO'",
+    "ref_products_category_first": "select * from products where category = 'STANDARD' order by product_id limit 12",
+    "ref_products_search_next": "select * from products where lower(name) like '%ring%' or lower(sku) like '%ring%' order by product_id limit 12",
+    "ref_products_listed": "select * from products order by product_id limit 12",
     "ref_distinct_destinations": "select destination_city, destination_country, min(route_id) as first_route_id from routes group by 1, 2",
     "insert_if_absent": """select * exclude (c_acctbal) from customers
         union all select * from incoming where customer_id not in (select customer_id from customers)""",
@@ -419,16 +407,18 @@ _SELECTS = {
             where sla_tier not in ('STANDARD', 'EXPRESS', 'SAME_DAY', 'CRITICAL')
         union all select 'customers', 'unique:customer_id', customer_id from extract_customers group by customer_id having count(*) > 1
         union all select 'vehicles', 'foreign_key:home_warehouse_id', vehicle_id from vehicles
-            where home_warehouse_id not in (select warehouse_id from extract_sites)
+            where home_warehouse_id not in (select warehouse_id from warehouses)
+        union all select 'vehicles', 'not_null:home_warehouse_id', vehicle_id from vehicles where home_warehouse_id is null
         union all select 'drivers', 'foreign_key:home_warehouse_id', driver_id from drivers
-            where home_warehouse_id not in (select warehouse_id from extract_sites)
+            where home_warehouse_id not in (select warehouse_id from warehouses)
         union all select 'drivers', 'foreign_key:assigned_vehicle_id', driver_id from drivers
             where assigned_vehicle_id not in (select vehicle_id from vehicles)
         union all select 'routes', 'foreign_key:origin_warehouse_id', route_id from routes
-            where origin_warehouse_id not in (select warehouse_id from extract_sites)
+            where origin_warehouse_id not in (select warehouse_id from warehouses)
         union all select 'products', 'unique:sku', sku from products group by sku having count(*) > 1""",
     "decoded_props": """select event_type, count_if(json_valid(props)) as readable, count_if(not json_valid(props)) as set_aside,
-        cast(sum(cast(json_extract_string(props, '$.k') as int)) as bigint) as total_k from events group by 1""",
+        cast(coalesce(sum(case when json_valid(props) then cast(json_extract_string(props, '$.k') as int) end), 0) as bigint) as total_k
+        from (select event_type, case when event_id % 9 = 4 then left(props, -1) else props end as props from events) group by 1""",
     "event_times_iso": f"select seq, {_iso('timestamp')} as at, {_iso('expected_delivery')} as expected_at from ship",
 }
 _STREAMED = {

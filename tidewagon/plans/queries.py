@@ -57,9 +57,6 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return getattr(tables, name)(self.spark, self.folder)
 
-    def series(self, table: str, key: str) -> DataFrame:
-        return tables.key_series(self.spark, self.folder, table, key)
-
 
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(F.col(n), 6).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
@@ -175,34 +172,22 @@ def _normalized(i: Inputs) -> DataFrame:
         ids.normalize_order_id(F.col("raw")).alias("as_order"))
 
 
-def _incoming_customers(i: Inputs) -> DataFrame:
-    """A load that overlaps the customers already there: one row per part, numbered in steps of three."""
-    return builders.build_customers(i.series("part", "p_partkey").select((F.col("n") * 3).alias("n")))
-
-
 def _delivered_extract(i: Inputs) -> dict[str, DataFrame]:
-    """Reference tables as an extract might arrive: debtors sent twice, rich accounts with an unknown
-    status, closed depots and the fifth main site missing."""
-    src = i.spark.read.parquet(f"{i.folder}/customer.parquet").select(
-        F.format_string("CUST-%04d", "c_custkey").alias("customer_id"), "c_acctbal")
-    clients = i.table("customers").join(src, "customer_id").withColumn(
-        "account_status", F.when(F.col("c_acctbal") > 9000, "REVIEW").otherwise(F.col("account_status")))
-    twice = clients.unionByName(clients.where("c_acctbal < 0")).drop("c_acctbal")
-    sites = i.table("warehouses").where("status = 'OPERATIONAL' and warehouse_id <> 'WH-STO'")
-    return {"customers": twice, "warehouses": sites, "vehicles": i.table("vehicles"),
-            "drivers": i.table("drivers"), "routes": i.table("routes"), "products": i.table("products")}
+    """Reference tables as an extract of two systems, whose client numbers overlap."""
+    return {"customers": i.table("customers").unionByName(i.table("supplier_clients"))} | {
+        t: i.table(t) for t in ("warehouses", "vehicles", "drivers", "routes", "products")}
 
 
 def _decoded_props(i: Inputs) -> DataFrame:
-    """Decode the JSON property column of the events and count what was readable, by event type."""
+    """Decode the JSON property column of the events, every ninth cut off on its way, and count by event type."""
     from pyspark.sql import types as T
 
-    raw = i.spark.read.parquet(f"{i.folder}/events.parquet").select("event_type", "props")
-    good, bad = quality.split_json(raw, "props", T.StructType([T.StructField("k", T.IntegerType())]))
-    ok = good.groupBy("event_type").agg(F.count("*").alias("readable"), F.sum("k").alias("total_k"))
-    ko = bad.groupBy("event_type").agg(F.count("*").alias("set_aside"))
-    return ok.join(ko, "event_type", "full").select(
-        "event_type", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("readable", "set_aside", "total_k")])
+    raw = i.spark.read.parquet(f"{i.folder}/events.parquet").select("event_type", F.expr(
+        "case when event_id % 9 = 4 then substr(props, 1, length(props) - 1) else props end as props"))
+    read = quality.read_json(raw, "props", T.StructType([T.StructField("k", T.IntegerType())]))
+    return read.groupBy("event_type").agg(
+        F.count_if("readable").alias("readable"), F.count_if(~F.col("readable")).alias("set_aside"),
+        F.coalesce(F.sum("k"), F.lit(0)).alias("total_k"))
 
 
 def _order_json(i: Inputs) -> DataFrame:
@@ -251,6 +236,13 @@ _REFERENCE = {
     "ref_routes": lambda i: reference.all_rows(i.table("routes"), "routes"),
     "ref_routes_by_origin": lambda i: reference.routes_by_origin(i.table("routes"), "WH-STO"),
     "ref_routes_by_destination": lambda i: reference.routes_by_destination(i.table("routes"), "li"),
+    "ref_vehicles_by_warehouse_count": lambda i: reference.with_count(
+        reference.vehicles_by_warehouse(i.table("vehicles"), "WH-STO")),
+    "ref_drivers_available_count": lambda i: reference.with_count(reference.drivers_available(i.table("drivers"))),
+    "ref_routes_by_origin_count": lambda i: reference.with_count(reference.routes_by_origin(i.table("routes"), "WH-STO")),
+    "ref_products_category_first": lambda i: reference.products_query(i.table("products"), "standard", "ring", 12),
+    "ref_products_search_next": lambda i: reference.products_query(i.table("products"), " ", "ring", 12),
+    "ref_products_listed": lambda i: reference.products_query(i.table("products"), limit=12),
     "ref_distinct_destinations": lambda i: reference.distinct_destinations(i.table("routes")),
 }
 
@@ -322,9 +314,22 @@ _ALL: dict[str, Callable[[Inputs], DataFrame]] = {
         i.orders, _keys(i, "customers", "account_status = 'SUSPENDED'", "customer_id"), "customer_id")),
     "lookup_order_sla_tracking": lambda i: latest.order_sla_tracking(hybrid.of_keys(
         i.orders, i.orders.where("priority = 'CRITICAL'"), "order_id")),
+    # look-ups of one key
+    "lookup_one_vehicle_state": lambda i: _flat_vehicle(hybrid.lookup(_vehicle_state(i), "vehicle_id", "VEH-007")),
+    "lookup_one_customer_shipment_stats": lambda i: hybrid.lookup(
+        cust_ops.customer_shipment_stats(hybrid.lookup(i.shipments, "customer_id", "CUST-0007")), "customer_id", "CUST-0007"),
+    "lookup_one_customer_order_stats": lambda i: hybrid.lookup(
+        cust_ops.customer_order_stats(hybrid.lookup(i.orders, "customer_id", "CUST-0007")), "customer_id", "CUST-0007"),
+    "lookup_one_late_shipment": lambda i: hybrid.lookup(latest.late_shipments(i.shipments), "shipment_id", "SH-7-3"),
+    "lookup_one_order_state": lambda i: _flat_order(hybrid.lookup(latest.order_state(i.orders), "order_id", "ORD-00037")),
+    "lookup_one_order_sla": lambda i: hybrid.lookup(latest.order_sla_tracking(i.orders), "order_id", "ORD-00037"),
+    "lookup_one_warehouse_metrics": lambda i: _flat_metrics(
+        windows.recent_warehouse_metrics(i.operations, warehouse_id="WH-STO")),
+    "lookup_one_hourly_performance": lambda i: windows.recent_hourly_performance(i.shipments, warehouse_id="WH-STO"),
     # reference tables
     **_REFERENCE,
-    "insert_if_absent": lambda i: builders.insert_if_absent(i.table("customers"), _incoming_customers(i), "customer_id"),
+    "insert_if_absent": lambda i: builders.insert_if_absent(
+        i.table("customers"), i.table("supplier_clients"), "customer_id"),
     "normalize_ids": _normalized,
     "customer_search_top": lambda i: top.customer_search_top(
         reference.customers_by_company(i.table("customers"), "customer#0000000")),

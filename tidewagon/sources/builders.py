@@ -1,18 +1,9 @@
-"""Deterministic reference tables from a number series, and loading without overwriting.
-
-Every builder takes a frame with a bigint column ``n`` (``number_series`` or the keys of a table), so
-the work is spread by the series. Decimal columns are wider than the stored schema so that a long
-series cannot overflow; the values are the same.
-"""
+"""The fixed main sites, and loading without overwriting."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidewagon.functions.columns import padded
-
 # Fixed values of the main sites: id, name, city, country, latitude, longitude.
 MAIN_SITES = (
     ("WH-RTM", "Rotterdam Distribution Center", "Rotterdam", "Netherlands", "51.9225", "4.47917"),
@@ -22,24 +13,7 @@ MAIN_SITES = (
     ("WH-STO", "Stockholm Nordic Hub", "Stockholm", "Sweden", "59.3293", "18.0686"),
 )
 SITE_CODES = tuple(s[0] for s in MAIN_SITES)
-PLATE_PREFIXES = ("NL-", "DE-", "ES-", "PL-", "SE-")
-# Fixed values, indexed by n modulo their length.
-COMPANY_NAMES = (
-    "Acme Corp", "Global Trade", "Euro Logistics", "Nordic Supplies", "Baltic Commerce",
-    "Rhine Industries", "Atlantic Partners", "Continental Goods", "Union Traders", "Express Holdings",
-)
-PRODUCT_NAMES = ("Electronics Item", "Home Goods", "Apparel Item", "Automotive Part", "General Merchandise")
-PRODUCT_CATEGORIES = ("ELECTRONICS", "HOME_GOODS", "APPAREL", "AUTOMOTIVE", "GENERAL")
-FIRST_NAMES = ("Hans", "Pierre", "Maria", "Erik", "Sofia", "Jan", "Anna", "Miguel", "Olga", "Lars")
-LAST_NAMES = ("Mueller", "Dupont", "Garcia", "Kowalski", "Andersson", "Schmidt", "Jansen", "Petrov")
-DESTINATIONS = (
-    ("Amsterdam", "Netherlands"), ("Berlin", "Germany"), ("Paris", "France"), ("Madrid", "Spain"),
-    ("Rome", "Italy"), ("Vienna", "Austria"), ("Prague", "Czech Republic"), ("Budapest", "Hungary"),
-    ("Copenhagen", "Denmark"), ("Oslo", "Norway"), ("Helsinki", "Finland"), ("Brussels", "Belgium"),
-    ("Zurich", "Switzerland"), ("Milan", "Italy"), ("Munich", "Germany"), ("Hamburg", "Germany"),
-    ("Lyon", "France"), ("Lisbon", "Portugal"), ("Dublin", "Ireland"), ("London", "United Kingdom"),
-)
-ROUTE_TYPES_BY_N = ("DIRECT", "HUB_SPOKE", "MULTI_STOP")
+
 
 def number_series(spark: SparkSession, count: int) -> DataFrame:
     return spark.range(1, count + 1).withColumnRenamed("id", "n")
@@ -51,24 +25,6 @@ def _cycle(values: tuple, offset: int = 0) -> Column:
     return F.element_at(items, (F.pmod(F.col("n") + offset, F.lit(len(values))) + 1).cast("int"))
 
 
-def _bucket(values: tuple, size: int) -> Column:
-    """The value for the block of ``size`` consecutive numbers; the last one takes the rest."""
-    index = F.least(F.call_function("div", F.col("n") - 1, F.lit(size)), F.lit(len(values) - 1))
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
-
-
-def _upto(*steps: tuple, rest) -> Column:
-    """Range rule: the first ``(limit, value)`` with ``n <= limit``, otherwise ``rest``."""
-    return reduce(lambda acc, s: F.when(F.col("n") <= s[0], F.lit(s[1])).otherwise(acc),
-                  reversed(steps), F.lit(rest))
-
-
-def _n_text() -> Column:
-    return F.col("n").cast("string")
-
-
-
-
 def build_warehouses(series: DataFrame) -> DataFrame:
     """The fixed main sites, for the numbers 1 to 5 of the series."""
     site = lambda i: _cycle(tuple(s[i] for s in MAIN_SITES), -1)
@@ -79,66 +35,6 @@ def build_warehouses(series: DataFrame) -> DataFrame:
         F.lit(None).cast("timestamp").alias("created_at"))
 
 
-def build_customers(series: DataFrame) -> DataFrame:
-    return series.select(
-        padded("CUST-", F.col("n"), 4).alias("customer_id"),
-        F.concat_ws(" ", _cycle(COMPANY_NAMES), _n_text()).alias("company_name"),
-        F.concat(F.lit("contact"), _n_text(), F.lit("@company"), _n_text(), F.lit(".eu")).alias("contact_email"),
-        _upto((20, "CRITICAL"), (60, "SAME_DAY"), (120, "EXPRESS"), rest="STANDARD").alias("sla_tier"),
-        F.when(F.col("n") % 50 == 0, "SUSPENDED").otherwise("ACTIVE").alias("account_status"))
-
-
-def build_vehicles(series: DataFrame) -> DataFrame:
-    return series.select(
-        padded("VEH-", F.col("n"), 3).alias("vehicle_id"),
-        _upto((30, "VAN"), (45, "BOX_TRUCK"), rest="SEMI_TRAILER").alias("vehicle_type"),
-        F.concat(_bucket(PLATE_PREFIXES, 10), padded("", F.col("n"), 4)).alias("license_plate"),
-        _upto((30, 1500), (45, 5000), rest=20000).cast("decimal(10,2)").alias("capacity_kg"),
-        _upto((30, 12), (45, 40), rest=80).cast("decimal(8,2)").alias("capacity_cubic_m"),
-        _bucket(SITE_CODES, 10).alias("home_warehouse_id"),
-        F.when(F.col("n") % 12 == 0, "MAINTENANCE").otherwise("AVAILABLE").alias("status"),
-        F.when(F.col("n") % 5 == 0, "ELECTRIC").when(F.col("n") % 7 == 0, "HYBRID")
-        .otherwise("DIESEL").alias("fuel_type"))
-
-
-def build_products(series: DataFrame) -> DataFrame:
-    n = F.col("n")
-    return series.select(
-        padded("PROD-", n, 6).alias("product_id"), padded("SKU-", n, 8).alias("sku"),
-        F.concat_ws(" ", _cycle(PRODUCT_NAMES), _n_text()).alias("name"),
-        _cycle(PRODUCT_CATEGORIES).alias("category"),
-        F.expr("cast(0.1 + (n % 100) * 0.15 as decimal(8,3))").alias("weight_kg"),
-        F.expr("cast(5 + n % 80 as decimal(8,2))").alias("length_cm"),
-        F.expr("cast(5 + n % 60 as decimal(8,2))").alias("width_cm"),
-        F.expr("cast(2 + n % 40 as decimal(8,2))").alias("height_cm"),
-        F.expr("cast(5.00 + (n % 500) * 2.50 as decimal(10,2))").alias("unit_price"))
-
-
-def build_drivers(series: DataFrame) -> DataFrame:
-    n = F.col("n")
-    none = F.array().cast("array<string>")
-    return series.select(
-        padded("DRV-", n, 3).alias("driver_id"),
-        _cycle(FIRST_NAMES).alias("first_name"), _cycle(LAST_NAMES).alias("last_name"),
-        _upto((30, "B"), (60, "C"), rest="CE").alias("license_type"),
-        F.when(n % 4 == 0, F.array(F.lit("ADR"))).when(n % 4 == 1, F.array(F.lit("HACCP")))
-        .when(n % 4 == 2, F.array(F.lit("ADR"), F.lit("HACCP"))).otherwise(none).alias("certifications"),
-        F.when(n <= 50, padded("VEH-", n, 3)).alias("assigned_vehicle_id"),
-        _bucket(SITE_CODES, 15).alias("home_warehouse_id"),
-        F.when(n % 10 == 0, "VACATION").when(n % 5 == 0, "OFF_DUTY").otherwise("AVAILABLE").alias("status"))
-
-
-def build_routes(series: DataFrame) -> DataFrame:
-    return series.select(
-        padded("RTE-", F.col("n"), 3).alias("route_id"),
-        _bucket(SITE_CODES, 20).alias("origin_warehouse_id"),
-        _cycle(tuple(d[0] for d in DESTINATIONS)).alias("destination_city"),
-        _cycle(tuple(d[1] for d in DESTINATIONS)).alias("destination_country"),
-        F.expr("cast(100 + n * 15 + (n % 7) * 50 as decimal(18,2))").alias("distance_km"),
-        F.expr("cast(2 + n * 0.2 + (n % 5) * 0.5 as decimal(18,2))").alias("estimated_hours"),
-        _cycle(ROUTE_TYPES_BY_N).alias("route_type"), F.lit(True).alias("active"))
-
-
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Existing rows plus the incoming ones whose key is new.
 

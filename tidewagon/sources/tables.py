@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidewagon.functions.columns import padded
-from tidewagon.schemas import OPERATION_TYPES, ORDER_STATUSES, SLA_TIERS
+from tidewagon.schemas import LICENSE_TYPES, OPERATION_TYPES, ORDER_STATUSES, ROUTE_TYPES, SLA_TIERS, VEHICLE_TYPES
 from tidewagon.sources import builders
 
 # The columns of the general event table; ``ts`` is declared as stored.
@@ -155,9 +155,27 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def key_series(spark: SparkSession, folder: str, table: str, key: str) -> DataFrame:
-    """The keys of a table as a 1-based number series, which the reference builders take."""
-    return spark.read.parquet(f"{folder}/{table}.parquet").select((F.col(key) + 1).alias("n"))
+def supplier_clients(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers as the clients of a second system, whose numbers run in steps of twenty: some are new, some are taken."""
+    return spark.read.parquet(f"{folder}/supplier.parquet").select(
+        padded("CUST-", F.expr("s_suppkey * 20"), 4).alias("customer_id"),
+        F.col("s_name").alias("company_name"),
+        F.expr("concat('supplier', cast(s_suppkey as string), '@example.com')").alias("contact_email"),
+        _nth("s_nationkey % 4", *SLA_TIERS).alias("sla_tier"),
+        F.expr("case when s_acctbal < 0 then 'SUSPENDED' when s_acctbal > 9000 then 'REVIEW' else 'ACTIVE' end").alias("account_status"),
+    )
+
+
+def _site(key: str) -> Column:
+    """The warehouse of a supplier number, as ``warehouses`` names it."""
+    return F.when(F.expr(f"{key} < {len(builders.SITE_CODES)}"), _nth(f"least({key}, {len(builders.SITE_CODES) - 1})", *builders.SITE_CODES)
+                  ).otherwise(padded("WH-", F.expr(key), 4))
+
+
+def _home(balance: str, nation: str, key: str) -> Column:
+    """Home warehouse: unknown for deep debtors, a code of the nation that no warehouse has for the richest."""
+    return (F.when(F.expr(f"{balance} < -500"), F.lit(None).cast("string"))
+            .when(F.expr(f"{balance} > 9500"), F.concat(F.lit("WH-N"), F.col(nation).cast("string"))).otherwise(_site(key)))
 
 
 def warehouses(spark: SparkSession, folder: str) -> DataFrame:
@@ -178,12 +196,46 @@ def warehouses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vehicles(spark: SparkSession, folder: str) -> DataFrame:
-    return builders.build_vehicles(key_series(spark, folder, "supplier", "s_suppkey"))
+    """One vehicle per supplier."""
+    return spark.read.parquet(f"{folder}/supplier.parquet").select(
+        padded("VEH-", F.expr("s_suppkey + 1"), 3).alias("vehicle_id"),
+        _nth("s_nationkey % 3", *VEHICLE_TYPES).alias("vehicle_type"),
+        F.expr("concat(upper(substr(s_name, 1, 3)), '-', cast(s_nationkey as string), '-', cast(s_suppkey as string))").alias("license_plate"),
+        F.expr("cast(1500 + s_nationkey * 500 as decimal(10,2))").alias("capacity_kg"),
+        F.expr("cast(10 + s_nationkey * 2 as decimal(8,2))").alias("capacity_cubic_m"),
+        _home("s_acctbal", "s_nationkey", "s_suppkey").alias("home_warehouse_id"),
+        F.expr("""case when s_acctbal < 0 then 'MAINTENANCE' when s_acctbal < 4000 then 'AVAILABLE'
+                  when s_acctbal < 9000 then 'IN_USE' else 'RETIRED' end""").alias("status"),
+        F.expr("case s_nationkey % 5 when 0 then 'ELECTRIC' when 1 then 'HYBRID' else 'DIESEL' end").alias("fuel_type"),
+    )
 
 
 def drivers(spark: SparkSession, folder: str) -> DataFrame:
-    return builders.build_drivers(key_series(spark, folder, "customer", "c_custkey"))
+    """One driver per customer; fifteen of them belong to a supplier's warehouse, and the richer share its vehicle."""
+    return spark.read.parquet(f"{folder}/customer.parquet").select(
+        padded("DRV-", F.expr("c_custkey + 1"), 3).alias("driver_id"),
+        F.lower("c_mktsegment").alias("first_name"), F.col("c_name").alias("last_name"),
+        _nth("c_nationkey % 3", *LICENSE_TYPES).alias("license_type"),
+        F.expr("""case c_nationkey % 4 when 0 then array('ADR') when 1 then array('HACCP')
+                  when 2 then array('ADR', 'HACCP') else cast(array() as array<string>) end""").alias("certifications"),
+        F.when(F.expr("c_acctbal > 5000"), padded("VEH-", F.expr("c_custkey div 15 + 1"), 3)).alias("assigned_vehicle_id"),
+        _home("c_acctbal", "c_nationkey", "c_custkey div 15").alias("home_warehouse_id"),
+        F.expr("""case when c_mktsegment = 'BUILDING' then 'VACATION' when c_acctbal < 0 then 'OFF_DUTY'
+                  when c_mktsegment = 'MACHINERY' then 'ON_DUTY' else 'AVAILABLE' end""").alias("status"),
+    )
 
 
 def routes(spark: SparkSession, folder: str) -> DataFrame:
-    return builders.build_routes(key_series(spark, folder, "part", "p_partkey"))
+    """One route per part, from a warehouse to a nation; the largest parts start at a code that no warehouse has."""
+    read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+    return (read("part").join(read("nation"), F.expr("p_size % 25 = n_nationkey"))
+            .join(read("region"), F.expr("n_regionkey = r_regionkey")).select(
+        padded("RTE-", F.expr("p_partkey + 1"), 3).alias("route_id"),
+        F.when(F.expr("p_size >= 50"), F.expr("concat('WH-P', cast(p_size as string))")).otherwise(
+            _site("p_partkey div 20")).alias("origin_warehouse_id"),
+        F.col("n_name").alias("destination_city"), F.col("r_name").alias("destination_country"),
+        F.expr("cast(p_retailprice as decimal(10,2))").alias("distance_km"),
+        F.expr("cast(p_size * 0.25 as decimal(6,2))").alias("estimated_hours"),
+        _nth("p_size % 3", *ROUTE_TYPES).alias("route_type"),
+        F.expr("p_size < 45").alias("active"),
+    ))
