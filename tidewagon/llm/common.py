@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 
 import pandas as pd
 import tidewagon
@@ -14,11 +15,13 @@ from tidewagon.session import shared_folder
 
 
 FEW_GROUPS = 10_000
+BATCH_ROWS = 2_000  # rows of one Arrow batch, so that a batch of whole texts stays small
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, as ``--py-files`` would."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -48,6 +51,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept_in_worker(key: tuple, make: Callable[[], object]):
+    """What a Python worker keeps for its later tasks: one thing at a time, so those of several operators do not add up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def strings(column) -> list[str | None]:
     """A pandas column of texts as Python strings, whatever it holds for null."""
     return [t if isinstance(t, str) else None for t in column.tolist()]

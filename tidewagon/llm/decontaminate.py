@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewagon.llm.common import objects, strings
+from tidewagon.llm.common import kept_in_worker, objects, strings
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -193,15 +193,11 @@ class Index:
 
 _HIT = "item_id long, score double, overlap double, question double, answer double, first_word int"
 _ARRAY = "array<struct<" + _HIT.replace(" ", ":").replace(",:", ",") + ">>"
-_WORKER: dict[bytes, Index] = {}
 
 
 def _index_of(packed: bytes) -> Index:
     key = hashlib.sha256(packed).digest()
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = Index(*pickle.loads(packed))
-    return _WORKER[key]
+    return kept_in_worker(("items", key), lambda: Index(*pickle.loads(packed)))
 
 
 def indexes(benchmark: DataFrame, size: int = INDEX_ITEMS) -> Iterator[bytes]:

@@ -26,7 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidewagon.llm.common import objects, strings
+from tidewagon.llm.common import kept_in_worker, objects, strings
 
 MIN_SHARE, MAX_SHARE = 0.002, 0.2
 # Each subset takes this share of the lexicon; every share is used for ``DRAWS`` subsets.
@@ -118,15 +118,12 @@ def edited(text: str, following: str) -> str:
 
 _RESULT = ("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
            "near_edited double, near_next double")
-_WORKER: dict[bytes, Lexicon] = {}
 
 
 def _lexicon_of(packed: bytes) -> Lexicon:
     key = hashlib.sha256(packed).digest()
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = Lexicon(packed.decode("utf-8", "surrogatepass").split("\n") if packed else [])
-    return _WORKER[key]
+    return kept_in_worker(("lexicon", key), lambda: Lexicon(
+        packed.decode("utf-8", "surrogatepass").split("\n") if packed else []))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -24,14 +24,14 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidewagon.llm.common import objects, strings, written
+from tidewagon.llm.common import kept_in_worker, objects, strings, written
 
 CAPACITY = 4096
 OPEN_BINS = 256
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 TASKS_MERGED = 16  # so many tasks' open bins are put together: at most TASKS_MERGED * OPEN_BINS rows
-KNOWN_WORDS = 1_200_000
+KNOWN_WORDS = 400_000
 
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -96,14 +96,9 @@ class Ids(dict):
         return b"".join(map(self.__getitem__, pieces))
 
 
-_WORKER: dict[str, Ids] = {}
-
-
 def ids_of(path: str) -> Ids:
     """The memory of this Python worker for a tokenizer file; it serves all tasks that the worker runs."""
-    if path not in _WORKER:
-        _WORKER[path] = Ids(path)
-    return _WORKER[path]
+    return kept_in_worker(("packing", path), lambda: Ids(path))
 
 
 class BestFit:

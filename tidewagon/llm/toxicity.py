@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewagon.llm.common import held_out, labelled_texts, objects, strings
+from tidewagon.llm.common import held_out, kept_in_worker, labelled_texts, objects, strings
 
 THRESHOLD = 0.3
 SENTENCE_THRESHOLD = 0.3
@@ -32,7 +32,7 @@ TRAIN_MAX_CHARS = 40_000
 BUCKETS = 1 << 20
 MIN_DOCUMENTS = 4
 MODULUS, REST = 4, 2
-KNOWN_WORDS = 600_000  # entries of a worker's word memory before it starts anew
+KNOWN_WORDS = 300_000  # entries of a worker's word memory before it starts anew
 
 _TOKEN = re.compile(r"[^\W_]+|[.!?\n]+")
 _END = ".!?\n"
@@ -174,16 +174,10 @@ class Scorer:
         return found
 
 
-_WORKER: dict[bytes, Scorer] = {}
-
-
 def _scorer(model: Model) -> Scorer:
     """The scorer of this Python worker: its word memory serves all tasks that the worker runs."""
     key = model.buckets.tobytes() + model.weights.tobytes() + np.float64(model.bias).tobytes()
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = Scorer(model)
-    return _WORKER[key]
+    return kept_in_worker(("toxicity", key), lambda: Scorer(model))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
