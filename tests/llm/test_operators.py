@@ -225,6 +225,26 @@ def test_question_and_answer_must_both_be_there():
     assert not index.hits(" ".join(reversed(item.split())))  # the words without their order
 
 
+def test_a_long_text_in_stretches_meets_the_same_items():
+    rng = np.random.default_rng(3)
+    names = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(rng.choice(names, 30))) for k in range(12)]
+    df = {}
+    for _, text in items:
+        for term in set(decontaminate.words(text)):
+            df[term] = df.get(term, 0) + 1
+    index = decontaminate.Index(items, df, len(items), 30.0)
+    parts = []
+    for k in (4, 7, 4, 11, 0):
+        parts += [" ".join(rng.choice(names, int(rng.integers(40, 300)))), items[k][1], "other " * 90]
+    numbers = index.numbers(decontaminate.words(" ".join(parts)))
+    whole = [h["item_id"] for h in index.hits(" ".join(parts))]
+    assert set(whole) == {0, 4, 7, 11}
+    plain = set(index.candidates(numbers, decontaminate.THRESHOLD).tolist())
+    for cells in (1, 2 * index.blocks, 5 * index.blocks):
+        assert plain == set(index.candidates(numbers, decontaminate.THRESHOLD, cells).tolist())
+
+
 # --- 4 language model -------------------------------------------------------------------------------------
 
 

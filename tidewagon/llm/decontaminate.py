@@ -39,6 +39,7 @@ PART = 0.5  # least overlap of the question and of the answer alone
 INDEX_ITEMS = 20_000  # items of one index
 BLOCK = 2  # items of a block of the index
 PASSAGE = 128  # least words of a passage; passages overlap by half
+CELLS = 1 << 21  # bounds (half passage, block) in memory at a time
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?\n]+\s*(?=\S)")
 
@@ -103,8 +104,24 @@ class Index:
         get = self.get
         return np.fromiter((get(t, unknown) for t in terms), dtype=np.int64, count=len(terms))
 
-    def candidates(self, numbers: np.ndarray, threshold: float) -> np.ndarray:
-        """Passages of a text (by the number of their first half) that have a block above the threshold."""
+    def candidates(self, numbers: np.ndarray, threshold: float, cells: int = CELLS) -> np.ndarray:
+        """Passages of a text (by the number of their first half) that have a block above the threshold.
+
+        A long text goes in stretches of about ``cells`` bounds; each takes the first half of the next one along.
+        """
+        halves = -(-len(numbers) // self.half)
+        step = max(1, cells // max(1, self.blocks))
+        found = []
+        for first in range(0, halves, step):
+            stretch = numbers[first * self.half:(first + step + 1) * self.half]
+            last = min(first + step + 1, halves) == halves
+            here = self._above(stretch, threshold)
+            found.append(first + (here if last else here[here < step]))
+            if last:
+                break
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+    def _above(self, numbers: np.ndarray, threshold: float) -> np.ndarray:
         at = np.flatnonzero(numbers < len(self.posts))
         if not len(at):
             return at
@@ -113,7 +130,7 @@ class Index:
         half, known = np.divmod(pair, len(self.posts))
         size = self.size[known]
         post = np.repeat(self.first[known] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        count = int(half[-1]) + 1
+        count = -(-len(numbers) // self.half)
         bound = np.bincount(np.repeat(half, size) * self.blocks + self.flat_block[post], weights=self.flat_max[post],
                             minlength=count * self.blocks).reshape(count, self.blocks)
         both = bound[:-1] + bound[1:] if count > 1 else bound
