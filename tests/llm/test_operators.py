@@ -268,6 +268,25 @@ def test_learning_raises_the_likelihood():
     assert all(np.array_equal(a, b) for a, b in zip(lm.from_bytes(lm.to_bytes(net)).values(), net.values()))
 
 
+def test_no_word_loses_its_spelling(spark):
+    pieces = lm.merged_pieces({"the": 50, "then": 9, "thé": 3})
+    known = lm.Vocabulary(pieces)
+    for text in ("the then hen", "rare unheard-of \u4e2d words", "\u2581 the", "\U0001f600"):
+        spelled, at, tokens = b"", 0, known.tokens(text).tolist()
+        while at < len(tokens):
+            if tokens[at] < lm.PIECES:
+                spelled += pieces[tokens[at]].encode()
+                at += 1
+            else:
+                spelled += bytes([(tokens[at] - lm.PIECES) * 16 + tokens[at + 1] - lm.PIECES - 16])
+                at += 2
+        assert spelled.decode() == "".join(" " + w for w in text.split())
+    # Two texts with rare words of one length: before, both had the same tokens and so the same log_prob.
+    data = [(i, prose(i, 60)) for i in range(20)] + [(100, "alpha3 river beta4"), (101, "alpha3 xqzvk beta4")]
+    found = {r.doc_id: r.log_prob for r in lm.score_documents(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert found[100] != found[101]
+
+
 # --- 5 URL lists ------------------------------------------------------------------------------------------
 
 

@@ -1,8 +1,10 @@
 """LM scoring (4): masked pseudo-likelihood.
 
 A bidirectional window network predicts every token from the tokens on both sides of it; the summed
-conditional log-probabilities score a document. Tokens are words: the most frequent words of all documents, counted
-over the whole corpus, and classes by length for the rest, so every word is predicted.
+conditional log-probabilities score a document. Tokens are ids of a subword tokenizer: word beginnings, pieces and
+single characters, merged pair by pair (BPE) from the most frequent words of all documents, counted over the whole corpus.
+A word is cut into the longest pieces; a character without a token is its UTF-8 bytes, two half-byte tokens each. So
+every word keeps its spelling, as target and as context, and its probability is a product over its parts.
 
 The network (embeddings, one hidden layer, softmax) is trained in numpy where the data is: every task starts from the
 same weights, learns from a fixed share of the tokens of its own documents, all documents included, and the weights of the
@@ -15,42 +17,129 @@ token in the corpus the network is untrained, and there is nothing to score.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewagon.llm.common import objects, strings
+from tidewagon.llm.common import objects, strings, written
 
-WORDS = 240
-SHAPES = 15  # classes of other words by length
-EDGE = WORDS + SHAPES  # what stands beyond both ends of a text
-SIZE = EDGE + 1
+PIECES = 223  # pieces of the tokenizer: characters and what is merged from them
+CHARACTERS = 128  # at most so many of them single characters
+HALVES = 32  # tokens of the upper and lower half-bytes of all other characters
+EDGE = PIECES + HALVES  # what stands beyond both ends of a text
+SIZE = EDGE + 1  # at most 256: a token is kept as one byte
+MERGE_WORDS = 20_000  # most frequent words, from which pieces are merged
+START = " "  # stands before a word, so no word has it
 SIDE = 2  # tokens seen on each side
 WIDTH, HIDDEN = 16, 32
 RATE = 32  # every so many tokens one is learned from, beginning at another one in each round
 ROUNDS = 2
 BATCH = 512
-SLAB = 8192  # tokens per matrix product
+SLAB = 8192  # tokens that are scored together
+LEARNED = 65_536  # tokens that are put in random order and learned from together
+PRODUCT = 1024  # tokens per matrix product
 HELD_WORDS = 400_000
+KNOWN_WORDS = 200_000  # words whose tokens a worker remembers before it starts anew
 TREE = 64
 
 
+def merged_pieces(counts: dict[str, int]) -> list[str]:
+    """Single characters and the pieces that merging the most frequent neighbours gives, ties in order of the pair."""
+    letters: Counter = Counter()
+    for word, n in counts.items():
+        for c in word:
+            letters[c] += n
+    single = [START] + sorted(sorted(letters), key=lambda c: -letters[c])[:CHARACTERS - 1]
+    known = set(single)
+    # A character without a piece of its own parts a word; nothing is merged over it.
+    parts, weight = [], []
+    for word, n in counts.items():
+        run: list[str] = []
+        for c in [START, *word, ""]:
+            if c in known:
+                run.append(c)
+            else:
+                if len(run) > 1:
+                    parts.append(run)
+                    weight.append(n)
+                run = []
+    pairs: Counter = Counter()
+    where: dict[tuple, set[int]] = defaultdict(set)
+    for at, run in enumerate(parts):
+        for pair in zip(run, run[1:]):
+            pairs[pair] += weight[at]
+            where[pair].add(at)
+    pieces = list(single)
+    while len(pieces) < PIECES and pairs:
+        best = min(pairs, key=lambda p: (-pairs[p], p))
+        if pairs[best] <= 0:
+            break
+        joined = best[0] + best[1]
+        if joined not in known:
+            known.add(joined)
+            pieces.append(joined)
+        for at in where.pop(best):
+            old, new, i = parts[at], [], 0
+            for pair in zip(old, old[1:]):
+                pairs[pair] -= weight[at]
+            while i < len(old):
+                both = i + 1 < len(old) and (old[i], old[i + 1]) == best
+                new.append(joined if both else old[i])
+                i += 1 + both
+            parts[at] = new
+            for pair in zip(new, new[1:]):
+                pairs[pair] += weight[at]
+                where[pair].add(at)
+        del pairs[best]
+    return pieces
+
+
+def _longest(pieces: Iterable[str]) -> str:
+    """A pattern of the longest piece at a place: a tree of their characters."""
+    below: dict[str, list[str]] = {}
+    for piece in pieces:
+        if piece:
+            below.setdefault(piece[0], []).append(piece[1:])
+    if not below:
+        return ""
+    inner = "|".join(re.escape(c) + _longest(rest) for c, rest in below.items())
+    return f"(?:{inner})" + ("?" if "" in pieces else "")
+
+
 class Vocabulary(dict):
-    """Word to token; other words by their length."""
+    """Word to its tokens, one byte each; remembers the words that it has met."""
+
+    def __init__(self, pieces: list[str]):
+        super().__init__()
+        self.ids = {p: bytes([i]) for i, p in enumerate(pieces)}
+        self.cut = re.compile(_longest(list(pieces)) + r"|[\s\S]" if pieces else r"[\s\S]").findall
 
-    def __init__(self, frequent: list[str]):
-        super().__init__((w, i) for i, w in enumerate(frequent))
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = tokens = b"".join([self.ids.get(p) or self.halves(p) for p in self.cut(START + word)])
+        return tokens
 
-    def __missing__(self, word: str) -> int:
-        return WORDS + min(len(word), SHAPES) - 1
+    @staticmethod
+    def halves(character: str) -> bytes:
+        """Upper and lower half of every byte of a character without a piece."""
+        data = character.encode("utf-8", "surrogatepass")
+        return bytes(t for byte in data for t in (PIECES + (byte >> 4), PIECES + 16 + (byte & 15)))
+
+    def packed(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, (text or "").lower().split()))
 
     def tokens(self, text: str | None) -> np.ndarray:
-        split = (text or "").lower().split()
-        return np.fromiter(map(self.__getitem__, split), dtype=np.int32, count=len(split))
+        return unpacked(self.packed(text))
+
+
+def unpacked(tokens: bytes | None) -> np.ndarray:
+    return np.frombuffer(tokens or b"", dtype=np.uint8).astype(np.int32)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -69,9 +158,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame) -> list[str]:
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    return [r["word"] for r in top]
+def corpus_pieces(docs: DataFrame) -> list[str]:
+    """The pieces of the tokenizer; none for a corpus without words."""
+    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(MERGE_WORDS).collect()
+    return merged_pieces({r["word"]: r["n"] for r in top}) if top else []
+
+
+def tokenized(docs: DataFrame, pieces: list[str]) -> DataFrame:
+    """(doc_id, tokens) as a written table, so texts are cut once for all rounds and the scores."""
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+
+    @F.pandas_udf("binary")
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Vocabulary(shared.value)
+        for texts in batches:
+            yield objects(known.packed(t) for t in strings(texts))
+
+    return written(docs.select("doc_id", packed("text").alias("tokens")), "lm-tokens")
 
 
 _SHAPE = {"embed": (SIZE, WIDTH), "inner": (2 * SIDE * WIDTH, HIDDEN), "shift": (HIDDEN,), "outer": (HIDDEN, SIZE),
@@ -97,11 +200,13 @@ def from_bytes(data: bytes) -> dict[str, np.ndarray]:
     return net
 
 
-def contexts(tokens: np.ndarray) -> np.ndarray:
-    """For every token the ``SIDE`` tokens before it and after it; the token itself is masked."""
+def contexts(tokens: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
+    """For every token, or those at ``places``, the ``SIDE`` tokens before it and after it; the token itself is masked."""
     edge = np.full(SIDE, EDGE, dtype=np.int32)
     padded = np.concatenate([edge, tokens, edge])
     offsets = [k for k in range(2 * SIDE + 1) if k != SIDE]
+    if places is not None:
+        return np.stack([padded[places + k] for k in offsets], axis=1)
     return np.stack([padded[k:k + len(tokens)] for k in offsets], axis=1)
 
 
@@ -112,8 +217,8 @@ def log_probabilities(net: dict, tokens: np.ndarray, around: np.ndarray | None =
     tables = [net["embed"] @ net["inner"][k * WIDTH:(k + 1) * WIDTH] for k in range(2 * SIDE)]
     out = np.empty(len(tokens), dtype=np.float64)
     ones = np.ones(SIZE, dtype=np.float32)
-    for a in range(0, len(tokens), SLAB):
-        near, target = around[a:a + SLAB], tokens[a:a + SLAB]
+    for a in range(0, len(tokens), PRODUCT):
+        near, target = around[a:a + PRODUCT], tokens[a:a + PRODUCT]
         hidden = net["shift"] + tables[0][near[:, 0]]
         for k in range(1, 2 * SIDE):
             hidden += tables[k][near[:, k]]
@@ -123,30 +228,37 @@ def log_probabilities(net: dict, tokens: np.ndarray, around: np.ndarray | None =
         np.minimum(logits, 60, out=logits)
         chosen = logits[np.arange(len(target)), target]
         np.exp(logits, out=logits)
-        out[a:a + SLAB] = chosen - np.log(logits @ ones)
+        out[a:a + PRODUCT] = chosen - np.log(logits @ ones)
     return out
 
 
-def learn(net: dict, tokens: np.ndarray, around: np.ndarray, rate: float) -> None:
-    """One pass over the examples in small batches, with Adagrad, in place."""
-    power = {k: np.full_like(v, 0.1) for k, v in net.items()}
+def learn(net: dict, tokens: np.ndarray, around: np.ndarray, rate: float, power: dict | None = None) -> None:
+    """One pass over the examples in small batches, with Adagrad, in place; ``power`` goes on from an earlier pass."""
+    power = no_power(net) if power is None else power
+    ones = np.ones(SIZE, dtype=np.float32)
     for a in range(0, len(tokens), BATCH):
         near, target = around[a:a + BATCH], tokens[a:a + BATCH]
         x = net["embed"][near].reshape(len(near), -1)
         raw = x @ net["inner"] + net["shift"]
         hidden = np.maximum(raw, 0)
-        logits = hidden @ net["outer"] + net["bias"]
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(target)), target] -= 1
-        p /= len(target)
+        p = hidden @ net["outer"]
+        p += net["bias"]
+        np.minimum(p, 60, out=p)
+        np.exp(p, out=p)
+        p *= (1 / (len(target) * (p @ ones)))[:, None]
+        p[np.arange(len(target)), target] -= 1 / len(target)
         dh = (p @ net["outer"].T) * (raw > 0)
-        dx = (dh @ net["inner"].T).reshape(-1, WIDTH)
+        dx = np.ascontiguousarray((dh @ net["inner"].T).reshape(-1, WIDTH).T)
+        places = near.ravel()
         grad = {"outer": hidden.T @ p, "bias": p.sum(axis=0), "inner": x.T @ dh, "shift": dh.sum(axis=0),
-                "embed": np.stack([np.bincount(near.ravel(), weights=dx[:, e], minlength=SIZE) for e in range(WIDTH)], 1)}
+                "embed": np.stack([np.bincount(places, weights=w, minlength=SIZE) for w in dx], 1).astype(np.float32)}
         for k, g in grad.items():
             power[k] += g * g
-            net[k] -= (rate * g / np.sqrt(power[k])).astype(np.float32)
+            net[k] -= rate * g / np.sqrt(power[k])
+
+
+def no_power(net: dict) -> dict[str, np.ndarray]:
+    return {k: np.full_like(v, 0.1) for k, v in net.items()}
 
 
 def _average(parts: DataFrame) -> DataFrame:
@@ -161,40 +273,41 @@ def _average(parts: DataFrame) -> DataFrame:
             .applyInPandas(add, "node long, weight double, sums binary"))
 
 
-def one_round(docs: DataFrame, vocabulary: list[str], start: bytes, number: int) -> bytes:
+def one_round(held: DataFrame, start: bytes, number: int) -> bytes:
     """Weights after every task has learned from its documents, averaged by their tokens."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary, start))
+    shared = held.sparkSession.sparkContext.broadcast(start)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, weights = shared.value
-        known, net = Vocabulary(words), from_bytes(weights)
-        seen, held, around = 0, [], []
+        net = from_bytes(shared.value)
+        power = no_power(net)
+        seen, size, waiting, around = 0, 0, [], []
 
         def run():
-            nonlocal held, around
-            if held:
-                tokens, near = np.concatenate(held), np.concatenate(around)
+            nonlocal size, waiting, around
+            if waiting:
+                tokens, near = np.concatenate(waiting), np.concatenate(around)
                 order = np.random.default_rng(seen).permutation(len(tokens))
-                learn(net, tokens[order], near[order], 0.1 / (1 + number))
-            held, around = [], []
+                learn(net, tokens[order], near[order], 0.1 / (1 + number), power)
+            size, waiting, around = 0, [], []
 
         for part in batches:
-            for text in strings(part["text"]):
-                tokens = known.tokens(text)
-                # The first example moves from text to text, so short texts and all places take part.
-                first = (seen + number * RATE // ROUNDS) % RATE
-                picked = np.arange(first % max(1, min(RATE, len(tokens))), len(tokens), RATE)
+            for data in part["tokens"]:
+                tokens = unpacked(data)
+                picked = lessons(tokens, seen, number)
                 seen += len(tokens)
-                if len(picked):
-                    held.append(tokens[picked])
-                    around.append(contexts(tokens)[picked])
-            run()
+                for a in range(0, len(picked), LEARNED):
+                    some = picked[a:a + LEARNED]
+                    waiting.append(tokens[some])
+                    around.append(contexts(tokens, some))
+                    size += len(some)
+                    if size >= LEARNED:
+                        run()
+        run()
         flat = np.frombuffer(to_bytes(net), dtype=np.float32).astype(np.float64)
         yield pd.DataFrame({"node": [TaskContext.get().partitionId()], "weight": [float(seen)],
                             "sums": [(flat * seen).tobytes()]})
 
-    parts = docs.select("text").mapInPandas(work, "node long, weight double, sums binary")
+    parts = held.select("tokens").mapInPandas(work, "node long, weight double, sums binary")
     rows = _average(_average(parts)).collect()  # one row per TREE * TREE tasks
     weight = sum(r["weight"] for r in rows)
     if not weight:
@@ -203,40 +316,46 @@ def one_round(docs: DataFrame, vocabulary: list[str], start: bytes, number: int)
     return (total / weight).astype(np.float32).tobytes()
 
 
-def fit(docs: DataFrame) -> tuple[list[str], bytes]:
-    vocabulary = frequent_words(docs)
+def lessons(tokens: np.ndarray, seen: int, number: int) -> np.ndarray:
+    """Places of the tokens that are learned from in a round."""
+    # The first example moves from text to text, so short texts and all places take part.
+    first = (seen + number * RATE // ROUNDS) % RATE
+    return np.arange(first % max(1, min(RATE, len(tokens))), len(tokens), RATE)
+
+
+def fit(held: DataFrame) -> bytes:
+    """Weights learned from tokens; without any they stay those of the start."""
     weights = to_bytes(new_network())
-    for number in range(ROUNDS if vocabulary else 0):
-        weights = one_round(docs, vocabulary, weights, number)
-    return vocabulary, weights
+    for number in range(ROUNDS):
+        weights = one_round(held, weights, number)
+    return weights
 
 
-def scored(model: tuple[list[str], bytes], docs: DataFrame, text: Column) -> Column:
+def scored(weights: bytes, held: DataFrame) -> Column:
     """Struct (n_tokens, log_prob)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = held.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("n_tokens long, log_prob double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words, weights = shared.value
-        known, net = Vocabulary(words), from_bytes(weights)
+        net = from_bytes(shared.value)
         for texts in batches:
             sizes, sums = [], []
-            for tokens, near in _grouped(known, strings(texts)):
+            for tokens, near in _grouped(texts):
                 ends = np.cumsum([len(t) for t in tokens])
                 values = np.concatenate([[0.0], np.cumsum(log_probabilities(net, np.concatenate(tokens), near))])
                 sizes += [len(t) for t in tokens]
                 sums += (values[ends] - values[np.concatenate([[0], ends[:-1]])]).tolist()
             yield pd.DataFrame({"n_tokens": sizes, "log_prob": sums})
 
-    return score(text)
+    return score("tokens")
 
 
-def _grouped(known: Vocabulary, texts) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+def _grouped(texts) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     """Texts together until they fill a slab, so that short ones share a matrix product."""
     tokens: list[np.ndarray] = []
     size = 0
-    for text in texts:
-        tokens.append(known.tokens(text))
+    for data in texts:
+        tokens.append(unpacked(data))
         size += len(tokens[-1])
         if size >= SLAB:
             yield tokens, np.concatenate([contexts(t) for t in tokens])
@@ -247,7 +366,7 @@ def _grouped(known: Vocabulary, texts) -> Iterator[tuple[list[np.ndarray], np.nd
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, summed log_prob and its mean of every document."""
-    model = fit(docs)
-    return docs.select("doc_id", scored(model, docs, F.col("text")).alias("s")).select(
+    held = tokenized(docs, corpus_pieces(docs))
+    return held.select("doc_id", scored(fit(held), held).alias("s")).select(
         "doc_id", "s.n_tokens", "s.log_prob",
         F.when(F.col("s.n_tokens") > 0, F.col("s.log_prob") / F.col("s.n_tokens")).alias("mean_log_prob"))
