@@ -287,6 +287,13 @@ def test_no_word_loses_its_spelling(spark):
     assert found[100] != found[101]
 
 
+def test_every_token_is_learned_from():
+    for size in (0, 1, 2, 16, 31, 1000):
+        tokens = np.random.default_rng(size).integers(0, lm.EDGE, size=size).astype(np.int32)
+        places = np.concatenate([lm.lessons(tokens, number) for number in range(lm.ROUNDS)])
+        assert sorted(places.tolist()) == list(range(size))
+
+
 # --- 5 URL lists ------------------------------------------------------------------------------------------
 
 

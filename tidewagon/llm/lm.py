@@ -7,9 +7,9 @@ A word is cut into the longest pieces; a character without a token is its UTF-8
 every word keeps its spelling, as target and as context, and its probability is a product over its parts.
 
 The network (embeddings, one hidden layer, softmax) is trained in numpy where the data is: every task starts from the
-same weights, learns from a fixed share of the tokens of its own documents, all documents included, and the weights of the
-tasks are averaged in proportion to their tokens, in a tree. Two such rounds are made. What is gathered grows
-with the input; what a task or the driver holds does not.
+same weights, learns from the tokens of its own documents, and the weights of the tasks are averaged in proportion to
+their tokens, in a tree. Two such rounds are made; each takes every second token of a text, so every token is
+learned from exactly once. What is gathered grows with the input; what a task or the driver holds does not.
 
 Cases: null, empty and blank texts have no token: log-probability 0, mean null. Repeated rows score alike. Without any
 token in the corpus the network is untrained, and there is nothing to score.
@@ -37,8 +37,7 @@ MERGE_WORDS = 20_000  # most frequent words, from which pieces are merged
 START = " "  # stands before a word, so no word has it
 SIDE = 2  # tokens seen on each side
 WIDTH, HIDDEN = 16, 32
-RATE = 32  # every so many tokens one is learned from, beginning at another one in each round
-ROUNDS = 2
+ROUNDS = 2  # of every so many tokens each round learns from another one, so together from all
 BATCH = 512
 SLAB = 8192  # tokens that are scored together
 LEARNED = 65_536  # tokens that are put in random order and learned from together
@@ -293,7 +292,7 @@ def one_round(held: DataFrame, start: bytes, number: int) -> bytes:
         for part in batches:
             for data in part["tokens"]:
                 tokens = unpacked(data)
-                picked = lessons(tokens, seen, number)
+                picked = lessons(tokens, number)
                 seen += len(tokens)
                 for a in range(0, len(picked), LEARNED):
                     some = picked[a:a + LEARNED]
@@ -316,11 +315,10 @@ def one_round(held: DataFrame, start: bytes, number: int) -> bytes:
     return (total / weight).astype(np.float32).tobytes()
 
 
-def lessons(tokens: np.ndarray, seen: int, number: int) -> np.ndarray:
-    """Places of the tokens that are learned from in a round."""
-    # The first example moves from text to text, so short texts and all places take part.
-    first = (seen + number * RATE // ROUNDS) % RATE
-    return np.arange(first % max(1, min(RATE, len(tokens))), len(tokens), RATE)
+def lessons(tokens: np.ndarray, number: int) -> np.ndarray:
+    """Places of the tokens that are learned from in a round; over all rounds every place comes once."""
+    # The start depends on the text alone, so the order of rows does not matter, and short texts take part in any round.
+    return np.arange((int(tokens.sum()) + number) % ROUNDS, len(tokens), ROUNDS)
 
 
 def fit(held: DataFrame) -> bytes:
