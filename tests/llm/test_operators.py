@@ -314,6 +314,14 @@ def test_entries_hold_from_their_day_until_removed(spark):
                    (6, True, "l"), (7, False, ""), (8, False, ""), (9, False, ""), (10, False, "")]
 
 
+def test_case_counts_in_the_path_only(spark):
+    entries = spark.sql("select 'l' as list, 'X.org/Ads' as pattern, 'add' as action, date'2024-01-01' as day")
+    captures = spark.sql("""select * from values (1,'http://x.org/Ads',date'2024-01-02'), (2,'http://X.ORG/Ads/b',date'2024-01-02'),
+        (3,'http://x.org/ads',date'2024-01-02') as t(page_id, url, fetched)""")
+    found = urlfilter.evaluate(captures, entries).collect()
+    assert sorted((r.page_id, r.blocked, r.pattern) for r in found) == [(1, True, "x.org/Ads"), (2, True, "x.org/Ads"), (3, False, None)]
+
+
 # --- 7 personal data --------------------------------------------------------------------------------------
 
 

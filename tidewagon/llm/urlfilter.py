@@ -2,7 +2,7 @@
 
 Dated list entries (``add`` or ``remove`` of a pattern) become validity intervals. Each capture is
 evaluated by an as-of join against the entries active on the day of its fetch. A pattern is a domain, which covers its
-subdomains, or a host with the first segment of the path.
+subdomains, or a host with the first segment of the path. Hosts are compared in lower case, segments as they are written.
 
 All of it is DataFrame work. Captures are first reduced to their distinct (host, segment, day), so a host with
 most of the captures is a few rows per day in the join; a capture's verdict depends on nothing else.
@@ -27,11 +27,17 @@ def segment_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _SEGMENT, 1), F.lit(""))
 
 
+def listed(pattern: Column) -> Column:
+    """A pattern as captures have it: the host in lower case, a segment as it is written."""
+    host = F.regexp_extract(pattern, r"^[^/]*", 0)
+    return F.concat(F.lower(host), F.substring(pattern, F.length(host) + 1, F.length(pattern)))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, pattern, valid_from, valid_to): when a pattern is on a list; ``valid_to`` is exclusive, null is open."""
     daily = (entries.where(F.col("action").isin("add", "remove"))
              .where("list is not null and pattern is not null and day is not null")
-             .groupBy("list", F.lower("pattern").alias("pattern"), "day")
+             .groupBy("list", listed(F.col("pattern")).alias("pattern"), "day")
              .agg(F.min(F.col("action") == "add").alias("active")))
     history = Window.partitionBy("list", "pattern").orderBy("day")
     # Only changes count, so every interval is as long as it can be and no two of a pattern touch.
