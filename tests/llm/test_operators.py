@@ -462,3 +462,16 @@ def test_fingerprint_hashes_sorted_distinct_terms():
     b = a[:-1] + ["t150"]
     assert 0.3 < imatch.likeness(lexicon.fingerprint(a), lexicon.fingerprint(b)) < 1
     assert imatch.likeness(lexicon.fingerprint(a), lexicon.fingerprint([f"t{i}" for i in range(100, 140)])) < 0.1
+
+
+def test_texts_without_lexicon_terms_are_alike_only_if_equal():
+    lexicon = imatch.Lexicon(sorted(f"t{i}" for i in range(200)))
+    texts = ["Andththwhes.", "In. The.", "Mentmentan.", "!?", "...", "t1 rare", "t1 other", "t1", "t1 t2 rare", "t1 t2 other"]
+    found = [lexicon.of(t) for t in texts]
+    for i, a in enumerate(found):
+        for j, b in enumerate(found):
+            assert (imatch.likeness(a, b) == 1) == (i == j), (texts[i], texts[j])
+    assert lexicon.of("the in") == lexicon.of("In. The.") and lexicon.of("") == "0" * (imatch.SUBSETS * imatch.DIGITS)
+    words = [f"w{i}" for i in range(30)]
+    assert 0.3 < imatch.likeness(lexicon.of(" ".join(words)), lexicon.of(" ".join(words[:-1]))) < 1
+    assert all(imatch.likeness(imatch.Lexicon([]).of(a), imatch.Lexicon([]).of(b)) < 1 for a, b in zip(texts, texts[1:]))

@@ -9,8 +9,11 @@ Band and bound: a term is in the lexicon when it occurs in at least ``MIN_SHARE`
 the documents. With w distinct terms per document on average there are at most w / MIN_SHARE such terms, however
 many documents there are; that bounds what goes to every task.
 
-Cases: null and empty texts have the fingerprint of no term. Equal texts have equal fingerprints and likeness 1; two
-documents without any lexicon term are alike only if both have none. ``next`` runs through descending ids
+A document with fewer than ``FEW`` lexicon terms, or whose terms are in no subset, is known by all its own distinct terms
+instead: the subsets are drawn from these, and the places of the smallest share hold a hash of all of them, or of the
+whole text if it has no term. Two such documents are equal only if these hashes are.
+
+Cases: null and empty texts have the fingerprint of no term. Equal texts have equal fingerprints and likeness 1. ``next`` runs through descending ids
 (nulls last), ties by text, and from the last to the first; a single document is its own next one.
 """
 
@@ -34,6 +37,7 @@ SHARES = (1 / 4, 1 / 8, 1 / 16, 1 / 32, 1 / 64, 1 / 128, 1 / 256, 1 / 512)
 DRAWS = 8
 SUBSETS = len(SHARES) * DRAWS
 DIGITS = 4
+FEW = 4  # lexicon terms of a document below which its own terms count
 CHARS_PER_TASK = 24_000_000
 HELD_TERMS = 400_000
 _TERM = re.compile(r"[^\W_]+")
@@ -75,6 +79,34 @@ def subset_bits(term: str) -> int:
     return bits
 
 
+# Odd factors: the upper bits of hash times factor draw the subsets of a document's own terms.
+_FACTORS = np.random.default_rng(3).integers(0, 2 ** 63, size=SUBSETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def _digits(number: int) -> str:
+    return f"{number % 65535 + 1:04x}"  # 0 stands for a subset without terms
+
+
+def own_fingerprint(words: list[str], text: str) -> str:
+    """Fingerprint over the document's own distinct terms, or over the whole text if it has none."""
+    if not words and not text:
+        return "0" * (SUBSETS * DIGITS)
+    hashes = np.unique(np.fromiter(map(_hash, set(words)), dtype=np.uint64))
+    whole = hashes.tobytes() if len(hashes) else text.encode("utf-8", "surrogatepass")
+    out = []
+    for k in range(SUBSETS):
+        chosen = hashes[hashes * _FACTORS[k] < np.uint64(int(SHARES[k // DRAWS] * 2 ** 64))]
+        if k >= SUBSETS - DRAWS:
+            out.append(_digits(xxhash.xxh32_intdigest(whole, k)))
+        else:
+            out.append(_digits(xxhash.xxh32_intdigest(chosen.tobytes())) if len(chosen) else "0" * DIGITS)
+    return "".join(out)
+
+
 class Lexicon(dict):
     """Term to its place; unknown terms are -1."""
 
@@ -88,16 +120,20 @@ class Lexicon(dict):
     def __missing__(self, term: str) -> int:
         return -1
 
-    def fingerprint(self, words: list[str]) -> str:
+    def of(self, text: str) -> str:
+        return self.fingerprint(terms(text), text)
+
+    def fingerprint(self, words: list[str], text: str = "") -> str:
         places = np.unique(np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words)))
         if len(places) and places[0] < 0:
             places = places[1:]
+        if len(places) < FEW or not self.bits[places].any():
+            return own_fingerprint(words, text)
         bits, hashes = self.bits[places], self.hashes[places]
         out = []
         for mask in self.in_subset:
             chosen = hashes[(bits & mask) != 0]
-            # 0 stands for a subset without terms.
-            out.append(f"{xxhash.xxh32_intdigest(chosen.tobytes()) % 65535 + 1:04x}" if len(chosen) else "0" * DIGITS)
+            out.append(_digits(xxhash.xxh32_intdigest(chosen.tobytes())) if len(chosen) else "0" * DIGITS)
         return "".join(out)
 
 
@@ -173,7 +209,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     before = None
                 if before is None and order:
                     continue  # a helper that nobody waits for
-                mine = lexicon_here.fingerprint(terms(text))
+                mine = lexicon_here.of(text)
                 if before is not None:
                     out.append(compare(lexicon_here, before, (text, mine)))
                 before = None if order else (number, doc, text, mine)
@@ -183,7 +219,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def compare(lexicon_here: Lexicon, row: tuple, following: tuple) -> tuple:
         _, doc, text, mine = row
         changed = edited(text, following[0])
-        theirs = mine if changed == text else lexicon_here.fingerprint(terms(changed))
+        theirs = mine if changed == text else lexicon_here.of(changed)
         return (doc, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), mine, theirs,
                 likeness(mine, theirs), likeness(mine, following[1]))
 
