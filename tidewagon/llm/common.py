@@ -114,3 +114,19 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: in
     texts = docs.select("doc_id", "text").where(
         F.col("text").isNotNull() & (F.length("text") <= max_chars))
     return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "_label", "text")
+
+
+def with_group_columns(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner",
+                       salts: int = 64) -> DataFrame:
+    """``rows`` with the columns of ``groups``, which has one row per value of ``key`` (nulls are a value).
+
+    Few groups are broadcast, after a check of their number. Many are joined with the rows of ``rows``, a written table,
+    dealt out to ``salts`` copies of their group, so a group with most of the rows is spread over so many tasks.
+    """
+    right = groups.select(F.col(key).alias("_group"), *[c for c in groups.columns if c != key])
+    same = F.col(key).eqNullSafe(F.col("_group"))
+    if groups.count() <= FEW_GROUPS:
+        return rows.join(F.broadcast(right), same, how).drop("_group")
+    copies = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("_salt", (F.monotonically_increasing_id() % salts).cast("int"))
+    return salted.join(copies, same & (F.col("_salt") == F.col("_copy")), how).drop("_group", "_salt", "_copy")

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewagon.llm import decontaminate, imatch, langid, lm, packing, pii, quality, simhash, toxicity, urlfilter
+from tidewagon.llm import (
+    centroids, decontaminate, imatch, langid, lm, mixing, packing, pii, quality, simhash, toxicity, urlfilter, vector_codes,
+)
 from tidewagon.llm.common import ship, table
 
 
@@ -51,8 +53,21 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return imatch.fingerprints(table(spark, folder, "documents"))
 
 
+def op11_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(table(spark, folder, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(table(spark, folder, "embeddings"))
+
+
 _ALL = (op1_language_id, op2_packing, op3_decontamination, op4_lm_scoring, op5_url_filters, op6_quality,
-        op7_personal_data, op8_toxicity, op9_simhash, op10_fingerprints)
+        op7_personal_data, op8_toxicity, op9_simhash, op10_fingerprints, op11_mixing, op12_centroids,
+        op13_vector_codes)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -66,4 +81,5 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op5_url_filters": urlfilter.ORACLE_SQL}
+    return {"op5_url_filters": urlfilter.ORACLE_SQL, "op12_centroids": centroids.ORACLE_SQL,
+            "op13_vector_codes": vector_codes.ORACLE_SQL}
