@@ -55,6 +55,10 @@ def hourly_delivery_performance(shipment_events: DataFrame) -> DataFrame:
         sums = panes.withColumn("window_start", F.explode(starts)).groupBy("warehouse_id", "window_start").agg(
             *[F.sum(c).alias(c) for c in ("on_time_count", "total_delivered", "total_delivery_time_ms")],
             F.max("last_updated").alias("last_updated"))
+    return _performance(sums)
+
+
+def _performance(sums: DataFrame) -> DataFrame:
     total = F.col("total_delivered")
     return sums.select(
         "warehouse_id", "window_start", (F.col("window_start") + PERFORMANCE_SIZE_MS).alias("window_end"),
@@ -64,6 +68,13 @@ def hourly_delivery_performance(shipment_events: DataFrame) -> DataFrame:
         "last_updated")
 
 
+def add_performance(rows: DataFrame) -> DataFrame:
+    """Add up rows of ``hourly_delivery_performance`` of the same warehouse and window, from different events."""
+    return _performance(rows.groupBy("warehouse_id", "window_start").agg(
+        *[F.sum(c).alias(c) for c in ("on_time_count", "total_delivered", "total_delivery_time_ms")],
+        F.max("last_updated").alias("last_updated")))
+
+
 def operation_column(name: str) -> str:
     return f"{name.lower()}_count"
 
@@ -89,6 +100,10 @@ def warehouse_metrics(warehouse_operations: DataFrame) -> DataFrame:
     else:
         start = _floor_to(F.col("timestamp"), METRICS_SIZE_MS).alias("window_start")
         sums = warehouse_operations.groupBy("warehouse_id", start).agg(*measures)
+    return _metrics(sums)
+
+
+def _metrics(sums: DataFrame) -> DataFrame:
     counts = F.create_map(*[x for t in OPERATION_TYPES for x in (F.lit(t), F.col(operation_column(t)))])
     return sums.select(
         "warehouse_id", "window_start", (F.col("window_start") + METRICS_SIZE_MS).alias("window_end"),
@@ -98,6 +113,14 @@ def warehouse_metrics(warehouse_operations: DataFrame) -> DataFrame:
         "error_count", "total_items_processed", "last_updated")
 
 
+def add_metrics(rows: DataFrame) -> DataFrame:
+    """Add up rows of ``warehouse_metrics`` of the same warehouse and window, from different events."""
+    return _metrics(rows.groupBy("warehouse_id", "window_start").agg(
+        *[F.sum(F.coalesce(F.col("operation_counts")[t], F.lit(0))).alias(operation_column(t)) for t in OPERATION_TYPES],
+        *[F.sum(c).alias(c) for c in ("total_operations", "total_duration_seconds", "error_count", "total_items_processed")],
+        F.max("last_updated").alias("last_updated")))
+
+
 def stream_time(events: DataFrame) -> Column:
     """Time of the newest event, as a scalar subquery. Stands in for "now" when replaying tables."""
     return events.agg(F.max("timestamp")).scalar()

@@ -117,6 +117,8 @@ _PARTS = {
     "vehicles": _REF_VEHICLES,
     "drivers": _REF_DRIVERS,
     "routes": _REF_ROUTES,
+    "in_parts": """select event_type, ((seq - (select min(seq) from ship)) * 3) // (select max(seq) - min(seq) + 1 from ship) as part
+        from ship""",
     "late": _latest("ship", "shipment_id", """customer_id, warehouse_id, expected_delivery, event_type as current_status,
         destination_city, destination_country, greatest(0, (timestamp - expected_delivery - 1800000) // 60000) as delay_minutes,
         timestamp as last_updated""", _LATE),
@@ -421,7 +423,24 @@ _SELECTS = {
         from (select event_type, case when event_id % 9 = 4 then left(props, -1) else props end as props from events) group by 1""",
     "event_times_iso": f"select seq, {_iso('timestamp')} as at, {_iso('expected_delivery')} as expected_at from ship",
 }
+_SELECTS |= {
+    "stream_recent_hourly": "select * from hourly where window_start >= (select max(window_start) from hourly) - 21600000",
+    "stream_recent_metrics": "select * from metrics where window_start >= (select max(window_start) from metrics) - 21600000",
+    "stream_shipment_views": """select 'status_event_counts' as view, event_type as key, count(*) as a, count(*) as b, count(*) as c from ship group by 2
+        union all select 'customer_shipment_stats', customer_id, in_transit_count, late_count, last_updated from ship_stats
+        union all select 'late_shipments', shipment_id, delay_minutes, expected_delivery, last_updated from late
+        union all select 'hourly_delivery_performance', warehouse_id || '|' || window_start, on_time_count, total_delivered,
+            total_delivery_time_ms from hourly""",
+    "stream_resumed_order_views": """select 'order_state' as view, order_id as key, created_at as a, sla_timestamp as b, last_updated as c from ostate
+        union all select 'customer_order_stats', customer_id, pending_orders, shipped_orders, at_risk_orders from ord_stats
+        union all select 'order_sla_tracking', order_id, time_to_sla_minutes, shipment_count, last_updated from sla""",
+    "stream_state_at_batch": "select event_type as status, count(*) as count from in_parts where part < 2 group by 1",
+    "view_changes": """select batch_id, status, lag(after) over (partition by status order by batch_id) as before, after from (
+        select part as batch_id, event_type as status,
+            cast(sum(count(*)) over (partition by event_type order by part) as bigint) as after from in_parts group by 1, 2)""",
+}
 _STREAMED = {
+    "stream_set_aside": "decoded_props",
     "stream_status_event_counts": "status_event_counts", "stream_customer_shipment_stats": "customer_shipment_stats",
     "stream_late_shipments": "late_shipments", "stream_hourly_performance": "hourly_delivery_performance",
     "stream_vehicle_state": "vehicle_state", "stream_warehouse_metrics": "warehouse_metrics",

@@ -7,15 +7,17 @@ value with another engine.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidewagon.functions import ids
 from tidewagon.functions.columns import iso_utc
 from tidewagon.operators import (
     coordination, counts, customers as cust_ops, fleet, hybrid, latest, quality, reference, top, windows,
 )
-from tidewagon.schemas import OPERATION_TYPES
+from tidewagon.schemas import OPERATION_TYPES, RETENTION_MS
 from tidewagon.session import shared_folder
 from tidewagon.sources import builders, tables
 from tidewagon.streaming import store, views
@@ -180,14 +182,8 @@ def _delivered_extract(i: Inputs) -> dict[str, DataFrame]:
 
 def _decoded_props(i: Inputs) -> DataFrame:
     """Decode the JSON property column of the events, every ninth cut off on its way, and count by event type."""
-    from pyspark.sql import types as T
-
-    raw = i.spark.read.parquet(f"{i.folder}/events.parquet").select("event_type", F.expr(
-        "case when event_id % 9 = 4 then substr(props, 1, length(props) - 1) else props end as props"))
-    read = quality.read_json(raw, "props", T.StructType([T.StructField("k", T.IntegerType())]))
-    return read.groupBy("event_type").agg(
-        F.count_if("readable").alias("readable"), F.count_if(~F.col("readable")).alias("set_aside"),
-        F.coalesce(F.sum("k"), F.lit(0)).alias("total_k"))
+    raw = i.spark.read.parquet(f"{i.folder}/events.parquet").select("event_type", F.expr(_CUT_OFF).alias("props"))
+    return _decoded_counts(quality.read_json(raw, "props", _PROPS))
 
 
 def _order_json(i: Inputs) -> DataFrame:
@@ -199,15 +195,102 @@ def _order_json(i: Inputs) -> DataFrame:
 
 # -- streams ---------------------------------------------------------------------------------------
 
-def _run_stream(i: Inputs, name: str) -> DataFrame:
+def _run_stream(i: Inputs, name: str, retention_ms: int | None = None) -> DataFrame:
     path, checkpoint = shared_folder(i.spark, f"view-{name}"), shared_folder(i.spark, f"offsets-{name}")
-    query = views.run_view(name, i.stream(views.VIEWS[name].stream), path, checkpoint)
+    query = views.run_view(name, i.stream(views.VIEWS[name].stream), path, checkpoint, retention_ms=retention_ms)
     query.awaitTermination()
-    return views.read(i.spark, name, path)
+    return views.read(i.spark, name, path, retention_ms)
+
+
+def _stream(name: str, shape: Callable[[DataFrame], DataFrame] = lambda df: df, retention_ms: int | None = None):
+    return lambda i: shape(_run_stream(i, name, retention_ms))
+
+
+def _measures(view: str, df: DataFrame, keys: list[str], **columns: str) -> DataFrame:
+    """Rows of a view as (view, key, a, b, c)."""
+    return df.select(F.lit(view).alias("view"), F.concat_ws("|", *keys).alias("key"),
+                     *[F.col(columns[c]).cast("long").alias(c) for c in ("a", "b", "c")])
+
+
+def _views_from_one_read(i: Inputs, stream: str, fail_at: tuple[int, str] | None = None) -> dict[str, DataFrame]:
+    """All views of a stream. With ``fail_at`` the query dies after that view of that micro-batch, and is started again."""
+    folder, checkpoint = shared_folder(i.spark, f"views-{stream}"), shared_folder(i.spark, f"offsets-{stream}")
+    names = views.of_stream(stream)
+
+    def die(batch_id: int, name: str) -> None:
+        if (batch_id, name) == fail_at:
+            raise RuntimeError("stopped on purpose")
+
+    def run(on_written) -> None:
+        views.run_views(names, i.stream(stream), folder, checkpoint, retention_ms=None, on_written=on_written).awaitTermination()
+
+    if fail_at is not None:
+        try:
+            run(die)
+        except StreamingQueryException:  # as after the loss of the driver, the checkpoint says what is not committed
+            pass
+    run(None)
+    return {name: views.read(i.spark, name, f"{folder}/{name}", None) for name in names}
+
+
+def _shipment_views(i: Inputs) -> DataFrame:
+    found = _views_from_one_read(i, "shipment_events")
+    return reduce(DataFrame.unionByName, [
+        _measures("status_event_counts", found["status_event_counts"], ["status"], a="event_count", b="event_count",
+                  c="event_count"),
+        _measures("customer_shipment_stats", found["customer_shipment_stats"], ["customer_id"], a="in_transit_count",
+                  b="late_count", c="last_updated"),
+        _measures("late_shipments", found["late_shipments"], ["shipment_id"], a="delay_minutes", b="expected_delivery",
+                  c="last_updated"),
+        _measures("hourly_delivery_performance", found["hourly_delivery_performance"], ["warehouse_id", "window_start"],
+                  a="on_time_count", b="total_delivered", c="total_delivery_time_ms")])
 
 
-def _stream(name: str, shape: Callable[[DataFrame], DataFrame] = lambda df: df):
-    return lambda i: shape(_run_stream(i, name))
+def _resumed_order_views(i: Inputs) -> DataFrame:
+    found = _views_from_one_read(i, "order_status", fail_at=(1, "customer_order_stats"))
+    return reduce(DataFrame.unionByName, [
+        _measures("order_state", found["order_state"], ["order_id"], a="created_at", b="sla_timestamp", c="last_updated"),
+        _measures("customer_order_stats", found["customer_order_stats"], ["customer_id"], a="pending_orders", b="shipped_orders",
+                  c="at_risk_orders"),
+        _measures("order_sla_tracking", found["order_sla_tracking"], ["order_id"], a="time_to_sla_minutes", b="shipment_count",
+                  c="last_updated")])
+
+
+def _native_counts(i: Inputs) -> str:
+    """The checkpoint of a finished run of the status counts."""
+    path, checkpoint = shared_folder(i.spark, "view-counts"), shared_folder(i.spark, "offsets-counts")
+    views.run_view("status_event_counts", i.stream("shipment_events"), path, checkpoint).awaitTermination()
+    return checkpoint
+
+
+def _state_at_batch(i: Inputs) -> DataFrame:
+    return views.state_at(i.spark, _native_counts(i), 1).select(F.col("event_type").alias("status"), F.col("count"))
+
+
+def _view_changes(i: Inputs) -> DataFrame:
+    return views.state_changes(i.spark, _native_counts(i)).select(
+        F.col("batch_id").cast("long"), F.col("event_type").alias("status"), F.col("before.count").alias("before"),
+        F.col("after.count").alias("after"))
+
+
+# Every ninth property text is cut off on its way.
+_CUT_OFF = "case when event_id % 9 = 4 then substr(props, 1, length(props) - 1) else props end"
+_PROPS = T.StructType([T.StructField("k", T.IntegerType())])
+
+
+def _set_aside(i: Inputs) -> DataFrame:
+    raw = tables.raw_events_stream(i.spark, i.folder).select("event_type", F.expr(_CUT_OFF).alias("props"))
+    good, bad, checkpoint = (shared_folder(i.spark, x) for x in ("decoded", "set-aside", "offsets-decoded"))
+    views.run_decoded(raw, "props", _PROPS, good, bad, checkpoint).awaitTermination()
+    read = store.read_batches(i.spark, good, T.StructType([*raw.schema.fields, *_PROPS.fields])).withColumn("readable", F.lit(True))
+    aside = store.read_batches(i.spark, bad, raw.schema).withColumn("k", F.lit(None).cast("int")).withColumn("readable", F.lit(False))
+    return _decoded_counts(read.unionByName(aside))
+
+
+def _decoded_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("event_type").agg(
+        F.count_if("readable").alias("readable"), F.count_if(~F.col("readable")).alias("set_aside"),
+        F.coalesce(F.sum("k"), F.lit(0)).alias("total_k"))
 
 
 # -- the list --------------------------------------------------------------------------------------
@@ -358,6 +441,13 @@ _ALL: dict[str, Callable[[Inputs], DataFrame]] = {
     "stream_order_state": _stream("order_state", _flat_order),
     "stream_customer_order_stats": _stream("customer_order_stats"),
     "stream_order_sla_tracking": _stream("order_sla_tracking"),
+    "stream_recent_hourly": _stream("hourly_delivery_performance", retention_ms=RETENTION_MS),
+    "stream_recent_metrics": _stream("warehouse_metrics", _flat_metrics, RETENTION_MS),
+    "stream_shipment_views": _shipment_views,
+    "stream_resumed_order_views": _resumed_order_views,
+    "stream_state_at_batch": _state_at_batch,
+    "view_changes": _view_changes,
+    "stream_set_aside": _set_aside,
 }
 # Flattening of collections in reference results that carry them.
 _SHAPES = {"ref_drivers": _flat_driver, "ref_driver_by_id": _flat_driver, "ref_drivers_by_warehouse": _flat_driver,

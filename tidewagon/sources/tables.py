@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tidewagon.functions.columns import padded
 from tidewagon.schemas import LICENSE_TYPES, OPERATION_TYPES, ORDER_STATUSES, ROUTE_TYPES, SLA_TIERS, VEHICLE_TYPES
+from tidewagon.session import shared_folder
 from tidewagon.sources import builders
 
 # The columns of the general event table; ``ts`` is declared as stored.
@@ -32,11 +33,44 @@ def base_events(spark: SparkSession, folder: str) -> DataFrame:
     return _base(spark.read.parquet(f"{folder}/events.parquet"))
 
 
-def base_events_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet") -> DataFrame:
+PARTS = 3
+PART_FILE_ROWS = 1_000_000
+_STAGED: dict[tuple, tuple[str, int]] = {}
+
+
+def part_of(parts: int) -> Column:
+    """Which of ``parts`` equal stretches of event ids an event is in, from 0; needs the columns ``low`` and ``high``."""
+    return F.expr(f"cast(((event_id - low) * {parts}) div (high - low + 1) as int)")
+
+
+def staged_events(spark: SparkSession, folder: str, parts: int = PARTS) -> tuple[str, int]:
+    """The event table as files that arrive one stretch of ids after the other, and the files of a stretch.
+
+    Written once per application below the shared folder, for streams over several micro-batches.
+    """
+    key = (spark.sparkContext.applicationId, folder, parts)
+    if key not in _STAGED:
+        events = spark.read.schema(EVENT_COLUMNS).parquet(f"{folder}/events.parquet")
+        span = events.agg(F.min("event_id").alias("low"), F.max("event_id").alias("high"), F.count("*").alias("n")).first()
+        files = max(1, -(-(span["n"] // parts) // PART_FILE_ROWS))
+        path = shared_folder(spark, "events-in-parts")
+        marked = events.withColumns({"low": F.lit(span["low"]), "high": F.lit(span["high"])}).withColumn("part", part_of(parts))
+        for part in range(parts):
+            (marked.where(F.coalesce("part", F.lit(0)) == part).select(*EVENT_COLUMNS.fieldNames()).repartition(files)
+             .write.mode("append").parquet(path))
+        _STAGED[key] = path, files
+    return _STAGED[key]
+
+
+def raw_events_stream(spark: SparkSession, folder: str, parts: int = PARTS) -> DataFrame:
+    """The event table as a stream of ``parts`` micro-batches, in order of the event ids."""
+    path, files = staged_events(spark, folder, parts)
+    return spark.readStream.schema(EVENT_COLUMNS).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def base_events_stream(spark: SparkSession, folder: str, parts: int = PARTS) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return _base(
-        spark.readStream.schema(EVENT_COLUMNS).option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", 64).parquet(folder))
+    return _base(raw_events_stream(spark, folder, parts))
 
 
 def _pick(column: str, *pairs: tuple, default: str) -> Column:
