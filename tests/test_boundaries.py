@@ -165,7 +165,7 @@ def test_enriched_vehicle_takes_the_first_driver_and_survives_zero_capacity(spar
     state = latest.vehicle_state(telemetry(spark, [{}]))
     out = hybrid.enriched_vehicle_state(state, vehicles, sites, drivers).collect()[0]
     assert (out.driver_id, out.driver_name, out.load_percentage, out.home_warehouse_name) == ("DRV-001", "A One", 0.0, None)
-    assert out.summary == "Vehicle VEH-001 (VAN) - IDLE, 0.0% loaded, driver: A One"
+    assert out.summary == "VEH-001, a VAN, is IDLE with 0.0% of its load and driven by A One"
     tracked = {r.driver_id: r for r in hybrid.driver_tracking(drivers, state).collect()}
     assert tracked["DRV-003"].vehicle_state is None and tracked["DRV-003"].certifications == []
     assert tracked["DRV-002"].vehicle_location.latitude == 1.0
@@ -178,7 +178,7 @@ def test_customer_without_events_has_zeros(spark):
     order_stats = customers.customer_order_stats(orders(spark, [{"status": "RECEIVED"}]))
     out = hybrid.customer_overview(who, stats, order_stats).collect()[0]
     assert (out.total_orders, out.total_shipments, out.sla_compliance_rate) == (0, 0, 100.0)
-    assert out.summary == "Customer Nine (EXPRESS) - 0 orders, 0 shipments, 100.0% SLA compliance"
+    assert out.summary == "Nine, tier EXPRESS: 0 orders and 0 shipments, 100.0% of the orders without risk"
 
 
 def test_order_rollup(spark):

@@ -9,6 +9,8 @@ import pytest
 
 from make import MIN, T0, rows, shipments
 from test_oracle import FOLDER
+from pyspark.sql import functions as F
+from tidewagon.functions.columns import padded
 from tidewagon.operators import counts, customers, hybrid, latest, ordered, windows
 from tidewagon.plans.queries import named_queries
 from tidewagon.sources import streams
@@ -113,3 +115,40 @@ def test_key_sets_filter_before_the_view(spark, name):
 def test_days_are_rebalanced_when_written(spark):
     events = shipments(spark, [{"event_type": "DELIVERED", "timestamp": T0}])
     assert "REBALANCE_PARTITIONS_BY_COL" in plan(events.hint("rebalance", "timestamp"))
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables are not here")
+def test_the_dashboard_reads_each_stream_once(spark):
+    text = plan(named_queries()["dashboard_summary"](spark, FOLDER))
+    assert "Subquery" not in text
+    assert len(re.findall(r"FileScan parquet \[[^\]]*\b(?:event_id|user_id|event_type)#", text)) == 4  # four streams
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables are not here")
+def test_constraints_are_checked_in_one_aggregation(spark):
+    text = plan(named_queries()["reference_violations"](spark, FOLDER))
+    assert len(re.findall(r"FileScan parquet", text)) <= 4 and "constraints-" in text  # the tagged rows only
+    assert "supplier.parquet" not in text and "customer.parquet" not in text
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables are not here")
+@pytest.mark.parametrize("name", ["lookup_warehouse_metrics", "lookup_hourly_performance"])
+def test_keys_are_looked_up_before_the_windows(spark, name):
+    text = plan(named_queries()[name](spark, FOLDER))
+    assert text.index("LeftSemi") > text.index("HashAggregate")  # the join is below the aggregation
+
+
+def test_a_deep_page_reads_its_range_only(spark):
+    from tidewagon.operators.paging import Pages
+
+    table = spark.range(20_000).select(padded("P-", F.col("id") * 7919 % 20_000, 6).alias("k"), "id").repartition(5)
+    pages = Pages.of(table, "k")
+    assert [r["k"] for r in pages.page(25, 15_000).collect()] == [f"P-{i:06d}" for i in range(15_000, 15_025)]
+    assert [r["k"] for r in pages.page(10, 19_995).collect()] == [f"P-{i:06d}" for i in range(19_995, 20_000)]
+    assert pages.page(5, 50_000).count() == 0
+    for edge in [before for _, before in pages.starts[1:]]:
+        assert [r["k"] for r in pages.page(4, edge - 2).collect()] == [f"P-{i:06d}" for i in range(edge - 2, edge + 2)]
+    assert [r["k"] for r in pages.after("P-000100", 3).collect()] == ["P-000101", "P-000102", "P-000103"]
+    assert [r["k"] for r in pages.after(None, 2).collect()] == ["P-000000", "P-000001"]
+    assert re.search(r"PushedFilters: .*_in_range", plan(pages.page(25, 15_000)))
+    assert Pages.of(table.where("false"), "k").page(5, 0).count() == 0

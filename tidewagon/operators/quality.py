@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidewagon import schemas as s
+from tidewagon.functions.columns import lenient_number
 from tidewagon.operators.ordered import SLICE_MS, adjacent_pairs
+from tidewagon.session import shared_folder
 
 # Status changes a shipment may make.
 ALLOWED_CHANGES = (
@@ -48,35 +50,48 @@ def lifecycle_violations(shipment_events: DataFrame, slice_ms: int = SLICE_MS) -
                     F.col("event_type").alias("to_status")))
 
 
-def _found(df: DataFrame, table: str, rule: str, key: str) -> DataFrame:
-    return df.select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), F.col(key).alias("key"))
+def _findings(table: str, df: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """What one scan of a table says: rows (role, domain, value, table_name, rule, key).
+
+    Role ``bad`` is a broken value check. ``own`` is a value that must occur once in its domain, ``ref`` one
+    that must occur there as the other table's own.
+    """
+    key = s.REFERENCE[table][0]
+    null, text = F.lit(None).cast("string"), lambda c: F.col(c).cast("string")
+
+    def row(role: str, domain: str, value, rule: str):
+        return F.struct(F.lit(role).alias("role"), F.lit(domain).alias("domain"), value.alias("value"),
+                        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), text(key).alias("key"))
+
+    found = [F.when(F.col(c).isNotNull() & ~F.col(c).isin(*values), row("bad", "", null, f"domain:{c}"))
+             for c, values in DOMAINS.get(table, {}).items()]
+    found += [F.when(F.col(c).isNull(), row("bad", "", null, f"not_null:{c}")) for c in (key, *NOT_NULL[table])]
+    found += [F.when(F.col(c).isNotNull(), row("own", f"{table}.{c}", text(c), f"unique:{c}"))
+              for c in (key, *[c for t, c in UNIQUE if t == table])]
+    found += [F.when(F.col(c).isNotNull(), row("ref", f"{target}.{s.REFERENCE[target][0]}", text(c), f"foreign_key:{c}"))
+              for t, c, target in FOREIGN_KEYS if t == table and target in tables]
+    return df.select(F.explode(F.array_compact(F.array(*found))).alias("f")).select("f.*")
 
 
 def reference_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table, rule, key) for every row that breaks a declared constraint, of the tables given.
 
     A check on a value finds one row per offending row, a repeated key one row per key. As in SQL, a
-    null passes a value check and a foreign key.
+    null passes a value check and a foreign key. Every table is scanned once, into narrow tagged rows that are
+    written; one aggregation of the own values, combined before its shuffle, answers all uniqueness rules, and the
+    references are held against it.
     """
-    parts = []
-    for table, df in tables.items():
-        key = s.REFERENCE[table][0]
-        bad = [(f"domain:{c}", F.col(c).isNotNull() & ~F.col(c).isin(*values))
-               for c, values in DOMAINS.get(table, {}).items()]
-        bad += [(f"not_null:{c}", F.col(c).isNull()) for c in (key, *NOT_NULL[table])]
-        # All row checks of a table in one scan.
-        rules = F.array_compact(F.array(*[F.when(cond, F.lit(rule)) for rule, cond in bad]))
-        parts.append(df.select(F.lit(table).alias("table_name"), F.explode(rules).alias("rule"),
-                               F.col(key).alias("key")))
-        for column in (key, *[c for t, c in UNIQUE if t == table]):
-            twice = df.where(F.col(column).isNotNull()).groupBy(column).count().where("count > 1")
-            parts.append(_found(twice, table, f"unique:{column}", column))
-    for table, column, target in FOREIGN_KEYS:
-        if table in tables and target in tables:
-            known = tables[target].select(F.col(s.REFERENCE[target][0]).alias(column))
-            orphan = tables[table].where(F.col(column).isNotNull()).join(known, column, "left_anti")
-            parts.append(_found(orphan, table, f"foreign_key:{column}", s.REFERENCE[table][0]))
-    return reduce(DataFrame.unionByName, parts)
+    spark = next(iter(tables.values())).sparkSession
+    path = shared_folder(spark, "constraints")
+    reduce(DataFrame.unionByName, [_findings(t, df, tables) for t, df in tables.items()]).write.parquet(path)
+    tagged = spark.read.parquet(path)
+    own = tagged.where("role = 'own'").groupBy("domain", "value").agg(
+        F.count("*").alias("n"), F.min("table_name").alias("table_name"), F.min("rule").alias("rule"))
+    names = ["table_name", "rule", "key"]
+    orphans = tagged.where("role = 'ref'").join(own.select("domain", "value"), ["domain", "value"], "left_anti")
+    return (tagged.where("role = 'bad'").select(*names)
+            .unionByName(own.where("n > 1").select("table_name", "rule", F.col("value").alias("key")))
+            .unionByName(orphans.select(*names)))
 
 
 def read_json(df: DataFrame, column: str, schema: T.StructType) -> DataFrame:
@@ -94,3 +109,10 @@ def split_json(df: DataFrame, column: str, schema: T.StructType) -> tuple[DataFr
     """The readable rows with their fields, and the others set aside, so that a stream goes on past a bad record."""
     parsed = read_json(df, column, schema)
     return parsed.where("readable").drop("readable"), parsed.where("not readable").select(*df.columns)
+
+
+def lenient_fields(df: DataFrame, column: str, fields: Mapping[str, tuple[str, object]]) -> DataFrame:
+    """Numbers of a JSON column, read leniently: what is missing, cut off or no number takes its default. ``fields`` maps a
+    name to (type, default)."""
+    return df.withColumns({name: lenient_number(F.get_json_object(column, f"$.{name}"), kind, default)
+                           for name, (kind, default) in fields.items()})

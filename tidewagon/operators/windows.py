@@ -19,6 +19,7 @@ from tidewagon.schemas import (
 PERFORMANCE_SIZE_MS = HOUR_MS
 PERFORMANCE_HOP_MS = 30 * MINUTE_MS
 PERFORMANCE_GRACE = "5 minutes"
+PERFORMANCE_GRACE_MS = 5 * MINUTE_MS
 METRICS_SIZE_MS = 15 * MINUTE_MS
 METRICS_GRACE = "0 seconds"
 
@@ -178,8 +179,14 @@ def nested_windows(windows: DataFrame, name: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("window_start", *fields)), by_start).alias(name))
 
 
-def latest_window(view: DataFrame) -> DataFrame:
-    """The newest window of each warehouse."""
+def latest_window(view: DataFrame, as_of: Column | int | None = None) -> DataFrame:
+    """The newest window of each warehouse, if it starts in the retention period before ``as_of``.
+
+    Without ``as_of`` that is the time of the newest event in the view, found among the newest windows: one row per
+    warehouse, so the events behind the view are read once.
+    """
     fields = [c for c in view.columns if c != "warehouse_id"]
-    return (view.groupBy("warehouse_id").agg(F.max_by(F.struct(*fields), "window_start").alias("v"))
-            .select("warehouse_id", "v.*"))
+    newest = (view.groupBy("warehouse_id").agg(F.max_by(F.struct(*fields), "window_start").alias("v"))
+              .select("warehouse_id", "v.*"))
+    now = F.max("last_updated").over(Window.partitionBy()) if as_of is None else F.lit(as_of)
+    return newest.withColumn("_now", now).where(F.col("window_start") >= F.col("_now") - F.lit(RETENTION_MS)).drop("_now")

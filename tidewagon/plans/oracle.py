@@ -259,7 +259,7 @@ _SELECTS = {
     "warehouse_metrics": "select * from metrics",
     "last_windows_metrics": "select * from recent_metrics",
     "last_windows_hourly": "select * from recent_hourly",
-    "latest_window": "select * from metrics m where window_start = (select max(window_start) from metrics x where x.warehouse_id = m.warehouse_id)",
+    "latest_window": "select * from recent_metrics m where window_start = (select max(window_start) from recent_metrics x where x.warehouse_id = m.warehouse_id)",
     "fleet_status": """select status, count(*) as vehicle_count, (select count(*) from vstate) as total_vehicles from vstate
         where status is not null group by 1""",
     "fleet_first": """select *, (select count(*) from vstate) as total, case when (select count(*) from vstate) > 20
@@ -319,14 +319,14 @@ _SELECTS = {
     "warehouse_operational_status": """select w.warehouse_id, name, city, country, status, round(latitude, 6) as latitude, round(longitude, 6) as longitude,
         r.total_vehicles, r.used_vehicles as active_vehicles, r.total_drivers, r.available_drivers,
         coalesce(m.t, '') as operations_by_window, coalesce(h.t, '') as deliveries_by_window,
-        'Warehouse ' || name || ' (' || city || ') - ' || r.total_vehicles || ' vehicles, ' || r.total_drivers || ' drivers, status: ' || status as summary
+        name || ' in ' || city || ' has ' || r.total_vehicles || ' vehicles and ' || r.total_drivers || ' drivers and is ' || status as summary
         from warehouses w join resources r on w.warehouse_id = r.warehouse_id
         left join (select warehouse_id, string_agg(window_start || ':' || total_operations, ',' order by window_start) as t from recent_metrics group by 1) m
           on m.warehouse_id = w.warehouse_id
         left join (select warehouse_id, string_agg(window_start || ':' || total_delivered, ',' order by window_start) as t from recent_hourly group by 1) h
           on h.warehouse_id = w.warehouse_id""",
     "order_details": """select o.*, company_name, sla_tier, contact_email, time_to_sla_minutes, is_at_risk, is_breached, s.last_updated as sla_last_updated,
-        'Order ' || o.order_id || ' - Status: ' || o.status || ', Customer: ' || coalesce(company_name, o.customer_id) as summary
+        o.order_id || ' stands at ' || o.status || ' for ' || coalesce(company_name, o.customer_id) as summary
         from oshown o left join customers c on o.customer_id = c.customer_id left join sla s on o.order_id = s.order_id""",
     "lookup_vehicle_state": "select * from vshown where vehicle_id in (select assigned_vehicle_id from drivers where status = 'AVAILABLE')",
     "lookup_customer_shipment_stats": f"""select {_STAT_COLUMNS} from ship_stats
@@ -364,7 +364,7 @@ _SELECTS = {
     "ref_drivers_available": "select * from drivers where status = 'AVAILABLE'",
     "ref_routes": "select * from routes",
     "ref_routes_by_origin": "select * from routes where origin_warehouse_id = 'WH-STO'",
-    "ref_routes_by_destination": "select * from routes where lower(destination_city) like '%li%'",
+    "ref_routes_by_destination": "select * from routes where lower(destination_city) like '%an%'",
     "ref_vehicles_by_warehouse_count": "select count(*) as count from vehicles where home_warehouse_id = 'WH-STO'",
     "ref_drivers_available_count": "select count(*) as count from drivers where status = 'AVAILABLE'",
     "ref_routes_by_origin_count": "select count(*) as count from routes where origin_warehouse_id = 'WH-STO'",
@@ -423,7 +423,24 @@ _SELECTS = {
         from (select event_type, case when event_id % 9 = 4 then left(props, -1) else props end as props from events) group by 1""",
     "event_times_iso": f"select seq, {_iso('timestamp')} as at, {_iso('expected_delivery')} as expected_at from ship",
 }
+_SELECTS["lenient_props"] = """select event_type, cast(sum(k) as bigint) as total_k, count_if(k = -1) as defaults, count(*) * 0.5::double as total_missing
+    from (select event_type, case when json_valid(props) then coalesce(try_cast(json_extract_string(props, '$.k') as int), -1) else -1 end as k
+        from (select event_type, case when event_id % 9 = 4 then left(props, -1) else props end as props from events)) group by 1"""
+_ARRIVAL = "timestamp + (seq * 7919 % 97) * 60000, seq"
 _SELECTS |= {
+    "ref_products_page_deep": """select * exclude (rn) from (select *, row_number() over (order by product_id) as rn from products)
+        where rn > (select count(*) // 2 + 7 from products) and rn <= (select count(*) // 2 + 32 from products)""",
+    "ref_products_page_next": "select * from products where product_id > 'PROD-000100' order by product_id limit 25",
+    "late_deliveries": f"""select seq, warehouse_id, timestamp, stream_time, window_start, window_start + 3600000 as window_end
+        from (select *, unnest([timestamp - timestamp % 1800000, timestamp - timestamp % 1800000 - 1800000]) as window_start
+            from (select seq, warehouse_id, timestamp, max(timestamp) over (order by {_ARRIVAL} rows unbounded preceding) as stream_time
+                from ship where event_type = 'DELIVERED'))
+        where window_start + 3600000 + 300000 <= stream_time""",
+    "late_operations": f"""select seq, warehouse_id, timestamp, stream_time, timestamp - timestamp % 900000 as window_start,
+            timestamp - timestamp % 900000 + 900000 as window_end
+        from (select seq, warehouse_id, timestamp,
+            max(timestamp) over (partition by warehouse_id order by {_ARRIVAL} rows unbounded preceding) as stream_time from ops)
+        where timestamp - timestamp % 900000 + 900000 <= stream_time""",
     "stream_recent_hourly": "select * from hourly where window_start >= (select max(window_start) from hourly) - 21600000",
     "stream_recent_metrics": "select * from metrics where window_start >= (select max(window_start) from metrics) - 21600000",
     "stream_shipment_views": """select 'status_event_counts' as view, event_type as key, count(*) as a, count(*) as b, count(*) as c from ship group by 2

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tidewagon.functions import ids
 from tidewagon.functions.columns import iso_utc
 from tidewagon.operators import (
-    coordination, counts, customers as cust_ops, fleet, hybrid, latest, quality, reference, top, windows,
+    coordination, counts, customers as cust_ops, fleet, hybrid, late, latest, paging, quality, reference, top, windows,
 )
 from tidewagon.schemas import OPERATION_TYPES, RETENTION_MS
 from tidewagon.session import shared_folder
@@ -157,8 +157,8 @@ def _status_total(i: Inputs) -> DataFrame:
 
 def _dashboard(i: Inputs) -> DataFrame:
     return fleet.dashboard_summary(
-        i.shipments, latest.late_shipments(i.shipments), _vehicle_state(i), i.table("vehicles"),
-        latest.order_state_with_sla(i.orders), _recent_metrics(i))
+        i.shipments, _vehicle_state(i), i.table("vehicles"), latest.order_state_with_sla(i.orders),
+        windows.warehouse_metrics(i.operations))
 
 
 def _normalized(i: Inputs) -> DataFrame:
@@ -186,6 +186,14 @@ def _decoded_props(i: Inputs) -> DataFrame:
     return _decoded_counts(quality.read_json(raw, "props", _PROPS))
 
 
+def _lenient_props(i: Inputs) -> DataFrame:
+    """The same column with a default in place of what cannot be read."""
+    raw = i.spark.read.parquet(f"{i.folder}/events.parquet").select("event_type", F.expr(_CUT_OFF).alias("props"))
+    read = quality.lenient_fields(raw, "props", {"k": ("int", -1), "missing": ("double", 0.5)})
+    return read.groupBy("event_type").agg(F.sum("k").alias("total_k"), F.count_if(F.col("k") == -1).alias("defaults"),
+                                          F.sum("missing").alias("total_missing"))
+
+
 def _order_json(i: Inputs) -> DataFrame:
     state = latest.order_state(i.orders).select(
         "order_id", "customer_id", "status", "priority", "shipment_ids", "total_items", "sla_timestamp",
@@ -299,6 +307,31 @@ def _keys(i: Inputs, table: str, condition: str, key: str) -> DataFrame:
     return i.table(table).where(condition).select(F.col(key))
 
 
+def _deep_page(i: Inputs) -> DataFrame:
+    products = i.table("products")
+    return paging.Pages.of(products, "product_id").page(25, products.count() // 2 + 7)
+
+
+def _next_page(i: Inputs) -> DataFrame:
+    return paging.Pages.of(i.table("products"), "product_id").after("PROD-000100", 25)
+
+
+# Records come with delays of up to an hour and a half.
+_DELAYED = "timestamp + (seq * 7919 % 97) * 60000"
+
+
+def _late_deliveries(i: Inputs) -> DataFrame:
+    return late.late_events(
+        i.shipments.where("event_type = 'DELIVERED'").select("seq", "warehouse_id", "timestamp"), [F.expr(_DELAYED), F.col("seq")],
+        windows.PERFORMANCE_SIZE_MS, windows.PERFORMANCE_HOP_MS, windows.PERFORMANCE_GRACE_MS)
+
+
+def _late_operations(i: Inputs) -> DataFrame:
+    return late.late_events(
+        i.operations.select("seq", "warehouse_id", "timestamp"), [F.expr(_DELAYED), F.col("seq")],
+        windows.METRICS_SIZE_MS, windows.METRICS_SIZE_MS, 0, by=("warehouse_id",))
+
+
 _REFERENCE = {
     "ref_warehouses": lambda i: reference.all_rows(i.table("warehouses"), "warehouses"),
     "ref_warehouse_by_id": lambda i: reference.by_id(i.table("warehouses"), "warehouses", "WH-RTM"),
@@ -318,7 +351,7 @@ _REFERENCE = {
     "ref_drivers_available": lambda i: reference.drivers_available(i.table("drivers")),
     "ref_routes": lambda i: reference.all_rows(i.table("routes"), "routes"),
     "ref_routes_by_origin": lambda i: reference.routes_by_origin(i.table("routes"), "WH-STO"),
-    "ref_routes_by_destination": lambda i: reference.routes_by_destination(i.table("routes"), "li"),
+    "ref_routes_by_destination": lambda i: reference.routes_by_destination(i.table("routes"), "an"),
     "ref_vehicles_by_warehouse_count": lambda i: reference.with_count(
         reference.vehicles_by_warehouse(i.table("vehicles"), "WH-STO")),
     "ref_drivers_available_count": lambda i: reference.with_count(reference.drivers_available(i.table("drivers"))),
@@ -326,6 +359,8 @@ _REFERENCE = {
     "ref_products_category_first": lambda i: reference.products_query(i.table("products"), "standard", "ring", 12),
     "ref_products_search_next": lambda i: reference.products_query(i.table("products"), " ", "ring", 12),
     "ref_products_listed": lambda i: reference.products_query(i.table("products"), limit=12),
+    "ref_products_page_deep": _deep_page,
+    "ref_products_page_next": _next_page,
     "ref_distinct_destinations": lambda i: reference.distinct_destinations(i.table("routes")),
 }
 
@@ -354,6 +389,8 @@ _ALL: dict[str, Callable[[Inputs], DataFrame]] = {
     "warehouse_metrics": lambda i: _flat_metrics(windows.warehouse_metrics(i.operations)),
     "last_windows_metrics": lambda i: _flat_metrics(_recent_metrics(i)),
     "last_windows_hourly": _recent_hourly,
+    "late_deliveries": _late_deliveries,
+    "late_operations": _late_operations,
     "latest_window": lambda i: _flat_metrics(windows.latest_window(windows.warehouse_metrics(i.operations))),
     # summaries
     "fleet_status": lambda i: fleet.fleet_status(_vehicle_state(i)),
@@ -387,10 +424,12 @@ _ALL: dict[str, Callable[[Inputs], DataFrame]] = {
         i.shipments, _keys(i, "customers", "sla_tier = 'CRITICAL'", "customer_id"), "customer_id")),
     "lookup_late_shipments": lambda i: latest.late_shipments(hybrid.of_keys(
         i.shipments, i.operations.where(F.size("errors") > 0), "shipment_id")),
-    "lookup_warehouse_metrics": lambda i: _flat_metrics(hybrid.lookup_many(
-        _recent_metrics(i), _keys(i, "warehouses", "country <> 'Spain'", "warehouse_id"), "warehouse_id")),
-    "lookup_hourly_performance": lambda i: hybrid.lookup_many(
-        _recent_hourly(i), _keys(i, "warehouses", "country <> 'Spain'", "warehouse_id"), "warehouse_id"),
+    "lookup_warehouse_metrics": lambda i: _flat_metrics(windows.recent_warehouse_metrics(hybrid.of_keys(
+        i.operations, _keys(i, "warehouses", "country <> 'Spain'", "warehouse_id"), "warehouse_id"),
+        windows.stream_time(i.operations))),
+    "lookup_hourly_performance": lambda i: windows.recent_hourly_performance(hybrid.of_keys(
+        i.shipments, _keys(i, "warehouses", "country <> 'Spain'", "warehouse_id"), "warehouse_id"),
+        windows.stream_time(i.shipments)),
     "lookup_order_state": lambda i: _flat_order(latest.order_state(hybrid.of_keys(
         i.orders, i.orders.where("status = 'CANCELLED'"), "order_id"))),
     "lookup_customer_order_stats": lambda i: cust_ops.customer_order_stats(hybrid.of_keys(
@@ -429,6 +468,7 @@ _ALL: dict[str, Callable[[Inputs], DataFrame]] = {
     "lifecycle_violations": lambda i: quality.lifecycle_violations(i.shipments),
     "reference_violations": lambda i: quality.reference_violations(_delivered_extract(i)),
     "decoded_props": _decoded_props,
+    "lenient_props": _lenient_props,
     "event_times_iso": lambda i: i.shipments.select(
         "seq", iso_utc(F.col("timestamp")).alias("at"), iso_utc(F.col("expected_delivery")).alias("expected_at")),
     # streams, read back from their views
