@@ -9,12 +9,16 @@ Band and bound: a term is in the lexicon when it occurs in at least ``MIN_SHARE`
 the documents. With w distinct terms per document on average there are at most w / MIN_SHARE such terms, however
 many documents there are; that bounds what goes to every task.
 
-A document with fewer than ``FEW`` lexicon terms, or whose terms are in no subset, is known by all its own distinct terms
-instead: the subsets are drawn from these, and the places of the smallest share hold a hash of all of them, or of the
-whole text if it has no term. Two such documents are equal only if these hashes are.
+A subset in which a document has no lexicon term holds the hash of those of its other distinct terms that the same draw
+takes, so a document with few or no lexicon terms is known by its own terms, without a limit at which the kind of its fingerprint
+changes. One more place holds the hash of all distinct terms, or of the whole text if it has no term, so different
+texts differ even where no subset takes their terms.
+
+Order: rows are put into ranges of (id descending, hash of the text), so equal and null ids are divided as well, and each row meets the
+one after it in its range. The last row of a range and the first one of the next are joined afterwards by the number of the range.
 
 Cases: null and empty texts have the fingerprint of no term. Equal texts have equal fingerprints and likeness 1. ``next`` runs through descending ids
-(nulls last), ties by text, and from the last to the first; a single document is its own next one.
+(nulls last), ties by a hash of the text, and from the last to the first; a single document is its own next one.
 """
 
 from __future__ import annotations
@@ -23,22 +27,24 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidewagon.llm.common import kept_in_worker, objects, strings
+from tidewagon.llm.common import kept_in_worker, objects, strings, written
 
 MIN_SHARE, MAX_SHARE = 0.002, 0.2
 # Each subset takes this share of the lexicon; every share is used for ``DRAWS`` subsets.
 SHARES = (1 / 4, 1 / 8, 1 / 16, 1 / 32, 1 / 64, 1 / 128, 1 / 256, 1 / 512)
 DRAWS = 8
 SUBSETS = len(SHARES) * DRAWS
-DIGITS = 4
-FEW = 4  # lexicon terms of a document below which its own terms count
-CHARS_PER_TASK = 24_000_000
+CHARS_PER_TASK = 16_000_000
+BUCKETS = 1 << 20  # of terms, for the first pass of the counts; a power of two
+WIDE = 4096  # hashes that are drawn for all subsets at once
 HELD_TERMS = 400_000
 _TERM = re.compile(r"[^\W_]+")
 
@@ -47,103 +53,138 @@ def terms(text: str | None) -> list[str]:
     return _TERM.findall((text or "").lower())
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """(term, df, ...) over all documents; tasks add up their own counts first."""
+def _counted(docs: DataFrame, keep, schema: str) -> DataFrame:
+    """Document frequencies of the parts of a task, as ``keep`` (counts, documents of the part) hands them on. A part ends
+    when it holds ``HELD_TERMS`` terms."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
+        rows = 0
         for part in batches:
             for text in strings(part["text"]):
                 held.update(set(terms(text)))
+                rows += 1
                 if len(held) > HELD_TERMS:
-                    yield pd.DataFrame({"term": objects(held), "df": list(held.values())})
-                    held = Counter()
-        yield pd.DataFrame({"term": objects(held), "df": list(held.values())})
+                    yield keep(held, rows)
+                    held, rows = Counter(), 0
+        if rows:
+            yield keep(held, rows)
+
+    return docs.select("text").mapInPandas(count, schema)
+
+
+def _buckets(words: list[str]) -> np.ndarray:
+    return (_hashes(words) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def frequent_buckets(docs: DataFrame, low: float) -> np.ndarray:
+    """Hash buckets of all terms that may be in a share ``low`` of the documents.
+
+    Such a term is in that share of the documents of at least one part of one task. At most ``BUCKETS`` numbers reach the driver.
+    """
+
+    def frequent(held: Counter, rows: int) -> pd.DataFrame:
+        return pd.DataFrame({"bucket": np.unique(_buckets([t for t, n in held.items() if n >= low * rows * (1 - 1e-9)]))})
+
+    found = _counted(docs, frequent, "bucket long").distinct().toPandas()["bucket"].to_numpy()
+    out = np.zeros(BUCKETS, dtype=bool)
+    out[found] = True
+    return out
+
 
-    return docs.select("text").mapInPandas(count, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+def document_frequencies(docs: DataFrame, buckets: np.ndarray) -> DataFrame:
+    """(term, df) over all documents of the terms in the given buckets; tasks add up their own counts first."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(buckets).tobytes())
+
+    def wanted(held: Counter, rows: int) -> pd.DataFrame:
+        usable = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).astype(bool)
+        words = list(held)
+        some = [w for w, use in zip(words, usable[_buckets(words)].tolist()) if use]
+        return pd.DataFrame({"term": objects(some), "df": [held[w] for w in some]})
+
+    return _counted(docs, wanted, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def lexicon(docs: DataFrame, documents: int, low: float = MIN_SHARE, high: float = MAX_SHARE) -> list[str]:
-    """The terms of the band, in order; at most (distinct terms per document) / ``low`` of them."""
+    """The terms of the band, in order; at most (distinct terms per document) / ``low`` of them.
+
+    A first pass finds which terms can be in the band at all, so the many rare terms are not shuffled; the second
+    one counts those.
+    """
     least = max(2, low * documents)
-    rows = document_frequencies(docs).where((F.col("df") >= least) & (F.col("df") <= max(2, high * documents)))
+    counts = document_frequencies(docs, frequent_buckets(docs, low))
+    rows = counts.where((F.col("df") >= least) & (F.col("df") <= max(2, high * documents)))
     return sorted(r["term"] for r in rows.select("term").collect())
 
 
-def subset_bits(term: str) -> int:
-    """Bit k tells whether the term is in random subset k."""
-    bits = 0
-    for k in range(SUBSETS):
-        draw = xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"), 1000 + k)
-        bits |= (draw < SHARES[k // DRAWS] * 2 ** 64) << k
-    return bits
-
-
-# Odd factors: the upper bits of hash times factor draw the subsets of a document's own terms.
+# Odd factors: the upper bits of hash times factor draw the subsets that a term is in.
 _FACTORS = np.random.default_rng(3).integers(0, 2 ** 63, size=SUBSETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BELOW = np.array([int(SHARES[k // DRAWS] * 2 ** 64) for k in range(SUBSETS)], dtype=np.uint64)
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
-def _digits(number: int) -> str:
-    return f"{number % 65535 + 1:04x}"  # 0 stands for a subset without terms
+def _hashes(words) -> np.ndarray:
+    return np.fromiter(map(_hash, words), dtype=np.uint64)
 
 
-def own_fingerprint(words: list[str], text: str) -> str:
-    """Fingerprint over the document's own distinct terms, or over the whole text if it has none."""
-    if not words and not text:
-        return "0" * (SUBSETS * DIGITS)
-    hashes = np.unique(np.fromiter(map(_hash, set(words)), dtype=np.uint64))
-    whole = hashes.tobytes() if len(hashes) else text.encode("utf-8", "surrogatepass")
-    out = []
-    for k in range(SUBSETS):
-        chosen = hashes[hashes * _FACTORS[k] < np.uint64(int(SHARES[k // DRAWS] * 2 ** 64))]
-        if k >= SUBSETS - DRAWS:
-            out.append(_digits(xxhash.xxh32_intdigest(whole, k)))
-        else:
-            out.append(_digits(xxhash.xxh32_intdigest(chosen.tobytes())) if len(chosen) else "0" * DIGITS)
-    return "".join(out)
+def drawn(hashes: np.ndarray, subsets: np.ndarray) -> np.ndarray:
+    """Whether each term is in each of the subsets."""
+    return hashes[:, None] * _FACTORS[subsets] < _BELOW[subsets]
+
+
+def _number(digest: int) -> int:
+    return digest % 65535 + 1  # 0 stands for a subset without terms
+
+
+def _digests(hashes: np.ndarray, chosen: np.ndarray) -> list[int]:
+    """One number for every column of ``chosen``, of the hashes it takes, in their order."""
+    data = hashes[np.nonzero(chosen.T)[1]].tobytes()
+    ends = (np.cumsum(chosen.sum(axis=0)) * 8).tolist()
+    return [_number(xxhash.xxh32_intdigest(data[a:b])) if b > a else 0 for a, b in zip([0, *ends], ends)]
 
 
 class Lexicon(dict):
-    """Term to its place; unknown terms are -1."""
+    """Term to its place."""
 
     def __init__(self, ordered: list[str]):
         super().__init__((t, i) for i, t in enumerate(ordered))
-        self.bits = np.fromiter((subset_bits(t) for t in ordered), dtype=np.uint64, count=len(ordered))
-        self.in_subset = np.uint64(1) << np.arange(SUBSETS, dtype=np.uint64)
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in ordered),
-                                  dtype=np.uint64, count=len(ordered))
-
-    def __missing__(self, term: str) -> int:
-        return -1
+        self.hashes = _hashes(ordered)
+        self.drawn = np.concatenate([np.zeros((0, SUBSETS), dtype=bool)] + [
+            drawn(self.hashes[a:a + WIDE], np.arange(SUBSETS)) for a in range(0, len(ordered), WIDE)])
 
-    def of(self, text: str) -> str:
+    def of(self, text: str) -> np.ndarray:
         return self.fingerprint(terms(text), text)
 
-    def fingerprint(self, words: list[str], text: str = "") -> str:
-        places = np.unique(np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words)))
-        if len(places) and places[0] < 0:
-            places = places[1:]
-        if len(places) < FEW or not self.bits[places].any():
-            return own_fingerprint(words, text)
-        bits, hashes = self.bits[places], self.hashes[places]
-        out = []
-        for mask in self.in_subset:
-            chosen = hashes[(bits & mask) != 0]
-            out.append(_digits(xxhash.xxh32_intdigest(chosen.tobytes())) if len(chosen) else "0" * DIGITS)
-        return "".join(out)
-
-
-def likeness(a: str, b: str) -> float:
-    """Share of the subsets with terms in either document on which both agree."""
-    if a == b:
-        return 1.0
-    pairs = [(a[i:i + DIGITS], b[i:i + DIGITS]) for i in range(0, len(a), DIGITS)]
-    used = [(x, y) for x, y in pairs if x != "0" * DIGITS or y != "0" * DIGITS]
-    return sum(x == y for x, y in used) / len(used) if used else 0.0
+    def fingerprint(self, words: list[str], text: str = "") -> np.ndarray:
+        """A number per subset, and one for the whole."""
+        places = np.fromiter(map(self.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        known = np.unique(places)
+        known = known[1:] if len(known) and known[0] < 0 else known
+        out = np.array(_digests(self.hashes[known], self.drawn[known]), dtype=np.uint16)
+        left = np.flatnonzero(out == 0)
+        if len(left):
+            rest = {w for w, place in zip(words, places.tolist()) if place < 0}
+            hashes = np.unique(_hashes(rest))
+            step = len(left) if len(hashes) <= WIDE else 1  # a very long text takes its subsets one by one
+            for a in range(0, len(left), step) if len(hashes) else ():
+                some = left[a:a + step]
+                out[some] = _digests(hashes, drawn(hashes, some))
+        whole = "\n".join(sorted(set(words))) or text
+        last = _number(xxhash.xxh32_intdigest(whole.encode("utf-8", "surrogatepass"))) if whole else 0
+        return np.append(out, np.uint16(last))
+
+
+def as_text(fingerprint: np.ndarray) -> str:
+    return fingerprint.astype(">u2").tobytes().hex()
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of the subsets with terms in either document on which both agree; 1 for equal fingerprints."""
+    used = np.count_nonzero((a != 0) | (b != 0))
+    return np.count_nonzero((a == b) & (a != 0)) / used if used else 1.0
 
 
 def edited(text: str, following: str) -> str:
@@ -152,8 +193,37 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
+class Document:
+    """A text with the terms of both its halves, so the terms of the edited text need not be cut again."""
+
+    def __init__(self, text: str):
+        self.text, self.cut = text, len(text) - len(text) // 2
+        low = text.lower()
+        # Lower case of a character depends on its neighbours only for the capital sigma.
+        self.low = low if len(low) == len(text) and "\u03a3" not in text else None
+        if self.low is None:
+            self.head, self.words = None, terms(text)
+        else:
+            self.head = _TERM.findall(low[:self.cut])
+            self.words = _glued(self.head, low[:self.cut], low[self.cut:])
+
+    def edited_words(self, following: "Document") -> list[str]:
+        if self.low is None or following.low is None:
+            return terms(edited(self.text, following.text))
+        return _glued(self.head, self.low[:self.cut], following.low[:len(self.text) - self.cut])
+
+
+def _glued(head: list[str], left: str, right: str) -> list[str]:
+    """Terms of ``left + right``, given those of ``left``."""
+    tail = _TERM.findall(right)
+    if left and right and left[-1].isalnum() and right[0].isalnum():
+        return head[:-1] + [head[-1] + tail[0]] + tail[1:]
+    return head + tail
+
+
 _RESULT = ("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
            "near_edited double, near_next double")
+_NAMES = [c.split()[0] for c in _RESULT.split(", ")]
 
 
 def _lexicon_of(packed: bytes) -> Lexicon:
@@ -162,68 +232,69 @@ def _lexicon_of(packed: bytes) -> Lexicon:
         packed.decode("utf-8", "surrogatepass").split("\n") if packed else []))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars and the fingerprints of each document, of its edited text, and their likeness.
+def _compared(lexicon_here: Lexicon, doc: str | None, mine: tuple, following: tuple) -> tuple:
+    """The result row of a document; both are (Document, fingerprint)."""
+    changed = edited(mine[0].text, following[0].text)
+    theirs = mine[1] if changed == mine[0].text else lexicon_here.fingerprint(mine[0].edited_words(following[0]), changed)
+    return (doc, len(mine[0].text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), as_text(mine[1]),
+            as_text(theirs), likeness(mine[1], theirs), likeness(mine[1], following[1]))
 
-    Documents are dealt out by ranges of the id, so the next document is in the same range. The first id of a range
-    also goes to the range before it, as a helper that gives no row of its own.
-    """
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars and the fingerprints of each document, of its edited text, and their likeness."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    size = docs.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"),
-                    F.max("doc_id").alias("first")).first()
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
     if not size["n"]:
         return spark.createDataFrame([], f"doc_id {kind}, {_RESULT}")
     ranges = max(1, -(-(size["chars"] or 0) // CHARS_PER_TASK))
-    # The largest ids of the ranges, descending; one number per range comes to the driver.
-    cuts = [] if ranges == 1 else docs.agg(F.percentile_approx(
-        "doc_id", [k / ranges for k in range(1, ranges)], 20 * ranges).alias("c")).first()["c"] or []
-    cuts = sorted({c for c in cuts if c < size["first"]}, reverse=True)
     packed = "\n".join(lexicon(docs, size["n"])).encode("utf-8", "surrogatepass")
     words = spark.sparkContext.broadcast(packed)
 
-    first = size["first"]
-    # Range of an id: the number of cuts at or above it; null ids are the last of all.
-    ids = F.col("doc_id")
-    place = F.lit(len(cuts)) if not cuts else F.coalesce(
-        F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= ids)), F.lit(len(cuts)))
-    helper_of = F.when(ids.isin(*cuts), place - 1) if cuts else F.lit(None).cast("int")
-    last = F.when(ids.eqNullSafe(F.lit(first).cast(kind)), F.lit(len(cuts)))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.explode(F.array_compact(F.array(
-        F.struct(place.alias("part"), F.lit(0).alias("order")),
-        F.when(helper_of.isNotNull(), F.struct(helper_of.alias("part"), F.lit(1).alias("order"))),
-        F.when(last.isNotNull(), F.struct(last.alias("part"), F.lit(2).alias("order")))))).alias("to"))
-    # Ids travel as text, which keeps nulls and all digits.
-    rows = rows.select(F.col("doc_id").cast("string").alias("id"), "doc_id", "text", "to.part", "to.order")
-
     def in_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by part, order, id descending, text; each row waits for the one after it."""
+        """Rows come in order; each waits for the one after it. The first and the last row of the range also go out with
+        their texts, for the ranges beside it."""
+        lexicon_here, number = _lexicon_of(words.value), TaskContext.get().partitionId()
+        before = None
+        for part in batches:
+            out = []
+            for doc, text in zip(strings(part["id"]), strings(part["text"])):
+                document = Document(text)
+                mine = (document, lexicon_here.fingerprint(document.words, text))
+                if before is None:
+                    out.append((None, *[None] * len(_NAMES), "first", number, text))
+                else:
+                    out.append((*_compared(lexicon_here, before[0], before[1], mine), None, None, None))
+                before = (doc, mine)
+            yield _frame(out)
+        if before is not None:
+            yield _frame([(before[0], *[None] * len(_NAMES), "last", number, before[1][0].text)])
+
+    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon_here = _lexicon_of(words.value)
-        names = ["id", *[c.split()[0] for c in _RESULT.split(", ")]]
-        before = None  # (part, id, text, words, fingerprint) of the row that waits
-        out: list[tuple] = []
         for part in batches:
-            for number, order, doc, text in zip(part["part"].tolist(), part["order"].tolist(),
-                                                strings(part["id"]), strings(part["text"])):
-                if before is not None and before[0] != number:
-                    before = None
-                if before is None and order:
-                    continue  # a helper that nobody waits for
-                mine = lexicon_here.of(text)
-                if before is not None:
-                    out.append(compare(lexicon_here, before, (text, mine)))
-                before = None if order else (number, doc, text, mine)
-            yield pd.DataFrame({name: objects(row[i] for row in out) for i, name in enumerate(names)})
             out = []
-
-    def compare(lexicon_here: Lexicon, row: tuple, following: tuple) -> tuple:
-        _, doc, text, mine = row
-        changed = edited(text, following[0])
-        theirs = mine if changed == text else lexicon_here.of(changed)
-        return (doc, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), mine, theirs,
-                likeness(mine, theirs), likeness(mine, following[1]))
-
-    dealt = rows.repartition(len(cuts) + 1, "part").sortWithinPartitions(
-        "part", "order", F.col("doc_id").desc_nulls_last(), "text").drop("doc_id")
-    found = dealt.mapInPandas(in_range, f"id string, {_RESULT}")
-    return found.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", "doc_id")
+            for doc, text, following in zip(strings(part["id"]), strings(part["text"]), strings(part["following"])):
+                both = [(d, lexicon_here.fingerprint(d.words, d.text)) for d in (Document(text), Document(following))]
+                out.append(_compared(lexicon_here, doc, *both))
+            yield pd.DataFrame({name: objects(row[i] for row in out) for i, name in enumerate(["id", *_NAMES])})
+
+    # Ids travel as text, which keeps nulls and all digits. Rows alike in id and text are told apart by their place.
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("text_hash"), F.col("place")]
+    dealt = (rows.withColumn("text_hash", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+             .repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("id", "text"))
+    found = written(dealt.mapInPandas(in_range, f"id string, {_RESULT}, edge string, number int, text string"), "imatch-ranges")
+    # A number per range; the last row of each is followed by the first one of the next range that has rows.
+    numbers = sorted(r["number"] for r in found.where("edge = 'last'").select("number").collect())
+    following = spark.createDataFrame(list(zip(numbers, numbers[1:] + numbers[:1])), "number int, next_number int")
+    first = found.where("edge = 'first'").select(F.col("number").alias("next_number"), F.col("text").alias("following"))
+    edges = (found.where("edge = 'last'").select("id", "text", "number").join(following, "number").join(first, "next_number")
+             .select("id", "text", "following").mapInPandas(across, f"id string, {_RESULT}"))
+    inner = found.where("edge is null").select("id", *_NAMES)
+    return inner.unionByName(edges).select(F.col("id").cast(kind).alias("doc_id"), *_NAMES)
+
+
+def _frame(out: list[tuple]) -> pd.DataFrame:
+    names = ["id", *_NAMES, "edge", "number", "text"]
+    return pd.DataFrame({name: objects(row[i] for row in out) for i, name in enumerate(names)})
