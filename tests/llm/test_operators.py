@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidewagon.llm import components, decontaminate, imatch, langid, lm, packing, pii, quality, simhash, toxicity, urlfilter
 from tidewagon.llm.common import bounded_sample, ship
@@ -248,15 +250,49 @@ def test_a_long_text_in_stretches_meets_the_same_items():
 # --- 4 language model -------------------------------------------------------------------------------------
 
 
+def plain_log_probability(net: dict, tokens, t: int) -> float:
+    near = [tokens[t + k] if 0 <= t + k < len(tokens) else lm.EDGE for k in (-2, -1, 1, 2)]
+    x = np.concatenate([net["embed"][n] for n in near]).astype(float)
+    hidden = np.maximum(x @ net["inner"] + net["shift"], 0)
+    c, place = divmod(int(tokens[t]), lm.CLASS)
+    classes, inside = hidden @ net["outer"] + net["bias"], hidden @ net["within"][c] + net["offset"][c]
+    return classes[c] - np.log(np.exp(classes).sum()) + inside[place] - np.log(np.exp(inside).sum())
+
+
 def test_log_probabilities_against_a_plain_softmax():
     net = lm.new_network(5)
     tokens = np.random.default_rng(2).integers(0, lm.EDGE, size=40).astype(np.int32)
     got = lm.log_probabilities(net, tokens)
     for t in range(len(tokens)):
-        near = [tokens[t + k] if 0 <= t + k < len(tokens) else lm.EDGE for k in (-2, -1, 1, 2)]
-        x = np.concatenate([net["embed"][n] for n in near])
-        logits = np.maximum(x @ net["inner"] + net["shift"], 0) @ net["outer"] + net["bias"]
-        assert got[t] == pytest.approx(logits[tokens[t]] - np.log(np.exp(logits).sum()), abs=1e-4)
+        assert got[t] == pytest.approx(plain_log_probability(net, tokens, t), abs=1e-4)
+
+
+def test_probabilities_of_all_tokens_add_up_to_one():
+    net = lm.new_network(3)
+    tokens = np.full(lm.SIZE, 7, dtype=np.int32)
+    around = np.tile(np.array([[1, 2, 3, 4]], dtype=np.int32), (lm.SIZE, 1))
+    assert np.exp(lm.log_probabilities(net, np.arange(lm.SIZE, dtype=np.int32), around)).sum() == pytest.approx(1, abs=1e-4)
+    assert len(tokens) == lm.SIZE
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(8)
+    net = {k: v.astype(np.float64) for k, v in lm.new_network(4).items()}
+    tokens = rng.integers(0, lm.EDGE, size=60).astype(np.int32)
+    around = lm.contexts(tokens)
+    found = lm.gradients(net, tokens, around)
+    loss = lambda: -np.mean([plain_log_probability(net, tokens, t) for t in range(len(tokens))])
+    for name, g in found.items():
+        assert g.shape == net[name].shape
+        flat = net[name].ravel()
+        for at in np.argsort(-np.abs(g.ravel()))[:3].tolist() + rng.integers(flat.size, size=2).tolist():
+            kept, small = flat[at], 1e-5
+            flat[at] = kept + small
+            up = loss()
+            flat[at] = kept - small
+            down = loss()
+            flat[at] = kept
+            assert g.ravel()[at] == pytest.approx((up - down) / (2 * small), abs=2e-5), name
 
 
 def test_learning_raises_the_likelihood():
@@ -268,6 +304,39 @@ def test_learning_raises_the_likelihood():
     assert all(np.array_equal(a, b) for a, b in zip(lm.from_bytes(lm.to_bytes(net)).values(), net.values()))
 
 
+def test_weights_of_tasks_are_averaged_by_their_tokens(spark):
+    ship(spark)
+    rng = np.random.default_rng(1)
+    data = [(i, rng.integers(0, 200, size=int(n)).astype(np.uint8).tobytes()) for i, n in enumerate(rng.integers(1, 3000, size=12))]
+    held = spark.createDataFrame(data, "doc_id long, tokens binary").repartition(3)
+    start = lm.to_bytes(lm.new_network())
+    parts = held.select("tokens").rdd.glom().map(lambda rows: [bytes(r[0]) for r in rows]).collect()
+    total, weight = 0, 0
+    for rows_here in parts:
+        net, power, waiting, near, seen = lm.from_bytes(start), lm.no_power(lm.new_network()), [], [], 0
+        for text in rows_here:
+            tokens = lm.unpacked(text)
+            some = lm.lessons(tokens, 0)
+            seen += len(tokens)
+            waiting.append(tokens[some])
+            near.append(lm.contexts(tokens, some))
+        if waiting:
+            waiting, near = np.concatenate(waiting), np.concatenate(near)
+            order = np.random.default_rng(seen).permutation(len(waiting))
+            lm.learn(net, waiting[order], near[order], 0.1, power)
+        total = total + np.frombuffer(lm.to_bytes(net), dtype=np.float32).astype(float) * seen
+        weight += seen
+    found = np.frombuffer(lm.one_round(held, start, 0), dtype=np.float32)
+    assert np.allclose(found, total / weight, atol=1e-4)
+
+
+def test_the_most_frequent_words_are_taken(spark):
+    counts = spark.createDataFrame([(f"w{i}", 1 + 100_000 // (i + 1)) for i in range(3000)], "word string, n long")
+    found = lm.frequent_words(counts, 500)
+    assert 400 <= len(found) <= 600 and all(f"w{i}" in found for i in range(400)) and not any(f"w{i}" in found for i in range(620, 3000))
+    assert len(lm.frequent_words(counts, 5000)) == 3000 and lm.frequent_words(counts.where("false"), 5) == {}
+
+
 def test_no_word_loses_its_spelling(spark):
     pieces = lm.merged_pieces({"the": 50, "then": 9, "thé": 3})
     known = lm.Vocabulary(pieces)
@@ -458,12 +527,85 @@ def test_edited_texts_follow_the_descending_ids(spark, monkeypatch, per_task):
 def test_fingerprint_hashes_sorted_distinct_terms():
     lexicon = imatch.Lexicon(sorted(f"t{i}" for i in range(200)))
     a = [f"t{i}" for i in range(40)]
-    assert lexicon.fingerprint(a) == lexicon.fingerprint(list(reversed(a)) + a + ["unknown"])
+    assert (lexicon.fingerprint(a) == lexicon.fingerprint(list(reversed(a)) + a)).all()
+    held = lexicon.drawn[[lexicon[t] for t in a]].any(axis=0)
+    assert (lexicon.fingerprint(a)[:-1] == lexicon.fingerprint(a + ["unknown"])[:-1])[held].all()  # the lexicon goes first
     b = a[:-1] + ["t150"]
     assert 0.3 < imatch.likeness(lexicon.fingerprint(a), lexicon.fingerprint(b)) < 1
     assert imatch.likeness(lexicon.fingerprint(a), lexicon.fingerprint([f"t{i}" for i in range(100, 140)])) < 0.1
 
 
+def plain_numbers(text: str, ordered: list[str]) -> list[int]:
+    """Number by number, in Python integers."""
+    words = set(re.findall(r"[^\W_]+", text.lower()))
+    of = lambda t: xxhash.xxh64_intdigest(t.encode())
+    out = []
+    for k in range(imatch.SUBSETS):
+        factor, below = int(imatch._FACTORS[k]), int(imatch.SHARES[k // imatch.DRAWS] * 2 ** 64)
+        taken = {t for t in words if of(t) * factor % 2 ** 64 < below}
+        known = [of(t) for t in sorted(taken & set(ordered))] or sorted(of(t) for t in taken)
+        out.append(xxhash.xxh32_intdigest(b"".join(h.to_bytes(8, "little") for h in known)) % 65535 + 1 if known else 0)
+    whole = "\n".join(sorted(words)) or text
+    return out + [xxhash.xxh32_intdigest(whole.encode()) % 65535 + 1 if whole else 0]
+
+
+def test_fingerprints_equal_a_plain_computation(spark, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(imatch, "CHARS_PER_TASK", 800)
+    data = [(i, prose(i // 3, 15 + 7 * i)) for i in range(40)] + [(7, "ΑΣ Σα İx"), (7, "joint"), (None, "a_b-c"), (None, "!"), (41, None)]
+    counts = Counter(t for _, text in data for t in set(imatch.terms(text)))
+    ordered = sorted(t for t, n in counts.items() if 2 <= n <= 0.2 * len(data))
+    texts = {}
+    for i, text in data:
+        texts.setdefault(i, []).append(text or "")
+    found = imatch.fingerprints(spark.createDataFrame(data, "doc_id long, text string").repartition(6)).collect()
+    assert len(found) == len(data)
+    numbers = lambda digits: [int(digits[i:i + 4], 16) for i in range(0, len(digits), 4)]
+    ids = sorted((i for i in texts if i is not None), reverse=True) + [None]
+    for r in found:
+        own = [t for t in texts[r.doc_id] if numbers(r.fingerprint) == plain_numbers(t, ordered)]
+        assert own
+        beside = texts[r.doc_id] + texts[ids[(ids.index(r.doc_id) + 1) % len(ids)]]
+        right = [(t, n, imatch.edited(t, n)) for t in own for n in beside
+                 if hashlib.sha256(imatch.edited(t, n).encode()).hexdigest() == r.edited_sha256]
+        assert right and numbers(r.edited_fingerprint) == plain_numbers(right[0][2], ordered)
+        pairs = [(a, b) for a, b in zip(numbers(r.fingerprint), numbers(r.edited_fingerprint)) if a or b]
+        assert r.near_edited == pytest.approx(sum(a == b for a, b in pairs) / len(pairs) if pairs else 1.0)
+
+
+@pytest.mark.parametrize("held", [50, 400_000])
+def test_the_lexicon_is_that_of_a_plain_count(spark, monkeypatch, held):
+    ship(spark)
+    monkeypatch.setattr(imatch, "HELD_TERMS", held)
+    texts = [prose(i % 40, 30) + f" only{i}" for i in range(300)] + [None, ""] + ["rare pair"] * 2
+    counts = Counter(t for text in texts for t in set(imatch.terms(text)))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    for low in (0.002, 0.02, 0.1):
+        assert imatch.lexicon(docs, len(texts), low, 0.2) == sorted(
+            t for t, n in counts.items() if max(2, low * len(texts)) <= n <= 0.2 * len(texts))
+
+
+def test_terms_of_halves_are_those_of_the_edited_text():
+    texts = ["", "a", "one two three", "onetwo", "x_y z", "ΑΣ βΣ", "İstanbul 12", "a  b", prose(5, 40), prose(6, 3)]
+    for a in texts:
+        for b in texts:
+            one, two = imatch.Document(a), imatch.Document(b)
+            assert one.words == imatch.terms(a)
+            assert one.edited_words(two) == imatch.terms(imatch.edited(a, b)), (a, b)
+
+
+def test_many_rows_of_one_id_are_divided(spark, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(imatch, "CHARS_PER_TASK", 2000)
+    data = [(5, "same text of one id")] * 600 + [(None, f"text {i}") for i in range(300)] + [(i, prose(i, 9)) for i in range(100)]
+    plans = []
+    original = imatch.written
+    monkeypatch.setattr(imatch, "written", lambda df, label: plans.append(original(df, label)) or plans[-1])
+    assert imatch.fingerprints(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).count() == 1000
+    sizes = [r["count"] for r in plans[0].withColumn("file", F.input_file_name()).groupBy("file").count().collect()]
+    assert len(sizes) >= 5 and max(sizes) <= 500
+
+
 def test_texts_without_lexicon_terms_are_alike_only_if_equal():
     lexicon = imatch.Lexicon(sorted(f"t{i}" for i in range(200)))
     texts = ["Andththwhes.", "In. The.", "Mentmentan.", "!?", "...", "t1 rare", "t1 other", "t1", "t1 t2 rare", "t1 t2 other"]
@@ -471,7 +613,7 @@ def test_texts_without_lexicon_terms_are_alike_only_if_equal():
     for i, a in enumerate(found):
         for j, b in enumerate(found):
             assert (imatch.likeness(a, b) == 1) == (i == j), (texts[i], texts[j])
-    assert lexicon.of("the in") == lexicon.of("In. The.") and lexicon.of("") == "0" * (imatch.SUBSETS * imatch.DIGITS)
+    assert (lexicon.of("the in") == lexicon.of("In. The.")).all() and not lexicon.of("").any()
     words = [f"w{i}" for i in range(30)]
     assert 0.3 < imatch.likeness(lexicon.of(" ".join(words)), lexicon.of(" ".join(words[:-1]))) < 1
     assert all(imatch.likeness(imatch.Lexicon([]).of(a), imatch.Lexicon([]).of(b)) < 1 for a, b in zip(texts, texts[1:]))

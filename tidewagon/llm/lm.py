@@ -6,7 +6,10 @@ single characters, merged pair by pair (BPE) from the most frequent words of all
 A word is cut into the longest pieces; a character without a token is its UTF-8 bytes, two half-byte tokens each. So
 every word keeps its spelling, as target and as context, and its probability is a product over its parts.
 
-The network (embeddings, one hidden layer, softmax) is trained in numpy where the data is: every task starts from the
+The probability of a token is that of its class times that within the class: two soft-maxes over 16 instead of one over 256. Pieces
+are numbered in order of their spelling, so a class holds pieces that begin alike.
+
+The network (embeddings, one hidden layer, the two soft-maxes) is trained in numpy where the data is: every task starts from the
 same weights, learns from the tokens of its own documents, and the weights of the tasks are averaged in proportion to
 their tokens, in a tree. Two such rounds are made; each takes every second token of a text, so every token is
 learned from exactly once. What is gathered grows with the input; what a task or the driver holds does not.
@@ -33,15 +36,16 @@ CHARACTERS = 128  # at most so many of them single characters
 HALVES = 32  # tokens of the upper and lower half-bytes of all other characters
 EDGE = PIECES + HALVES  # what stands beyond both ends of a text
 SIZE = EDGE + 1  # at most 256: a token is kept as one byte
-MERGE_WORDS = 20_000  # most frequent words, from which pieces are merged
+CLASS = 16  # tokens of a class, and classes
+MERGE_WORDS = 20_000  # about so many of the most frequent words, from which pieces are merged
 START = " "  # stands before a word, so no word has it
 SIDE = 2  # tokens seen on each side
 WIDTH, HIDDEN = 16, 32
 ROUNDS = 2  # of every so many tokens each round learns from another one, so together from all
-BATCH = 512
-SLAB = 8192  # tokens that are scored together
+BATCH = 4096
+SLAB = 16_384  # tokens that are scored together
 LEARNED = 65_536  # tokens that are put in random order and learned from together
-PRODUCT = 1024  # tokens per matrix product
+PRODUCT = 8192  # tokens per matrix product
 HELD_WORDS = 400_000
 KNOWN_WORDS = 200_000  # words whose tokens a worker remembers before it starts anew
 TREE = 64
@@ -157,10 +161,30 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def corpus_pieces(docs: DataFrame) -> list[str]:
-    """The pieces of the tokenizer; none for a corpus without words."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(MERGE_WORDS).collect()
-    return merged_pieces({r["word"]: r["n"] for r in top}) if top else []
+def frequent_words(counts: DataFrame, words: int) -> dict[str, int]:
+    """About ``words`` of the most frequent words of (word, n).
+
+    The words are counted by steps of their frequency, a few hundred steps at most; those above the step at which the number is
+    reached come to the driver, and of that step the share that is missing, chosen by a hash.
+    """
+    step = F.floor(F.log2(F.col("n")) * 16).cast("int")
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()
+    above, chosen = 0, F.lit(False)
+    for row in steps:
+        share = min(1.0, (words - above) / row["words"])
+        inside = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30))
+        chosen = (step > row["step"]) | ((step == row["step"]) & inside)
+        above += row["words"]
+        if above >= words:
+            break
+    return {r["word"]: r["n"] for r in counts.where(chosen).collect()}
+
+
+def corpus_pieces(docs: DataFrame, words: int = MERGE_WORDS) -> list[str]:
+    """The pieces of the tokenizer in order of their spelling; none for a corpus without words."""
+    top = frequent_words(written(word_counts(docs), "lm-words"), words)
+    # The order of equal words must not depend on how they came.
+    return sorted(merged_pieces(dict(sorted(top.items())))) if top else []
 
 
 def tokenized(docs: DataFrame, pieces: list[str]) -> DataFrame:
@@ -176,14 +200,15 @@ def tokenized(docs: DataFrame, pieces: list[str]) -> DataFrame:
     return written(docs.select("doc_id", packed("text").alias("tokens")), "lm-tokens")
 
 
-_SHAPE = {"embed": (SIZE, WIDTH), "inner": (2 * SIDE * WIDTH, HIDDEN), "shift": (HIDDEN,), "outer": (HIDDEN, SIZE),
-          "bias": (SIZE,)}
+_SHAPE = {"embed": (SIZE, WIDTH), "inner": (2 * SIDE * WIDTH, HIDDEN), "shift": (HIDDEN,),
+          "outer": (HIDDEN, SIZE // CLASS), "bias": (SIZE // CLASS,),
+          "within": (SIZE // CLASS, HIDDEN, CLASS), "offset": (SIZE // CLASS, CLASS)}
 
 
 def new_network(seed: int = 11) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    scale = {"embed": 0.3, "inner": (2 * SIDE * WIDTH) ** -0.5, "shift": 0.0, "outer": HIDDEN ** -0.5, "bias": 0.0}
-    return {k: (rng.standard_normal(s) * scale[k]).astype(np.float32) for k, s in _SHAPE.items()}
+    scale = {"embed": 0.3, "inner": (2 * SIDE * WIDTH) ** -0.5, "outer": HIDDEN ** -0.5, "within": HIDDEN ** -0.5}
+    return {k: (rng.standard_normal(s) * scale.get(k, 0.0)).astype(np.float32) for k, s in _SHAPE.items()}
 
 
 def to_bytes(net: dict[str, np.ndarray]) -> bytes:
@@ -209,55 +234,89 @@ def contexts(tokens: np.ndarray, places: np.ndarray | None = None) -> np.ndarray
     return np.stack([padded[k:k + len(tokens)] for k in offsets], axis=1)
 
 
+def _by_class(tokens: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Places in order of the class of their token, and (class, from, to) of every class that occurs."""
+    classes = (tokens // CLASS).astype(np.uint8)
+    ends = np.cumsum(np.bincount(classes, minlength=SIZE // CLASS)).tolist()
+    runs = [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
+    return np.argsort(classes, kind="stable"), runs
+
+
+def _within(net: dict, hidden: np.ndarray, runs: list) -> np.ndarray:
+    """Scores of the tokens of the own class, for rows in order of their class."""
+    out = np.empty((len(hidden), CLASS), dtype=np.float32)
+    for c, a, b in runs:
+        np.matmul(hidden[a:b], net["within"][c], out=out[a:b])
+        out[a:b] += net["offset"][c]
+    return out
+
+
+def _exponentials(scores: np.ndarray) -> np.ndarray:
+    """exp of the scores in place, and their sums as a column; scores are held below what float32 can take."""
+    np.minimum(scores, 60, out=scores)
+    np.exp(scores, out=scores)
+    return scores @ np.ones((scores.shape[1], 1), dtype=np.float32)
+
+
 def log_probabilities(net: dict, tokens: np.ndarray, around: np.ndarray | None = None) -> np.ndarray:
     """log P(token | both sides) of every token, in slabs."""
     around = contexts(tokens) if around is None else around
     # The first layer is a sum of one table per place in the window.
     tables = [net["embed"] @ net["inner"][k * WIDTH:(k + 1) * WIDTH] for k in range(2 * SIDE)]
     out = np.empty(len(tokens), dtype=np.float64)
-    ones = np.ones(SIZE, dtype=np.float32)
     for a in range(0, len(tokens), PRODUCT):
-        near, target = around[a:a + PRODUCT], tokens[a:a + PRODUCT]
+        order, runs = _by_class(tokens[a:a + PRODUCT])
+        near, target = around[a:a + PRODUCT][order], tokens[a:a + PRODUCT][order]
         hidden = net["shift"] + tables[0][near[:, 0]]
         for k in range(1, 2 * SIDE):
             hidden += tables[k][near[:, k]]
         np.maximum(hidden, 0, out=hidden)
-        logits = hidden @ net["outer"]
-        logits += net["bias"]
-        np.minimum(logits, 60, out=logits)
-        chosen = logits[np.arange(len(target)), target]
-        np.exp(logits, out=logits)
-        out[a:a + PRODUCT] = chosen - np.log(logits @ ones)
+        rows, value = np.arange(len(target)), np.zeros(len(target))
+        for scores, place in ((hidden @ net["outer"] + net["bias"], target // CLASS), (_within(net, hidden, runs), target % CLASS)):
+            chosen = np.minimum(scores[rows, place], 60)
+            value += chosen - np.log(_exponentials(scores)[:, 0])
+        out[a + order] = value
     return out
 
 
+def gradients(net: dict, tokens: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean negative log probability of the tokens."""
+    order, runs = _by_class(tokens)
+    near, target = around[order], tokens[order]
+    x = net["embed"][near].reshape(len(near), -1)
+    raw = x @ net["inner"] + net["shift"]
+    hidden = np.maximum(raw, 0)
+    rows = np.arange(len(target))
+    both = []
+    for scores, place in ((hidden @ net["outer"] + net["bias"], target // CLASS), (_within(net, hidden, runs), target % CLASS)):
+        scores *= 1 / (len(target) * _exponentials(scores))
+        scores[rows, place] -= 1 / len(target)
+        both.append(scores)
+    p, q = both
+    dh = p @ net["outer"].T
+    within, offset = np.zeros_like(net["within"]), np.zeros_like(net["offset"])
+    for c, a, b in runs:
+        dh[a:b] += q[a:b] @ net["within"][c].T
+        within[c], offset[c] = hidden[a:b].T @ q[a:b], q[a:b].sum(axis=0)
+    dh *= raw > 0
+    dx = np.ascontiguousarray((dh @ net["inner"].T).reshape(-1, WIDTH).T)
+    places = near.ravel()
+    embed = np.stack([np.bincount(places, weights=w, minlength=SIZE) for w in dx], 1).astype(np.float32)
+    return {"embed": embed, "inner": x.T @ dh, "shift": dh.sum(axis=0), "outer": hidden.T @ p, "bias": p.sum(axis=0),
+            "within": within, "offset": offset}
+
+
 def learn(net: dict, tokens: np.ndarray, around: np.ndarray, rate: float, power: dict | None = None) -> None:
     """One pass over the examples in small batches, with Adagrad, in place; ``power`` goes on from an earlier pass."""
     power = no_power(net) if power is None else power
-    ones = np.ones(SIZE, dtype=np.float32)
     for a in range(0, len(tokens), BATCH):
-        near, target = around[a:a + BATCH], tokens[a:a + BATCH]
-        x = net["embed"][near].reshape(len(near), -1)
-        raw = x @ net["inner"] + net["shift"]
-        hidden = np.maximum(raw, 0)
-        p = hidden @ net["outer"]
-        p += net["bias"]
-        np.minimum(p, 60, out=p)
-        np.exp(p, out=p)
-        p *= (1 / (len(target) * (p @ ones)))[:, None]
-        p[np.arange(len(target)), target] -= 1 / len(target)
-        dh = (p @ net["outer"].T) * (raw > 0)
-        dx = np.ascontiguousarray((dh @ net["inner"].T).reshape(-1, WIDTH).T)
-        places = near.ravel()
-        grad = {"outer": hidden.T @ p, "bias": p.sum(axis=0), "inner": x.T @ dh, "shift": dh.sum(axis=0),
-                "embed": np.stack([np.bincount(places, weights=w, minlength=SIZE) for w in dx], 1).astype(np.float32)}
-        for k, g in grad.items():
+        for k, g in gradients(net, tokens[a:a + BATCH], around[a:a + BATCH]).items():
             power[k] += g * g
             net[k] -= rate * g / np.sqrt(power[k])
 
 
 def no_power(net: dict) -> dict[str, np.ndarray]:
-    return {k: np.full_like(v, 0.1) for k, v in net.items()}
+    return {k: np.full_like(v, 1e-3) for k, v in net.items()}
 
 
 def _average(parts: DataFrame) -> DataFrame:
