@@ -383,6 +383,18 @@ def test_entries_hold_from_their_day_until_removed(spark):
                    (6, True, "l"), (7, False, ""), (8, False, ""), (9, False, ""), (10, False, "")]
 
 
+def test_captures_with_clashing_columns_and_long_urls(spark):
+    entries = spark.sql("select 'l' as list, 'x.org' as pattern, 'add' as action, date'2024-01-01' as day")
+    long = "http://" + "a." * 300 + "x.org/" + "p" * 20_000
+    captures = spark.sql(f"""select *, 'mine' as pattern, 7 as blocked, 'z' as lists, 1.5 as matches, 'd' as _day, 'h' as _host,
+        's' as list, 'r' as _capture from values (1,'{long}',date'2024-01-02'), (2,'http://y.org',date'2024-01-02') as t(page_id, url, fetched)""")
+    found = urlfilter.evaluate(captures, entries)
+    assert len(set(found.columns)) == len(found.columns) == len(captures.columns) + 4
+    got = {r.page_id: r for r in found.collect()}
+    assert (got[1].blocked, got[1].pattern, got[1].capture_pattern, got[1].capture_blocked) == (True, "x.org", "mine", 7)
+    assert (got[2].blocked, got[2].pattern, got[2]._day, got[2].capture_matches) == (False, None, "d", 1.5)
+
+
 def test_case_counts_in_the_path_only(spark):
     entries = spark.sql("select 'l' as list, 'X.org/Ads' as pattern, 'add' as action, date'2024-01-01' as day")
     captures = spark.sql("""select * from values (1,'http://x.org/Ads',date'2024-01-02'), (2,'http://X.ORG/Ads/b',date'2024-01-02'),

@@ -8,13 +8,15 @@ All of it is DataFrame work. Captures are first reduced to their distinct (host,
 most of the captures is a few rows per day in the join; a capture's verdict depends on nothing else.
 
 Cases: a capture without url or without fetch day matches nothing. Of several entries for one pattern on one day a
-``remove`` wins. An entry without list, pattern, action or day is left out. A repeated entry changes nothing.
+``remove`` wins. Columns of the captures that are named as those of the result (``RESULT``) come back with ``capture_`` before
+their name. An entry without list, pattern, action or day is left out. A repeated entry changes nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+RESULT = ("blocked", "lists", "matches", "pattern")
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 _SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 
@@ -58,9 +60,9 @@ def patterns_of(host: Column, segment: Column) -> Column:
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Each capture with ``blocked``, ``lists`` (names, in order), ``matches`` and ``pattern`` (the longest match)."""
-    named = captures.withColumns({"_host": host_of(F.col("url")), "_segment": segment_of(F.col("url"))})
-    asked = named.where("_host is not null and fetched is not null").select(
-        "_host", "_segment", F.col("fetched").alias("_day")).distinct()
+    named = captures.select(F.struct("*").alias("_capture"), host_of(F.col("url")).alias("_host"),
+                            segment_of(F.col("url")).alias("_segment"), F.col("fetched").alias("_day"))
+    asked = named.where("_host is not null and _day is not null").select("_host", "_segment", "_day").distinct()
     keyed = asked.withColumn("pattern", F.explode(patterns_of(F.col("_host"), F.col("_segment"))))
     valid = intervals(entries)
     active = keyed.join(valid, (keyed["pattern"] == valid["pattern"]) & (keyed["_day"] >= valid["valid_from"])
@@ -68,9 +70,9 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     verdict = active.groupBy("_host", "_segment", "_day").agg(
         F.array_sort(F.collect_set("list")).alias("lists"), F.count("*").alias("matches"),
         F.max(F.struct(F.length("pattern").alias("n"), F.col("pattern").alias("p")))["p"].alias("pattern"))
-    joined = named.withColumnRenamed("fetched", "_day").join(verdict, ["_host", "_segment", "_day"], "left")
+    joined = named.join(verdict, ["_host", "_segment", "_day"], "left")
     return joined.select(
-        *[F.col("_day").alias("fetched") if c == "fetched" else F.col(f"`{c}`") for c in captures.columns],
+        *[F.col("_capture").getField(c).alias(f"capture_{c}" if c in RESULT else c) for c in captures.columns],
         F.col("matches").isNotNull().alias("blocked"),
         F.coalesce(F.array_join("lists", ","), F.lit("")).alias("lists"),
         F.coalesce("matches", F.lit(0)).alias("matches"), "pattern")
@@ -100,9 +102,12 @@ def derived_entries(pages: DataFrame) -> DataFrame:
         "host is not null").distinct()
     n = _number(F.concat_ws("/", "host", "segment"))
     parent = F.substring_index("host", ".", -3)
+    # Some paths are listed with their host, some with their segment in capitals; the latter are other paths.
+    path = F.concat_ws("/", F.when(F.col("n") % 4 == 0, F.upper("host")).otherwise(F.col("host")),
+                       F.when(F.col("n") % 4 == 1, F.upper("segment")).otherwise(F.col("segment")))
     chosen = seen.withColumn("n", n).where("n % 3 = 0").select(
         F.element_at(F.array(F.lit("adult"), F.lit("malware"), F.lit("spam")), ((F.col("n") / 3).cast("long") % 3 + 1).cast("int")).alias("list"),
-        F.when(F.col("n") % 5 == 0, parent).when(F.col("n") % 5 == 1, F.concat_ws("/", "host", "segment"))
+        F.when(F.col("n") % 5 == 0, parent).when(F.col("n") % 5 == 1, path)
         .otherwise(F.col("host")).alias("pattern"), "n")
     day = lambda offset: F.date_add(F.to_date(F.lit(FIRST_DAY)), offset.cast("int"))
     start = F.col("n") % 200
@@ -126,8 +131,10 @@ seen AS (
   FROM parsed WHERE host IS NOT NULL),
 chosen AS (
   SELECT (['adult', 'malware', 'spam'])[CAST((n // 3) % 3 + 1 AS INTEGER)] AS list, n,
-         lower(CASE n % 5 WHEN 0 THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.')
-                    WHEN 1 THEN concat_ws('/', host, segment) ELSE host END) AS pattern
+         CASE n % 5 WHEN 0 THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.')
+                    WHEN 1 THEN concat_ws('/', CASE WHEN n % 4 = 0 THEN upper(host) ELSE host END,
+                                          CASE WHEN n % 4 = 1 THEN upper(segment) ELSE segment END) ELSE host END AS raw,
+         lower(regexp_extract(raw, '^[^/]*')) || substr(raw, length(regexp_extract(raw, '^[^/]*')) + 1) AS pattern
   FROM seen WHERE n % 3 = 0),
 entries AS (
   SELECT list, pattern, 'add' AS action, DATE '2024-01-01' + CAST(n % 200 AS INTEGER) AS day FROM chosen
