@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidewagon.llm import components, decontaminate, imatch, langid, lm, packing, pii, quality, simhash, toxicity, urlfilter
-from tidewagon.llm.common import bounded_sample, ship
+from tidewagon.llm.common import bounded_sample, labelled_texts, ship
 
 WORDS = "alpha beta gamma delta rho sigma tau omega kappa lambda theta iota".split()
 
@@ -126,7 +126,7 @@ def test_language_held_out(spark):
     assert all(found[i] == (zlib.crc32(str(i).encode()) % 4 == 2, k) for i, _, k in data)
 
 
-def test_quality_gradient_is_that_of_the_loss():
+def test_long_texts_weigh_the_mean_of_all_chunks():
     good, bad = [prose(i, 60) for i in range(40)], ["### " * 80 + str(i) for i in range(40)]
     net = quality.train(good + bad, [1] * 40 + [0] * 40, epochs=6)
     assert quality.predict(net, [prose(99, 60), "### " * 70]).round().tolist() == [1, 0]
@@ -135,6 +135,89 @@ def test_quality_gradient_is_that_of_the_loss():
     assert quality.predict(net, ["", long, "short"])[1] == pytest.approx(alone, abs=1e-6)
 
 
+def test_quality_gradient_is_that_of_the_loss(monkeypatch):
+    monkeypatch.setattr(quality, "SLAB", 3)  # several slabs
+    pieces = [quality.chunks_of(prose(i, 20 + 150 * i)) for i in range(4)]
+    y, weight = np.array([1, 0, 1, 0], dtype=np.float32), np.array([0.7, 1.3, 0.9, 1.1])
+    net = {k: v.astype(np.float64) for k, v in quality.new_network(3).items()}
+
+    def loss(net):
+        p = np.array([quality._combine(net, quality.pooled(net, c), np.array([0]))[0][0] for c in pieces])
+        return float(np.mean(-weight * (y * np.log(p) + (1 - y) * np.log(1 - p))))
+
+    grad, rng = quality.gradients(net, pieces, y, weight), np.random.default_rng(1)
+    for k, v in net.items():
+        at = np.argsort(-np.abs(grad[k].ravel()))[:8] if k == "embed" else rng.integers(v.size, size=8)
+        for i in at:
+            moved = []
+            for d in (1e-5, -1e-5):
+                flat = v.ravel().copy()
+                flat[i] += d
+                moved.append(loss(net | {k: flat.reshape(v.shape)}))
+            assert (moved[0] - moved[1]) / 2e-5 == pytest.approx(float(grad[k].ravel()[i]), rel=2e-2, abs=2e-5), k
+
+
+def test_language_model_equals_plain_kernel_ridge():
+    """Weights of the kernel values against ridge regression on explicit Nystroem features."""
+    texts = [prose(i, 40 + 60 * i) for i in range(9)]
+    names = np.arange(9) % 3
+    bits = np.stack([np.frombuffer(langid.landmark_bits(t, 0), dtype=np.uint8) for t in texts[:5]])
+    kernels, targets = [], []
+    for index, _, k in langid.window_kernels(texts, langid._unit(bits)):
+        kernels += list(k)
+        targets += [names[index]] * len(k)
+    assert len(kernels) == sum(langid.windows_in(len(t)) for t in texts)
+
+    def grams(part):
+        low = part.lower()
+        return {(n, low[i:i + n]) for n in langid.ORDERS for i in range(len(low) - n + 1)}
+
+    def cosine(a, b):
+        return len(a & b) / np.sqrt(len(a) * len(b))
+
+    first = [grams(t[:langid.WINDOW] if langid.windows_in(len(t)) > 1 else t) for t in texts]
+    at = np.cumsum([0] + [langid.windows_in(len(t)) for t in texts[:-1]])
+    for i, place in enumerate(at):  # equal up to hash collisions and the grams that end in the next window
+        assert kernels[place] == pytest.approx([cosine(first[i], m) for m in first[:5]], abs=0.02)
+    k, y = np.array(kernels, dtype=np.float64), np.eye(3)[targets]
+    unit = langid._unit(bits)
+    values, vectors = np.linalg.eigh((unit.T @ unit).astype(np.float64))
+    phi = k @ vectors @ np.diag(values ** -0.5) @ vectors.T
+    ridge = langid.RIDGE * len(k) / len(bits)
+    plain = np.linalg.solve(phi.T @ phi + ridge * np.eye(len(bits)), phi.T @ y)
+    assert k @ langid.solve(bits, k.T @ k, k.T @ y, len(k)) == pytest.approx(phi @ plain, abs=1e-6)
+
+
+def test_a_training_sample_is_bounded_whatever_repeats(spark):
+    docs = spark.range(900).selectExpr("if(id < 300, 4, id) as doc_id", "concat('text ', id, repeat('x', 90)) as text")
+    labels = spark.range(900).selectExpr("if(id < 300, 4, id) as doc_id", "cast(id % 2 as int) as toxic").where("doc_id <> 4 or toxic = 1")
+    torn = labels.union(spark.sql("select 500L, 0 union all select 500L, 1"))
+    got = [labelled_texts(docs.repartition(n), torn.repartition(n), "toxic", 200, 4, 2, 10 ** 9).collect() for n in (1, 5)]
+    assert sorted(got[0]) == sorted(got[1])
+    ids = [r.doc_id for r in got[0]]
+    assert len(ids) == len(set(ids)) and 4 in ids and 500 not in ids
+    assert all(sum(r._label == y for r in got[0]) <= 200 for y in (0, 1))
+    few = labelled_texts(docs, torn, "toxic", 200, 4, 2, 1000).collect()
+    assert 9 <= len(few) <= 11 and all(r.text.endswith("x" * 90) for r in few)  # whole texts up to 1000 characters
+
+
+def test_equal_texts_with_both_labels_count_as_toxic():
+    texts = ["fine day. good words here", "vile scum now"] * 6 + [f"calm {i}" for i in range(9)]
+    labels = [0, 1] * 6 + [0] * 9
+    a = toxicity.train(texts + ["vile scum now"], labels + [0])
+    b = toxicity.train(["vile scum now"] + texts, [0] + labels)
+    assert toxicity.Scorer(a).score("vile scum now") == pytest.approx(toxicity.Scorer(b).score("vile scum now"), abs=0.02)
+
+
+def test_one_row_of_every_group_of_copies_with_all_its_columns(spark):
+    ship(spark)
+    data = [(5, "a b c d e", "p"), (5, "a b c d e", "q"), (3, "a b c d e", "r"), (None, "u v w x y z", "s"), (None, "u v w x y z", "s"), (9, None, "t")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, _kept string").withColumn("_row", F.lit(1)).withColumn("_place", F.lit(2))
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted((tuple(r)[:3] for r in kept.collect()), key=str) == sorted([(3, "a b c d e", "r"), (None, "u v w x y z", "s"), (9, None, "t")], key=str)
+
+
 def test_toxicity_learns_sentences_from_documents():
     clean = [prose(i, 90) for i in range(60)]
     toxic = [c.replace(".", ". you blorgish oaf.", 1) for c in clean[:30]]

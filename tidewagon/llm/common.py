@@ -83,37 +83,58 @@ def held_out(key: str, modulus: int, rest: int) -> Column:
 
 
 def bounded_sample(rows: DataFrame, group: str, per_group: int, key: str) -> DataFrame:
-    """At most ``per_group`` rows of every value of ``group``, chosen by a hash of ``key``; for training only.
+    """At most ``per_group`` distinct (``group``, ``key``) of every value of ``group``, chosen by a hash of ``key``; for training only.
 
     A first cut by the counted share leaves about ``per_group`` rows of each group before anything is put
-    in order, so a group with most of the rows never meets in one task. Null groups and keys are left out.
+    in order, so a group with most of the rows never meets in one task. A key that repeats over many rows is one row from
+    there on; it leaves fewer than ``per_group`` of its group. Null groups and keys are left out.
     """
-    rows = rows.where(F.col(group).isNotNull() & F.col(key).isNotNull())
+    rows = rows.select(group, key).where(F.col(group).isNotNull() & F.col(key).isNotNull())
     counts = written(rows.groupBy(group).agg(F.count("*").alias("_in_group")), "sample-counts")
     # Few groups are broadcast, after a check of their number: a join by group would deal all rows out by group.
     counts = F.broadcast(counts) if counts.count() <= FEW_GROUPS else counts
     draw = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30))
     near = (rows.withColumn("_draw", draw).join(counts, group)
-            .where(F.col("_draw") * F.col("_in_group") <= F.lit((per_group * 1.25 + 16) * (1 << 30))))
+            .where(F.col("_draw") * F.col("_in_group") <= F.lit((per_group * 1.25 + 16) * (1 << 30)))
+            .select(group, key, "_draw").distinct())
     order = Window.partitionBy(group).orderBy("_draw", key)
     return (near.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= per_group)
-            .drop("_draw", "_in_group", "_place"))
+            .select(group, key))
+
+
+def one_text(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One text of every value of ``keys``: the first by a hash, then by the text. Tasks choose among their own rows first."""
+    first = F.min(F.struct(F.xxhash64("text").alias("draw"), F.col("text")))
+    return rows.where(F.col("text").isNotNull()).groupBy(*keys).agg(first.alias("_first")).select(*keys, F.col("_first.text"))
+
+
+def within_budget(texts: DataFrame, keys: list[str], budget: int) -> DataFrame:
+    """The rows of ``texts``, a written bounded sample, in order of a hash until they have ``budget`` characters.
+
+    A row stays whole if those before it have fewer, so no length is left out. The order is that of narrow rows.
+    """
+    draw = F.xxhash64(*[F.col(k).cast("string") for k in keys])
+    before = F.sum("_chars").over(Window.orderBy("_draw", *keys).rowsBetween(Window.unboundedPreceding, -1))
+    narrow = texts.select(*keys, F.length("text").cast("long").alias("_chars"), draw.alias("_draw"))
+    kept = narrow.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < budget).select(*keys)
+    return texts.join(F.broadcast(kept), keys)  # no more rows than the sample
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, modulus: int, rest: int,
                    max_chars: int) -> DataFrame:
-    """(label, text) of a bounded sample of labelled documents that are not held out, for training.
+    """(doc_id, _label, text) of a bounded sample of labelled documents that are not held out, for training.
 
     The sample is drawn from the narrow label rows. It has at most ``2 * per_class`` rows, which bounds
-    the side that is broadcast, so the texts of the documents are not shuffled. Texts over ``max_chars``
-    are left to scoring.
+    the side that is broadcast, so the texts of the documents are not shuffled. It has one text of an id, and texts until
+    they have ``max_chars`` characters together; no text is cut or left out for its length. An id with both labels is left out.
     """
-    usable = labels.select("doc_id", F.col(label).cast("int").alias("_label")).where(
-        F.col("_label").isin(0, 1) & (remainder("doc_id", modulus) != rest)).dropDuplicates(["doc_id"])
-    chosen = bounded_sample(usable, "_label", per_class, "doc_id")
-    texts = docs.select("doc_id", "text").where(
-        F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "_label", "text")
+    sure = (labels.select("doc_id", F.col(label).cast("int").alias("_label"))
+            .where(F.col("_label").isin(0, 1) & (remainder("doc_id", modulus) != rest))
+            .groupBy("doc_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_most"))
+            .where(F.col("_label") == F.col("_most")).drop("_most"))
+    chosen = bounded_sample(sure, "_label", per_class, "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return within_budget(written(one_text(texts, ["doc_id", "_label"]), "labelled-texts"), ["doc_id", "_label"], max_chars)
 
 
 def with_group_columns(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner",

@@ -11,7 +11,7 @@ The normal equations are sums over the training rows, so tasks add them up and o
 size of the landmarks come together.
 
 Cases: ``und`` with score 0 for null texts and texts without a letter, or if nothing could be learned.
-Equal scores go to the alphabetically first language. Repeated rows score alike.
+Equal scores go to the alphabetically first language. Repeated rows score alike; the sample has one text of an id and language.
 """
 
 from __future__ import annotations
@@ -23,13 +23,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewagon.llm.common import bounded_sample, held_out, objects, remainder, strings, written
+from tidewagon.llm.common import bounded_sample, held_out, objects, one_text, remainder, strings, within_budget, written
 
 UNDETERMINED = "und"
 # Bounds of the training sample; scoring has none.
 TRAIN_PER_LANGUAGE = 800
+TRAIN_CHARS = 256_000_000  # of all texts of the sample together; each is taken whole
 LANDMARKS_PER_LANGUAGE = 16
-TRAIN_WINDOWS = 8  # windows of one training text, spread over all of it
 WINDOW = 1000
 ORDERS = (1, 2, 3, 4)
 PLACES = 1 << 15
@@ -85,11 +85,8 @@ def _unit(bits: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray((dense / np.sqrt(np.maximum(dense.sum(axis=1, keepdims=True), 1))).T)
 
 
-def window_kernels(texts: list[str], landmarks: np.ndarray, pick: int | None = None):
-    """Yield (text index, window sizes, kernel rows) for all texts, in batches of bounded size.
-
-    ``pick`` takes so many windows of a text, spread over all of it; otherwise all windows come.
-    """
+def window_kernels(texts: list[str], landmarks: np.ndarray):
+    """Yield (text index, window sizes, kernel rows) for all windows of all texts, in batches of bounded size."""
     batch = np.zeros((ROWS, PLACES), dtype=np.float32)
     held: list[tuple[int, np.ndarray]] = []
     used = 0
@@ -105,7 +102,7 @@ def window_kernels(texts: list[str], landmarks: np.ndarray, pick: int | None = N
             held, used = [], 0
 
     for index, text in enumerate(texts):
-        for a, b in _runs(windows_in(len(text)), pick):
+        for a, b in _runs(windows_in(len(text))):
             last = b == windows_in(len(text))
             if used + (b - a) > ROWS:
                 yield from flush()
@@ -119,10 +116,8 @@ def window_kernels(texts: list[str], landmarks: np.ndarray, pick: int | None = N
     yield from flush()
 
 
-def _runs(count: int, pick: int | None) -> list[tuple[int, int]]:
+def _runs(count: int) -> list[tuple[int, int]]:
     """Runs of windows of at most ``ROWS``."""
-    if pick and count > pick:
-        return [(c, c + 1) for c in np.unique(np.linspace(0, count - 1, pick).astype(int)).tolist()]
     return [(a, min(a + ROWS, count)) for a in range(0, count, ROWS)]
 
 
@@ -144,11 +139,11 @@ def predict(model: Model, texts) -> tuple[list[str], np.ndarray]:
     return names, scores
 
 
-def landmark_bits(text: str) -> bytes:
-    """Packed presence of the middle window of a text."""
+def landmark_bits(text: str, number: int) -> bytes:
+    """Packed presence of a window of a text."""
     row = np.zeros((1, PLACES), dtype=np.float32)
-    at = (windows_in(len(text)) // 2) * WINDOW
-    presence(text[at:at + WINDOW] or text[:WINDOW], row, 0, 1)
+    last = number + 1 >= windows_in(len(text))
+    presence(text[number * WINDOW:] if last else text[number * WINDOW:(number + 1) * WINDOW], row, 0, 1)
     return np.packbits(row[0].astype(np.uint8)).tobytes()
 
 
@@ -169,13 +164,22 @@ def fit(docs: DataFrame) -> Model:
     """Learn the values of ``lang`` from a bounded sample of the rows that are not held out."""
     rows = docs.select("doc_id", "lang", "text").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", MODULUS) != REST))
-    chosen = written(bounded_sample(rows.select("doc_id", "lang"), "lang", TRAIN_PER_LANGUAGE, "doc_id")
-                     .select("doc_id").distinct(), "language-sample")
+    chosen = written(bounded_sample(rows, "lang", TRAIN_PER_LANGUAGE, "doc_id"), "language-sample")
     # The sample is bounded per language; it is broadcast only after its size is checked.
     few = chosen.count() <= BROADCAST_ROWS
-    sample = written(rows.join(F.broadcast(chosen) if few else chosen, "doc_id", "left_semi"), "language-texts")
-    bits = F.udf(landmark_bits, "binary")
-    marks = bounded_sample(sample, "lang", LANDMARKS_PER_LANGUAGE, "doc_id").select("lang", bits("text").alias("bits"))
+    texts = written(one_text(rows.join(F.broadcast(chosen) if few else chosen, ["lang", "doc_id"]), ["lang", "doc_id"]), "language-texts")
+    sample = written(within_budget(texts, ["lang", "doc_id"], TRAIN_CHARS), "language-lessons") if few else texts
+    # Landmarks are drawn from all windows of the sample.
+    count = F.greatest(F.lit(1), F.floor((F.length("text") + WINDOW // 2) / WINDOW).cast("int"))
+    windows = sample.select("lang", F.explode(F.sequence(F.lit(0), count - 1)).alias("number"), "doc_id").select(
+        "lang", F.struct("doc_id", "number").alias("window"))
+    drawn = bounded_sample(windows, "lang", LANDMARKS_PER_LANGUAGE, "window").select("lang", "window.doc_id", "window.number")
+
+    @F.pandas_udf("binary")
+    def bits(whole: pd.Series, numbers: pd.Series) -> pd.Series:
+        return objects(landmark_bits(t, n) for t, n in zip(strings(whole), numbers.tolist()))
+
+    marks = sample.join(drawn, ["lang", "doc_id"]).select("lang", bits("text", "number").alias("bits"))
     collected = sorted((r["lang"], bytes(r["bits"])) for r in marks.collect())
     languages = sorted({lang for lang, _ in collected})
     if not languages:
@@ -188,7 +192,7 @@ def fit(docs: DataFrame) -> Model:
         for part in batches:
             part = part[[has_letter(t) for t in strings(part["text"])]]
             place = [languages.index(x) if x in languages else -1 for x in part["lang"]]
-            for index, sizes, k in window_kernels(part["text"].tolist(), unit, TRAIN_WINDOWS):
+            for index, sizes, k in window_kernels(part["text"].tolist(), unit):
                 if place[index] >= 0:
                     target = np.zeros(c)
                     target[place[index]] = 1

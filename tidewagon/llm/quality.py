@@ -5,7 +5,8 @@ eight bytes wide run over a chunk every four bytes; the greatest response of eac
 chunk. The mean and the maximum of these descriptions over all chunks give one probability.
 
 Cases: null and empty texts are one chunk of padding. Without labelled rows of both kinds the score is the
-share of good rows, smoothed. Ties and repeated rows score alike.
+share of good rows, smoothed. Ties and repeated rows score alike. In training an id with both labels is left out and one
+text of a repeated id is used.
 """
 
 from __future__ import annotations
@@ -21,8 +22,7 @@ from tidewagon.llm.common import held_out, labelled_texts, strings
 THRESHOLD = 0.5
 # Bounds of the training sample; scoring has none.
 TRAIN_PER_CLASS = 1500
-TRAIN_MAX_CHARS = 60_000
-TRAIN_CHUNKS = 8  # spread over the whole of a training text
+TRAIN_CHARS = 16_000_000  # of all texts of the sample together; each is taken whole
 CHUNK, STEP = 512, 448
 BLOCK, EMBED, FILTERS = 4, 8, 32
 SLAB = 512  # chunks per matrix product
@@ -111,51 +111,61 @@ def predict(net: dict, texts) -> np.ndarray:
     return np.concatenate(scores).astype(np.float64) if scores else np.zeros(0)
 
 
+def responses(net: dict, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Greatest response of every filter in every chunk and its place, in slabs."""
+    raw, place = [], []
+    for a in range(0, len(chunks), SLAB):
+        response = _respond(net, _blocks(net, chunks[a:a + SLAB]))
+        place.append(response.argmax(axis=1))
+        raw.append(np.take_along_axis(response, place[-1][:, None, :], 1)[:, 0])
+    return np.concatenate(raw), np.concatenate(place)
+
+
+def gradients(net: dict, pieces: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the weighted mean log loss of a batch of texts, given by all their chunks."""
+    chunks, sizes, width = np.concatenate(pieces), np.array([len(p) for p in pieces]), BLOCK * EMBED
+    owner = np.repeat(np.arange(len(pieces)), sizes)
+    raw, place = responses(net, chunks)
+    features = np.maximum(raw, 0)
+    p, document = _combine(net, features, np.cumsum(sizes) - sizes)
+    dz = ((p - y) * weight / len(pieces)).astype(np.float32)
+    top = features >= document[owner][:, FILTERS:]
+    # Chunks with the same greatest response share its gradient.
+    shared = np.add.reduceat(top.astype(np.float32), np.cumsum(sizes) - sizes)[owner]
+    df = dz[owner][:, None] * (net["out"][:FILTERS] / sizes[owner][:, None] + net["out"][FILTERS:] * top / shared)
+    df = (df * (raw > 0)).astype(np.float32)
+    filters, embed = np.zeros_like(net["filters"]), np.zeros_like(net["embed"])
+    for a in range(0, len(chunks), SLAB):
+        here, some, at = chunks[a:a + SLAB], df[a:a + SLAB], place[a:a + SLAB]
+        blocks, rows = _blocks(net, here), np.arange(len(here))[:, None]
+        window = np.concatenate([blocks[rows, at], blocks[rows, at + 1]], axis=2)  # chunk x filter x 2 width
+        filters += np.einsum("cfw,cf->wf", window, some, optimize=True)
+        used = here[rows[:, :, None], at[:, :, None] * BLOCK + np.arange(2 * BLOCK)].ravel()
+        back = (some[:, :, None] * net["filters"].T[None]).reshape(-1, EMBED)
+        embed += np.stack([np.bincount(used, weights=back[:, e], minlength=256) for e in range(EMBED)], 1)
+    return {"out": document.T @ dz, "bias": dz.sum(keepdims=True), "shift": df.sum(axis=0), "filters": filters, "embed": embed}
+
+
 def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.01, decay: float = 1e-4,
           seed: int = 7) -> dict[str, np.ndarray]:
+    """Adam over batches of 48 texts, each with all its chunks."""
     y = np.array(labels, dtype=np.float32)
     if len(y) == 0 or y.min() == y.max():
         return {"prior": np.array([(y.sum() + 1) / (len(y) + 2)])}
     rng = np.random.default_rng(seed)
     net = new_network(seed)
-    pieces = []
-    for text in texts:
-        chunks = chunks_of(text)
-        pick = np.unique(np.linspace(0, len(chunks) - 1, min(len(chunks), TRAIN_CHUNKS)).astype(int))
-        pieces.append(chunks[pick])
+    pieces = [chunks_of(text) for text in texts]
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
     m = {k: np.zeros_like(v) for k, v in net.items()}
     v2 = {k: np.zeros_like(v) for k, v in net.items()}
-    step, width = 0, BLOCK * EMBED
+    step = 0
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(order), 48):
             docs = order[at:at + 48]
-            chunks = np.concatenate([pieces[d] for d in docs])
-            starts = np.cumsum([0] + [len(pieces[d]) for d in docs[:-1]])
-            owner = np.repeat(np.arange(len(docs)), [len(pieces[d]) for d in docs])
-            blocks = _blocks(net, chunks)
-            response = _respond(net, blocks)
-            place = response.argmax(axis=1)  # chunk x filter
-            raw = np.take_along_axis(response, place[:, None, :], 1)[:, 0]
-            features = np.maximum(raw, 0)
-            p, document = _combine(net, features, starts)
-            dz = ((p - y[docs]) * weight[docs] / len(docs)).astype(np.float32)
-            sizes = np.bincount(owner)
-            top = features >= document[owner][:, FILTERS:] - 1e-9
-            df = dz[owner][:, None] * (net["out"][:FILTERS] / sizes[owner][:, None] + net["out"][FILTERS:] * top)
-            df = (df * (raw > 0)).astype(np.float32)
-            rows = np.arange(len(chunks))[:, None]
-            window = np.concatenate([blocks[rows, place], blocks[rows, place + 1]], axis=2)  # chunk x filter x 2 width
-            grad = {"out": document.T @ dz, "bias": dz.sum(keepdims=True), "shift": df.sum(axis=0),
-                    "filters": np.einsum("cfw,cf->wf", window, df, optimize=True)}
-            at_byte = place[:, :, None] * BLOCK + np.arange(2 * BLOCK)
-            used = chunks[rows[:, :, None], at_byte].ravel()
-            back = (df[:, :, None] * net["filters"].T[None]).reshape(-1, EMBED)
-            grad["embed"] = np.stack([np.bincount(used, weights=back[:, e], minlength=256) for e in range(EMBED)], 1)
             step += 1
             now = rate * (1 - 0.9 * epoch / epochs)
-            for k, g in grad.items():
+            for k, g in gradients(net, [pieces[d] for d in docs], y[docs], weight[docs]).items():
                 g = g.astype(np.float32) + decay * net[k]
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v2[k] = 0.999 * v2[k] + 0.001 * g * g
@@ -165,7 +175,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     """Train on a bounded sample of the labelled documents that are not held out."""
-    rows = labelled_texts(docs, labels, "quality", TRAIN_PER_CLASS, MODULUS, REST, TRAIN_MAX_CHARS).toPandas()
+    rows = labelled_texts(docs, labels, "quality", TRAIN_PER_CLASS, MODULUS, REST, TRAIN_CHARS).toPandas()
     rows = rows.sort_values(["doc_id", "text"])
     return train(rows["text"].tolist(), rows["_label"].tolist())
 
