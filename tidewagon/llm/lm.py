@@ -114,26 +114,28 @@ def _longest(pieces: Iterable[str]) -> str:
     return f"(?:{inner})" + ("?" if "" in pieces else "")
 
 
+class _Tokens(dict):
+    """Piece to its token, and a character without a piece to the upper and lower half of each of its bytes."""
+
+    def __missing__(self, character: str) -> bytes:
+        data = character.encode("utf-8", "surrogatepass")
+        return bytes(t for byte in data for t in (PIECES + (byte >> 4), PIECES + 16 + (byte & 15)))
+
+
 class Vocabulary(dict):
     """Word to its tokens, one byte each; remembers the words that it has met."""
 
     def __init__(self, pieces: list[str]):
         super().__init__()
-        self.ids = {p: bytes([i]) for i, p in enumerate(pieces)}
+        self.token_of = _Tokens({p: bytes([i]) for i, p in enumerate(pieces)}).__getitem__
         self.cut = re.compile(_longest(list(pieces)) + r"|[\s\S]" if pieces else r"[\s\S]").findall
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        self[word] = tokens = b"".join([self.ids.get(p) or self.halves(p) for p in self.cut(START + word)])
+        self[word] = tokens = b"".join(map(self.token_of, self.cut(START + word)))
         return tokens
 
-    @staticmethod
-    def halves(character: str) -> bytes:
-        """Upper and lower half of every byte of a character without a piece."""
-        data = character.encode("utf-8", "surrogatepass")
-        return bytes(t for byte in data for t in (PIECES + (byte >> 4), PIECES + 16 + (byte & 15)))
-
     def packed(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or "").lower().split()))
 
@@ -142,7 +144,7 @@ class Vocabulary(dict):
 
 
 def unpacked(tokens: bytes | None) -> np.ndarray:
-    return np.frombuffer(tokens or b"", dtype=np.uint8).astype(np.int32)
+    return np.frombuffer(tokens or b"", dtype=np.uint8)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -200,6 +202,7 @@ def tokenized(docs: DataFrame, pieces: list[str]) -> DataFrame:
     return written(docs.select("doc_id", packed("text").alias("tokens")), "lm-tokens")
 
 
+_PLACES = np.eye(CLASS, dtype=np.float32)
 _SHAPE = {"embed": (SIZE, WIDTH), "inner": (2 * SIDE * WIDTH, HIDDEN), "shift": (HIDDEN,),
           "outer": (HIDDEN, SIZE // CLASS), "bias": (SIZE // CLASS,),
           "within": (SIZE // CLASS, HIDDEN, CLASS), "offset": (SIZE // CLASS, CLASS)}
@@ -226,7 +229,7 @@ def from_bytes(data: bytes) -> dict[str, np.ndarray]:
 
 def contexts(tokens: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
     """For every token, or those at ``places``, the ``SIDE`` tokens before it and after it; the token itself is masked."""
-    edge = np.full(SIDE, EDGE, dtype=np.int32)
+    edge = np.full(SIDE, EDGE, dtype=np.uint8)
     padded = np.concatenate([edge, tokens, edge])
     offsets = [k for k in range(2 * SIDE + 1) if k != SIDE]
     if places is not None:
@@ -258,19 +261,29 @@ def _exponentials(scores: np.ndarray) -> np.ndarray:
     return scores @ np.ones((scores.shape[1], 1), dtype=np.float32)
 
 
+def _tables(net: dict) -> list[np.ndarray]:
+    """The first layer is a sum of one table of all tokens per place in the window."""
+    return [net["embed"] @ net["inner"][k * WIDTH:(k + 1) * WIDTH] for k in range(2 * SIDE)]
+
+
+def _hidden(net: dict, tables: list[np.ndarray], near: np.ndarray) -> np.ndarray:
+    """Hidden layer of a batch; ``near`` has one row per place in the window."""
+    hidden = tables[0].take(near[0], axis=0)
+    for table, tokens in zip(tables[1:], near[1:]):
+        hidden += table.take(tokens, axis=0)
+    hidden += net["shift"]
+    return np.maximum(hidden, 0, out=hidden)
+
+
 def log_probabilities(net: dict, tokens: np.ndarray, around: np.ndarray | None = None) -> np.ndarray:
     """log P(token | both sides) of every token, in slabs."""
     around = contexts(tokens) if around is None else around
-    # The first layer is a sum of one table per place in the window.
-    tables = [net["embed"] @ net["inner"][k * WIDTH:(k + 1) * WIDTH] for k in range(2 * SIDE)]
+    tables = _tables(net)
     out = np.empty(len(tokens), dtype=np.float64)
     for a in range(0, len(tokens), PRODUCT):
         order, runs = _by_class(tokens[a:a + PRODUCT])
-        near, target = around[a:a + PRODUCT][order], tokens[a:a + PRODUCT][order]
-        hidden = net["shift"] + tables[0][near[:, 0]]
-        for k in range(1, 2 * SIDE):
-            hidden += tables[k][near[:, k]]
-        np.maximum(hidden, 0, out=hidden)
+        near, target = around[a:a + PRODUCT].T.take(order, axis=1), tokens[a:a + PRODUCT].take(order)
+        hidden = _hidden(net, tables, near)
         rows, value = np.arange(len(target)), np.zeros(len(target))
         for scores, place in ((hidden @ net["outer"] + net["bias"], target // CLASS), (_within(net, hidden, runs), target % CLASS)):
             chosen = np.minimum(scores[rows, place], 60)
@@ -279,13 +292,25 @@ def log_probabilities(net: dict, tokens: np.ndarray, around: np.ndarray | None =
     return out
 
 
+def _sum_by_token(rows: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Sums of the rows of every token: a product with the place in the class, class by class."""
+    order, runs = _by_class(tokens)
+    rows, place = rows.take(order, axis=0), _PLACES.take(tokens.take(order) % CLASS, axis=0)
+    sums = np.zeros((SIZE, rows.shape[1]), dtype=rows.dtype)
+    for c, a, b in runs:
+        np.matmul(place[a:b].T, rows[a:b], out=sums[c * CLASS:(c + 1) * CLASS])
+    return sums
+
+
+def _total(rows: np.ndarray) -> np.ndarray:
+    return np.ones(len(rows), dtype=rows.dtype) @ rows
+
+
 def gradients(net: dict, tokens: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean negative log probability of the tokens."""
     order, runs = _by_class(tokens)
-    near, target = around[order], tokens[order]
-    x = net["embed"][near].reshape(len(near), -1)
-    raw = x @ net["inner"] + net["shift"]
-    hidden = np.maximum(raw, 0)
+    near, target = around.T.take(order, axis=1), tokens.take(order)
+    hidden = _hidden(net, _tables(net), near)
     rows = np.arange(len(target))
     both = []
     for scores, place in ((hidden @ net["outer"] + net["bias"], target // CLASS), (_within(net, hidden, runs), target % CLASS)):
@@ -297,12 +322,16 @@ def gradients(net: dict, tokens: np.ndarray, around: np.ndarray) -> dict[str, np
     within, offset = np.zeros_like(net["within"]), np.zeros_like(net["offset"])
     for c, a, b in runs:
         dh[a:b] += q[a:b] @ net["within"][c].T
-        within[c], offset[c] = hidden[a:b].T @ q[a:b], q[a:b].sum(axis=0)
-    dh *= raw > 0
-    dx = np.ascontiguousarray((dh @ net["inner"].T).reshape(-1, WIDTH).T)
-    places = near.ravel()
-    embed = np.stack([np.bincount(places, weights=w, minlength=SIZE) for w in dx], 1).astype(np.float32)
-    return {"embed": embed, "inner": x.T @ dh, "shift": dh.sum(axis=0), "outer": hidden.T @ p, "bias": p.sum(axis=0),
+        within[c] = hidden[a:b].T @ q[a:b]
+    offset[[c for c, _, _ in runs]] = np.add.reduceat(q, [a for _, a, _ in runs], axis=0)
+    dh *= hidden > 0
+    # Through the tables of the first layer, so that the products have a row per token of the vocabulary only.
+    embed, inner = np.zeros_like(net["embed"]), np.empty_like(net["inner"])
+    for k, at in enumerate(near):
+        part, sums = slice(k * WIDTH, (k + 1) * WIDTH), _sum_by_token(dh, at)
+        embed += sums @ net["inner"][part].T
+        inner[part] = net["embed"].T @ sums
+    return {"embed": embed, "inner": inner, "shift": _total(dh), "outer": hidden.T @ p, "bias": _total(p),
             "within": within, "offset": offset}
 
 
@@ -345,7 +374,7 @@ def one_round(held: DataFrame, start: bytes, number: int) -> bytes:
             if waiting:
                 tokens, near = np.concatenate(waiting), np.concatenate(around)
                 order = np.random.default_rng(seen).permutation(len(tokens))
-                learn(net, tokens[order], near[order], 0.1 / (1 + number), power)
+                learn(net, tokens.take(order), near.take(order, axis=0), 0.1 / (1 + number), power)
             size, waiting, around = 0, [], []
 
         for part in batches:
