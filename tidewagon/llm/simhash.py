@@ -308,8 +308,9 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE
     prints = _prints(docs, shingle)
     key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("t"))
     best = prints.groupBy("fp").agg(F.min(key).alias("k")).join(_components(prints, distance), "fp")
-    kept = best.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.i").alias("_kept_i"), F.col("k.t").alias("_kept_t"))
-    same = docs["doc_id"].eqNullSafe(F.col("_kept_i")) & (F.xxhash64(docs["text"]) == F.col("_kept_t"))
-    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return (docs.join(kept, same, "left_semi").withColumn("_place_in_copies", F.row_number().over(first))
-            .where(F.col("_place_in_copies") == 1).drop("_place_in_copies"))
+    kept = best.groupBy("root").agg(F.min("k").alias("k")).select(F.struct("k.i", "k.t").alias("_kept"))
+    # Both the join and the choice among rows alike go by one column, so whole texts move once.
+    keyed = docs.select(F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t")).alias("_kept"), F.struct("*").alias("_row"))
+    first = Window.partitionBy("_kept").orderBy(F.lit(0))
+    return (keyed.join(kept, "_kept", "left_semi").withColumn("_place", F.row_number().over(first))
+            .where(F.col("_place") == 1).select("_row.*"))
