@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 import tidewagon
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -62,6 +63,15 @@ def kept_in_worker(key: tuple, make: Callable[[], object]):
     return _KEPT[key]
 
 
+def reuse_memory() -> None:
+    """Let a task's arrays of some MB be made from memory it had before.
+
+    The C library gives the memory of large arrays back at every release, to fetch it page by page for the next one, up to
+    twice the size of the largest block it has seen released: so one of 16 MB, never touched, is released here.
+    """
+    np.empty(1 << 24, dtype=np.uint8)
+
+
 def strings(column) -> list[str | None]:
     """A pandas column of texts as Python strings, whatever it holds for null."""
     return [t if isinstance(t, str) else None for t in column.tolist()]

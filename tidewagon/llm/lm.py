@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewagon.llm.common import objects, strings, written
+from tidewagon.llm.common import objects, reuse_memory, strings, written
 
 PIECES = 223  # pieces of the tokenizer: characters and what is merged from them
 CHARACTERS = 128  # at most so many of them single characters
@@ -227,14 +227,16 @@ def from_bytes(data: bytes) -> dict[str, np.ndarray]:
     return net
 
 
-def contexts(tokens: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
-    """For every token, or those at ``places``, the ``SIDE`` tokens before it and after it; the token itself is masked."""
-    edge = np.full(SIDE, EDGE, dtype=np.uint8)
-    padded = np.concatenate([edge, tokens, edge])
-    offsets = [k for k in range(2 * SIDE + 1) if k != SIDE]
-    if places is not None:
-        return np.stack([padded[places + k] for k in offsets], axis=1)
-    return np.stack([padded[k:k + len(tokens)] for k in offsets], axis=1)
+_EDGES = np.full(SIDE, EDGE, dtype=np.uint8)
+
+
+def contexts(tokens: np.ndarray, places: slice | np.ndarray = slice(None)) -> np.ndarray:
+    """For every token, or those of ``places``, the ``SIDE`` tokens before it and after it; the token itself is masked."""
+    padded = np.concatenate([_EDGES, tokens, _EDGES])
+    around = np.empty((len(tokens[places]), 2 * SIDE), dtype=np.uint8)
+    for column, k in enumerate(k for k in range(2 * SIDE + 1) if k != SIDE):
+        around[:, column] = padded[k:k + len(tokens)][places]
+    return around
 
 
 def _by_class(tokens: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -365,6 +367,7 @@ def one_round(held: DataFrame, start: bytes, number: int) -> bytes:
     shared = held.sparkSession.sparkContext.broadcast(start)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reuse_memory()
         net = from_bytes(shared.value)
         power = no_power(net)
         seen, size, waiting, around = 0, 0, [], []
@@ -380,13 +383,13 @@ def one_round(held: DataFrame, start: bytes, number: int) -> bytes:
         for part in batches:
             for data in part["tokens"]:
                 tokens = unpacked(data)
-                picked = lessons(tokens, number)
+                places = lessons(tokens, number)
+                learned, near = tokens[places], contexts(tokens, places)
                 seen += len(tokens)
-                for a in range(0, len(picked), LEARNED):
-                    some = picked[a:a + LEARNED]
-                    waiting.append(tokens[some])
-                    around.append(contexts(tokens, some))
-                    size += len(some)
+                for a in range(0, len(learned), LEARNED):
+                    waiting.append(learned[a:a + LEARNED])
+                    around.append(near[a:a + LEARNED])
+                    size += len(waiting[-1])
                     if size >= LEARNED:
                         run()
         run()
@@ -423,6 +426,7 @@ def scored(weights: bytes, held: DataFrame) -> Column:
 
     @F.pandas_udf("n_tokens long, log_prob double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        reuse_memory()
         net = from_bytes(shared.value)
         for texts in batches:
             sizes, sums = [], []
