@@ -712,3 +712,21 @@ def test_texts_without_lexicon_terms_are_alike_only_if_equal():
     words = [f"w{i}" for i in range(30)]
     assert 0.3 < imatch.likeness(lexicon.of(" ".join(words)), lexicon.of(" ".join(words[:-1]))) < 1
     assert all(imatch.likeness(imatch.Lexicon([]).of(a), imatch.Lexicon([]).of(b)) < 1 for a, b in zip(texts, texts[1:]))
+
+
+@pytest.mark.parametrize("wide", [imatch.WIDE, 20])
+def test_fingerprints_of_documents_taken_together(monkeypatch, wide):
+    monkeypatch.setattr(imatch, "WIDE", wide)
+    texts = ["", "!", "a_b-c", prose(1, 40), prose(2, 900), "ΑΣ Σα İx", prose(1, 40), *(f"lone{i} words{i}" for i in range(9))]
+    ordered = sorted(imatch.terms(prose(1, 25)))
+    found = imatch.Lexicon(sorted(set(ordered))).fingerprints([(imatch.terms(t), t) for t in texts])
+    assert found.tolist() == [plain_numbers(t, sorted(set(ordered))) for t in texts]
+    assert imatch.Lexicon(ordered[:1]).fingerprints([]).shape == (0, imatch.SUBSETS + 1)
+
+
+def test_terms_are_the_matches_of_their_pattern():
+    rng = np.random.default_rng(6)
+    for letters in ("aZ9_ -.\t\n\x1c", "aé_ .̇²中 \x85İΣ", "".join(map(chr, range(0x250)))):
+        for size in range(60):
+            text = "".join(rng.choice(list(letters), size=size))
+            assert imatch.terms(text) == re.findall(r"[^\W_]+", text.lower())

@@ -27,7 +27,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -45,12 +45,21 @@ SUBSETS = len(SHARES) * DRAWS
 CHARS_PER_TASK = 16_000_000
 BUCKETS = 1 << 20  # of terms, for the first pass of the counts; a power of two
 WIDE = 4096  # hashes that are drawn for all subsets at once
+TOGETHER = 16  # documents whose fingerprints are taken together
 HELD_TERMS = 400_000
 _TERM = re.compile(r"[^\W_]+")
+_SPACED = "".join(c if c.isalnum() else " " for c in map(chr, range(128)))  # what stands for each of the ASCII characters
 
 
 def terms(text: str | None) -> list[str]:
-    return _TERM.findall((text or "").lower())
+    return _terms((text or "").lower())
+
+
+def _terms(low: str) -> list[str]:
+    """All matches of ``_TERM``; most texts need no search for them."""
+    if low.isascii():
+        return low.translate(_SPACED).split()
+    return [t for word in low.split() for t in ((word,) if word.isalnum() else _TERM.findall(word))]
 
 
 def _counted(docs: DataFrame, keep, schema: str) -> DataFrame:
@@ -127,7 +136,10 @@ def _hash(text: str) -> int:
 
 
 def _hashes(words) -> np.ndarray:
-    return np.fromiter(map(_hash, words), dtype=np.uint64)
+    try:
+        return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64)  # of the UTF-8 of a string
+    except UnicodeEncodeError:  # half of a surrogate pair
+        return np.fromiter(map(_hash, words), dtype=np.uint64)
 
 
 def drawn(hashes: np.ndarray, subsets: np.ndarray) -> np.ndarray:
@@ -139,11 +151,14 @@ def _number(digest: int) -> int:
     return digest % 65535 + 1  # 0 stands for a subset without terms
 
 
-def _digests(hashes: np.ndarray, chosen: np.ndarray) -> list[int]:
-    """One number for every column of ``chosen``, of the hashes it takes, in their order."""
-    data = hashes[np.nonzero(chosen.T)[1]].tobytes()
-    ends = (np.cumsum(chosen.sum(axis=0)) * 8).tolist()
-    return [_number(xxhash.xxh32_intdigest(data[a:b])) if b > a else 0 for a, b in zip([0, *ends], ends)]
+def _digests(out: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> None:
+    """Put one number at every place that hashes go to, of these hashes in their order."""
+    data = hashes.take(np.argsort(places, kind="stable")).tobytes()
+    sizes = np.bincount(places, minlength=out.size)
+    filled = np.flatnonzero(sizes)
+    ends = (np.cumsum(sizes.take(filled)) * 8).tolist()
+    digest = xxhash.xxh32_intdigest
+    out.reshape(-1)[filled] = [digest(data[a:b]) % 65535 + 1 for a, b in zip([0, *ends], ends)]
 
 
 class Lexicon(dict):
@@ -160,21 +175,40 @@ class Lexicon(dict):
 
     def fingerprint(self, words: list[str], text: str = "") -> np.ndarray:
         """A number per subset, and one for the whole."""
-        places = np.fromiter(map(self.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        known = np.unique(places)
-        known = known[1:] if len(known) and known[0] < 0 else known
-        out = np.array(_digests(self.hashes[known], self.drawn[known]), dtype=np.uint16)
-        left = np.flatnonzero(out == 0)
-        if len(left):
-            rest = {w for w, place in zip(words, places.tolist()) if place < 0}
-            hashes = np.unique(_hashes(rest))
-            step = len(left) if len(hashes) <= WIDE else 1  # a very long text takes its subsets one by one
-            for a in range(0, len(left), step) if len(hashes) else ():
-                some = left[a:a + step]
-                out[some] = _digests(hashes, drawn(hashes, some))
-        whole = "\n".join(sorted(set(words))) or text
-        last = _number(xxhash.xxh32_intdigest(whole.encode("utf-8", "surrogatepass"))) if whole else 0
-        return np.append(out, np.uint16(last))
+        return self.fingerprints([(words, text)])[0]
+
+    def fingerprints(self, documents: list[tuple[list[str], str]]) -> np.ndarray:
+        """A row for every (terms, text)."""
+        distinct = [set(words) for words, _ in documents]
+        sizes = list(map(len, distinct))
+        out = np.zeros((len(documents), SUBSETS), dtype=np.uint16)
+        places = np.fromiter(map(self.get, chain.from_iterable(distinct), repeat(-1)), dtype=np.int64, count=sum(sizes))
+        owner, outside = np.repeat(np.arange(len(documents)), sizes), places < 0
+        inside = ~outside
+        owners, known = np.divmod(np.sort(owner[inside] * len(self) + places[inside]), max(1, len(self)))
+        self._put(out, owners, self.hashes.take(known), lambda a, b: self.drawn.take(known[a:b], axis=0))
+        # The subsets that are left without a term take from the other terms.
+        hashes, owners = _hashes(list(compress(chain.from_iterable(distinct), outside.tolist()))), owner[outside]
+        order = np.lexsort((hashes, owners))
+        hashes, owners = hashes.take(order), owners.take(order)
+        once = np.append(True, (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1]))[:len(hashes)]
+        hashes, owners, left = hashes[once], owners[once], out == 0
+        self._put(out, owners, hashes, lambda a, b: drawn(hashes[a:b], np.arange(SUBSETS)) & left.take(owners[a:b], axis=0))
+        whole = ["\n".join(sorted(words)) or text for words, (_, text) in zip(distinct, documents)]
+        last = [_number(xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass"))) if w else 0 for w in whole]
+        return np.column_stack([out, np.array(last, dtype=np.uint16)])
+
+    @staticmethod
+    def _put(out: np.ndarray, owners: np.ndarray, hashes: np.ndarray, chosen) -> None:
+        """Numbers of the hashes that ``chosen`` takes of those from a to b, for the subsets of their owners."""
+        rows, places = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for a in range(0, len(hashes), WIDE):
+            row, subset = np.divmod(np.flatnonzero(chosen(a, a + WIDE)), SUBSETS)
+            rows.append(row + a)
+            places.append(owners.take(rows[-1]) * SUBSETS + subset)
+        places = np.concatenate(places)
+        narrow = places.astype(np.uint16) if out.size <= 1 << 16 else places  # sorted several times faster
+        _digests(out, hashes.take(np.concatenate(rows)), narrow)
 
 
 def as_text(fingerprint: np.ndarray) -> str:
@@ -183,8 +217,8 @@ def as_text(fingerprint: np.ndarray) -> str:
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Share of the subsets with terms in either document on which both agree; 1 for equal fingerprints."""
-    used = np.count_nonzero((a != 0) | (b != 0))
-    return np.count_nonzero((a == b) & (a != 0)) / used if used else 1.0
+    used = np.count_nonzero(a | b)
+    return np.count_nonzero(a[a == b]) / used if used else 1.0
 
 
 def edited(text: str, following: str) -> str:
@@ -204,7 +238,7 @@ class Document:
         if self.low is None:
             self.head, self.words = None, terms(text)
         else:
-            self.head = _TERM.findall(low[:self.cut])
+            self.head = _terms(low[:self.cut])
             self.words = _glued(self.head, low[:self.cut], low[self.cut:])
 
     def edited_words(self, following: "Document") -> list[str]:
@@ -215,7 +249,7 @@ class Document:
 
 def _glued(head: list[str], left: str, right: str) -> list[str]:
     """Terms of ``left + right``, given those of ``left``."""
-    tail = _TERM.findall(right)
+    tail = _terms(right)
     if left and right and left[-1].isalnum() and right[0].isalnum():
         return head[:-1] + [head[-1] + tail[0]] + tail[1:]
     return head + tail
@@ -232,12 +266,20 @@ def _lexicon_of(packed: bytes) -> Lexicon:
         packed.decode("utf-8", "surrogatepass").split("\n") if packed else []))
 
 
-def _compared(lexicon_here: Lexicon, doc: str | None, mine: tuple, following: tuple) -> tuple:
-    """The result row of a document; both are (Document, fingerprint)."""
-    changed = edited(mine[0].text, following[0].text)
-    theirs = mine[1] if changed == mine[0].text else lexicon_here.fingerprint(mine[0].edited_words(following[0]), changed)
-    return (doc, len(mine[0].text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), as_text(mine[1]),
-            as_text(theirs), likeness(mine[1], theirs), likeness(mine[1], following[1]))
+def _compared(lexicon_here: Lexicon, rows: list[tuple]) -> list[tuple]:
+    """The result rows of all but the last of (id, Document, fingerprint), each followed by the next one."""
+    pairs = list(zip(rows, rows[1:]))
+    changed = [edited(a.text, b.text) for (_, a, _), (_, b, _) in pairs]
+    theirs = lexicon_here.fingerprints([(a.edited_words(b), text) for ((_, a, _), (_, b, _)), text in zip(pairs, changed)])
+    return [(doc, len(a.text), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), as_text(mine), as_text(their),
+             likeness(mine, their), likeness(mine, following))
+            for ((doc, a, mine), (_, _, following)), text, their in zip(pairs, changed, theirs)]
+
+
+def _read(lexicon_here: Lexicon, ids: list, texts: list[str]) -> list[tuple]:
+    """(id, Document, fingerprint) of every text."""
+    documents = [Document(text) for text in texts]
+    return list(zip(ids, documents, lexicon_here.fingerprints([(d.words, d.text) for d in documents])))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -258,25 +300,25 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         before = None
         for part in batches:
             out = []
-            for doc, text in zip(strings(part["id"]), strings(part["text"])):
-                document = Document(text)
-                mine = (document, lexicon_here.fingerprint(document.words, text))
+            ids, texts = strings(part["id"]), strings(part["text"])
+            for a in range(0, len(ids), TOGETHER):
+                rows = _read(lexicon_here, ids[a:a + TOGETHER], texts[a:a + TOGETHER])
                 if before is None:
-                    out.append((None, *[None] * len(_NAMES), "first", number, text))
+                    out.append((None, *[None] * len(_NAMES), "first", number, texts[a]))
                 else:
-                    out.append((*_compared(lexicon_here, before[0], before[1], mine), None, None, None))
-                before = (doc, mine)
+                    rows = [before, *rows]
+                out += [(*row, None, None, None) for row in _compared(lexicon_here, rows)]
+                before = rows[-1]
             yield _frame(out)
         if before is not None:
-            yield _frame([(before[0], *[None] * len(_NAMES), "last", number, before[1][0].text)])
+            yield _frame([(before[0], *[None] * len(_NAMES), "last", number, before[1].text)])
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon_here = _lexicon_of(words.value)
         for part in batches:
             out = []
             for doc, text, following in zip(strings(part["id"]), strings(part["text"]), strings(part["following"])):
-                both = [(d, lexicon_here.fingerprint(d.words, d.text)) for d in (Document(text), Document(following))]
-                out.append(_compared(lexicon_here, doc, *both))
+                out += _compared(lexicon_here, _read(lexicon_here, [doc, None], [text, following]))
             yield pd.DataFrame({name: objects(row[i] for row in out) for i, name in enumerate(["id", *_NAMES])})
 
     # Ids travel as text, which keeps nulls and all digits. Rows alike in id and text are told apart by their place.
