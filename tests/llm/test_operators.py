@@ -730,3 +730,11 @@ def test_terms_are_the_matches_of_their_pattern():
         for size in range(60):
             text = "".join(rng.choice(list(letters), size=size))
             assert imatch.terms(text) == re.findall(r"[^\W_]+", text.lower())
+
+
+def test_long_texts_are_taken_alone(monkeypatch):
+    monkeypatch.setattr(imatch, "CHARS_TOGETHER", 100)
+    monkeypatch.setattr(imatch, "TOGETHER", 4)
+    sizes = [0, 10, 200, 99, 0, 1, 5, 5, 5, 5, 5, 500]
+    assert list(imatch._runs(["x" * n for n in sizes])) == [(0, 3), (3, 6), (6, 10), (10, 12)]
+    assert list(imatch._runs([])) == [] and list(imatch._runs([""])) == [(0, 1)]

@@ -46,6 +46,7 @@ CHARS_PER_TASK = 16_000_000
 BUCKETS = 1 << 20  # of terms, for the first pass of the counts; a power of two
 WIDE = 4096  # hashes that are drawn for all subsets at once
 TOGETHER = 16  # documents whose fingerprints are taken together
+CHARS_TOGETHER = 1_000_000  # fewer documents, if they have so many characters
 HELD_TERMS = 400_000
 _TERM = re.compile(r"[^\W_]+")
 _SPACED = "".join(c if c.isalnum() else " " for c in map(chr, range(128)))  # what stands for each of the ASCII characters
@@ -276,6 +277,17 @@ def _compared(lexicon_here: Lexicon, rows: list[tuple]) -> list[tuple]:
             for ((doc, a, mine), (_, _, following)), text, their in zip(pairs, changed, theirs)]
 
 
+def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """From and to of texts that are taken together; a run ends with the text that brings it to ``CHARS_TOGETHER``, so few long
+    ones are held at once."""
+    a = chars = 0
+    for b, text in enumerate(texts, 1):
+        chars += len(text)
+        if b - a == TOGETHER or chars >= CHARS_TOGETHER or b == len(texts):
+            yield a, b
+            a, chars = b, 0
+
+
 def _read(lexicon_here: Lexicon, ids: list, texts: list[str]) -> list[tuple]:
     """(id, Document, fingerprint) of every text."""
     documents = [Document(text) for text in texts]
@@ -301,8 +313,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for part in batches:
             out = []
             ids, texts = strings(part["id"]), strings(part["text"])
-            for a in range(0, len(ids), TOGETHER):
-                rows = _read(lexicon_here, ids[a:a + TOGETHER], texts[a:a + TOGETHER])
+            for a, b in _runs(texts):
+                rows = _read(lexicon_here, ids[a:b], texts[a:b])
                 if before is None:
                     out.append((None, *[None] * len(_NAMES), "first", number, texts[a]))
                 else:
