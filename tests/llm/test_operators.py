@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -439,6 +441,65 @@ def test_no_word_loses_its_spelling(spark):
     assert found[100] != found[101]
 
 
+def plain_tokens(pieces: list[str], text: str | None) -> bytes:
+    """The longest piece at every place, word by word."""
+    out, number = [], {p: i for i, p in enumerate(pieces)}
+    for word in (text or "").lower().split():
+        word = lm.START + word
+        while word:
+            size = max((len(p) for p in pieces if word.startswith(p)), default=0)
+            if size:
+                out.append(number[word[:size]])
+            else:
+                for byte in word[0].encode():
+                    out += [lm.PIECES + (byte >> 4), lm.PIECES + 16 + (byte & 15)]
+            word = word[size or 1:]
+    return bytes(out)
+
+
+def odd_texts(seed: int) -> list[str | None]:
+    rng = random.Random(seed)
+    letters = "abcdefth eE\u03a3\u03c3\u0130\u00e9\u4e2d\U0001f600\x00\x1c\x85\xa0\u2003\u3000\n'."
+    long = "".join(rng.choice("abcdefgh") for _ in range(900))
+    return [None, "", " \n\t ", "the", " the  hen\x1f", long, long + " then " + long, "\u0391\u03a3 \u0391\u03a3"] + [
+        "".join(rng.choice(letters) for _ in range(rng.randrange(120))) for _ in range(40)]
+
+
+def test_texts_cut_together_are_cut_into_the_longest_pieces(monkeypatch):
+    pieces = sorted(lm.merged_pieces({"the": 50, "then": 9, "th\u00e9": 3, "abcdef": 4, "feed": 3, "bcd": 2}))
+    for stretch, few in ((1 << 18, 32), (50, 0), (7, 2)):
+        monkeypatch.setattr(lm, "STRETCH", stretch)
+        monkeypatch.setattr(lm, "FEW", few)
+        for voc in (pieces, [], ["ab", "abcd", "c"]):
+            texts = odd_texts(stretch)
+            assert lm.Vocabulary(voc).packed(texts) == [plain_tokens(voc, t) for t in texts]
+    assert lm.Vocabulary(pieces).packed([]) == []
+
+
+def test_cutting_takes_less_than_a_pattern_word_by_word():
+    rng = random.Random(6)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(150_000)]
+    known = lm.Vocabulary(sorted(lm.merged_pieces(Counter(words[:5000]))))
+    texts = [" ".join(words[a:a + 500]) for a in range(0, len(words), 500)]
+    began = time.process_time()
+    plain = [known.cut(lm.START + w) for text in texts for w in text.lower().split()]
+    between = time.process_time()
+    packed = known.packed(texts)
+    assert time.process_time() - between < (between - began) * 0.6
+    assert sum(map(len, packed)) == sum(map(len, plain))
+
+
+def test_words_are_counted_as_python_parts_them(spark, monkeypatch):
+    ship(spark)
+    texts = odd_texts(3) + ["The the THE\x85then"] * 3
+    plain = Counter(w for t in texts for w in (t or "").lower().split())
+    held = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    assert {r.word: r.n for r in lm.word_counts(held).collect()} == plain
+    monkeypatch.setattr(lm, "STRETCH", 5)
+    found = Counter(w for words in lm.words_of(texts) for w in words.to_pylist())
+    assert {w: n for w, n in found.items() if w} == plain
+
+
 def test_every_token_is_learned_from():
     for size in (0, 1, 2, 16, 31, 1000):
         tokens = np.random.default_rng(size).integers(0, lm.EDGE, size=size).astype(np.int32)

@@ -23,9 +23,12 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -46,8 +49,9 @@ BATCH = 4096
 SLAB = 16_384  # tokens that are scored together
 LEARNED = 65_536  # tokens that are put in random order and learned from together
 PRODUCT = 8192  # tokens per matrix product
-HELD_WORDS = 400_000
-KNOWN_WORDS = 200_000  # words whose tokens a worker remembers before it starts anew
+HELD_BYTES = 1 << 25  # words that a task counts together
+STRETCH = 1 << 18  # characters that are cut together
+FEW = 128  # words that are cut one after the other
 TREE = 64
 
 
@@ -114,53 +118,194 @@ def _longest(pieces: Iterable[str]) -> str:
     return f"(?:{inner})" + ("?" if "" in pieces else "")
 
 
-class _Tokens(dict):
-    """Piece to its token, and a character without a piece to the upper and lower half of each of its bytes."""
+def _white() -> np.ndarray:
+    """Whether a code point parts words, as ``str.split`` has it."""
+    white = np.zeros(0x110000, dtype=bool)
+    # Beyond the plane of two bytes there is no white space.
+    white[[c for c in range(1 << 16) if chr(c).isspace()]] = True
+    return white
 
-    def __missing__(self, character: str) -> bytes:
-        data = character.encode("utf-8", "surrogatepass")
-        return bytes(t for byte in data for t in (PIECES + (byte >> 4), PIECES + 16 + (byte & 15)))
 
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
-class Vocabulary(dict):
-    """Word to its tokens, one byte each; remembers the words that it has met."""
+
+def _characters(codes: np.ndarray) -> str:
+    return codes.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+_PARTED = re.compile(r"\s").search
+
+
+def _stretches(text: str | None) -> Iterator[str]:
+    """A text in lower case, parted where words end if it is long."""
+    text, a = (text or "").lower(), 0
+    while len(text) - a > STRETCH:
+        end = _PARTED(text, a + STRETCH)
+        b = end.start() if end else len(text)
+        yield text[a:b]
+        a = b
+    if a < len(text):
+        yield text[a:]
+
+
+class Vocabulary:
+    """Cuts texts into tokens, one byte each.
+
+    The words of many texts are cut side by side: a step walks the tree of the pieces from a place in every word that has not
+    come to its end. The last few words, which are long, are cut by a pattern, one after the other.
+    """
+
+    WHITE = 255  # the letter of white space; 0 is that of characters in no piece
+    OTHER, NONE = 254, 255  # at a character without a token, and inside a token or between words
 
     def __init__(self, pieces: list[str]):
-        super().__init__()
-        self.token_of = _Tokens({p: bytes([i]) for i, p in enumerate(pieces)}).__getitem__
+        self.token_of = {p: i for i, p in enumerate(pieces)}
         self.cut = re.compile(_longest(list(pieces)) + r"|[\s\S]" if pieces else r"[\s\S]").findall
+        number = {c: n for n, c in enumerate(sorted({c for p in pieces for c in p}), 1)}
+        self.start = number.get(START, 0)
+        self.letter = np.zeros(0x110000, dtype=np.uint8)
+        self.letter[[ord(c) for c in number]] = list(number.values())
+        self.letter[_white()] = self.WHITE
+        # Node 0 has no child and no token, node 1 is the root.
+        below, tokens = [{}, {}], [self.OTHER, self.OTHER]
+        for piece, token in self.token_of.items():
+            node = 1
+            for c in piece:
+                if number[c] not in below[node]:
+                    below[node][number[c]] = len(below)
+                    below.append({})
+                    tokens.append(self.OTHER)
+                node = below[node][number[c]]
+            tokens[node] = token
+        self.token = np.array(tokens, dtype=np.uint8)
+        self.parent = np.array([bool(b) for b in below])
+        self.child = np.zeros((len(below), 256), dtype=np.int64)
+        for node, children in enumerate(below):
+            self.child[node, list(children)] = list(children.values())
+        self.child = self.child.ravel()
+
+    def packed(self, texts: Iterable[str | None]) -> list[bytes]:
+        """The tokens of every text."""
+        found: list[list[bytes]] = []
+        held, of, size = [], [], 0
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = tokens = b"".join(map(self.token_of, self.cut(START + word)))
-        return tokens
-
-    def packed(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").lower().split()))
+        def run():
+            nonlocal held, of, size
+            for text, tokens in zip(of, self._together(held) if held else ()):
+                found[text].append(tokens)
+            held, of, size = [], [], 0
+
+        for at, text in enumerate(texts):
+            found.append([])
+            for stretch in _stretches(text):
+                held.append(stretch)
+                of.append(at)
+                size += len(stretch)
+                if size >= STRETCH:
+                    run()
+        run()
+        return [b"".join(f) for f in found]
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """The tokens of texts in lower case, which are put together with a space before each and one at the end."""
+        joined = START + START.join(texts) + START
+        codes = _code_points(joined)
+        letters = self.letter.take(codes)
+        white = letters == self.WHITE
+        at = np.flatnonzero(white[:-1] & ~white[1:])  # where words start, with the last white space before them
+        letters[at] = self.start
+        tokens = np.full(len(codes), self.NONE, dtype=np.uint8)
+        while len(at):
+            tokens[at], ends = self._step(letters, at)
+            at = ends[~white.take(ends)]
+            if len(at) < FEW:
+                break
+        for a in at.tolist():
+            rest = self.cut(joined[a:_PARTED(joined, a).start()])
+            tokens[list(accumulate(map(len, rest[:-1]), initial=a))] = [self.token_of.get(p, self.OTHER) for p in rest]
+        places = np.flatnonzero(tokens != self.NONE)
+        out = tokens.take(places)
+        sizes = np.array([0, *map(len, texts)], dtype=np.int64) + 1
+        ends = np.searchsorted(places, np.cumsum(sizes) - 1)
+        others = np.flatnonzero(out == self.OTHER)
+        if len(others):
+            points = codes.take(places.take(others))
+            points[white.take(places.take(others))] = ord(START)
+            sizes = np.ones(len(out), dtype=np.int64)
+            sizes[others] = 2 * (1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))
+            ends = np.concatenate([[0], np.cumsum(sizes)])[ends]
+            out = np.repeat(out, sizes)
+            data = np.frombuffer(_characters(points).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+            out[out == self.OTHER] = np.stack([PIECES + (data >> 4), PIECES + 16 + (data & 15)], axis=1).ravel()
+        data, ends = out.tobytes(), ends.tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _step(self, letters: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The token of the longest piece at every place, and where it ends; one character if there is no piece."""
+        nodes = self.child[256:512].take(letters.take(at))
+        found, ends = self.token.take(nodes), at + 1
+        live = np.flatnonzero(self.parent.take(nodes))
+        nodes, after = nodes.take(live), at.take(live) + 1
+        while len(live):
+            nodes = self.child.take((nodes << 8) + letters.take(after))
+            after += 1
+            tokens = self.token.take(nodes)
+            whole = np.flatnonzero(tokens != self.OTHER)
+            found[live.take(whole)] = tokens.take(whole)
+            ends[live.take(whole)] = after.take(whole)
+            on = np.flatnonzero(self.parent.take(nodes))
+            live, nodes, after = live.take(on), nodes.take(on), after.take(on)
+        return found, ends
 
     def tokens(self, text: str | None) -> np.ndarray:
-        return unpacked(self.packed(text))
+        return unpacked(self.packed([text])[0])
 
 
 def unpacked(tokens: bytes | None) -> np.ndarray:
     return np.frombuffer(tokens or b"", dtype=np.uint8)
 
 
+def words_of(texts: Iterable[str | None]) -> Iterator[pa.Array]:
+    """The words of all texts in lower case, many texts together; some are empty."""
+    white = _white()
+    held, size = [], 0
+
+    def parted() -> pa.Array:
+        codes = _code_points(START.join(held)).copy()
+        codes[white.take(codes)] = ord(START)
+        return pc.split_pattern(pa.array([_characters(codes)], pa.string()), START).values
+
+    for text in texts:
+        for stretch in _stretches(text):
+            held.append(stretch)
+            size += len(stretch)
+            if size >= STRETCH:
+                yield parted()
+                held, size = [], 0
+    if held:
+        yield parted()
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all documents; tasks add up their own counts first."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
-        for part in batches:
-            for text in strings(part["text"]):
-                held.update((text or "").lower().split())
-                if len(held) > HELD_WORDS:
-                    yield pd.DataFrame({"word": objects(held), "n": list(held.values())})
-                    held = Counter()
-        yield pd.DataFrame({"word": objects(held), "n": list(held.values())})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            words, n = pa.chunked_array(held, pa.string()).value_counts().flatten()
+            return pa.RecordBatch.from_arrays([words, n], ["word", "n"]).filter(pc.not_equal(words, ""))
+
+        for words in words_of(t for batch in batches for t in batch.column("text").to_pylist()):
+            held.append(words)
+            size += words.nbytes
+            if size >= HELD_BYTES:
+                yield counted()
+                held, size = [], 0
+        yield counted()
 
-    return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(counts: DataFrame, words: int) -> dict[str, int]:
@@ -197,12 +342,13 @@ def tokenized(docs: DataFrame, pieces: list[str]) -> DataFrame:
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = Vocabulary(shared.value)
         for texts in batches:
-            yield objects(known.packed(t) for t in strings(texts))
+            yield objects(known.packed(strings(texts)))
 
     return written(docs.select("doc_id", packed("text").alias("tokens")), "lm-tokens")
 
 
 _PLACES = np.eye(CLASS, dtype=np.float32)
+_ZEROS = np.zeros((PRODUCT, HIDDEN), dtype=np.float32)
 _SHAPE = {"embed": (SIZE, WIDTH), "inner": (2 * SIDE * WIDTH, HIDDEN), "shift": (HIDDEN,),
           "outer": (HIDDEN, SIZE // CLASS), "bias": (SIZE // CLASS,),
           "within": (SIZE // CLASS, HIDDEN, CLASS), "offset": (SIZE // CLASS, CLASS)}
@@ -247,18 +393,26 @@ def _by_class(tokens: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]
     return np.argsort(classes, kind="stable"), runs
 
 
-def _within(net: dict, hidden: np.ndarray, runs: list) -> np.ndarray:
+def _within(net: dict, hidden: np.ndarray, classes: np.ndarray, runs: list) -> np.ndarray:
     """Scores of the tokens of the own class, for rows in order of their class."""
     out = np.empty((len(hidden), CLASS), dtype=np.float32)
     for c, a, b in runs:
         np.matmul(hidden[a:b], net["within"][c], out=out[a:b])
-        out[a:b] += net["offset"][c]
+    out += net["offset"].take(classes, axis=0)
     return out
 
 
+def _both(net: dict, hidden: np.ndarray, target: np.ndarray, runs: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Scores of the classes and within the class, each with the flat places of the targets."""
+    classes, rows = target // CLASS, np.arange(0, len(target) * CLASS, CLASS)
+    yield hidden @ net["outer"] + net["bias"], rows + classes
+    yield _within(net, hidden, classes, runs), rows + target % CLASS
+
+
 def _exponentials(scores: np.ndarray) -> np.ndarray:
     """exp of the scores in place, and their sums as a column; scores are held below what float32 can take."""
-    np.minimum(scores, 60, out=scores)
+    if not scores.max(initial=0) <= 60:
+        np.minimum(scores, 60, out=scores)
     np.exp(scores, out=scores)
     return scores @ np.ones((scores.shape[1], 1), dtype=np.float32)
 
@@ -274,7 +428,10 @@ def _hidden(net: dict, tables: list[np.ndarray], near: np.ndarray) -> np.ndarray
     for table, tokens in zip(tables[1:], near[1:]):
         hidden += table.take(tokens, axis=0)
     hidden += net["shift"]
-    return np.maximum(hidden, 0, out=hidden)
+    for a in range(0, len(hidden), PRODUCT):
+        part = hidden[a:a + PRODUCT]
+        np.maximum(part, _ZEROS[:len(part)], out=part)  # two arrays: several times as fast as with a number
+    return hidden
 
 
 def log_probabilities(net: dict, tokens: np.ndarray, around: np.ndarray | None = None) -> np.ndarray:
@@ -286,9 +443,9 @@ def log_probabilities(net: dict, tokens: np.ndarray, around: np.ndarray | None =
         order, runs = _by_class(tokens[a:a + PRODUCT])
         near, target = around[a:a + PRODUCT].T.take(order, axis=1), tokens[a:a + PRODUCT].take(order)
         hidden = _hidden(net, tables, near)
-        rows, value = np.arange(len(target)), np.zeros(len(target))
-        for scores, place in ((hidden @ net["outer"] + net["bias"], target // CLASS), (_within(net, hidden, runs), target % CLASS)):
-            chosen = np.minimum(scores[rows, place], 60)
+        value = np.zeros(len(target))
+        for scores, places in _both(net, hidden, target, runs):
+            chosen = np.minimum(scores.take(places), 60)
             value += chosen - np.log(_exponentials(scores)[:, 0])
         out[a + order] = value
     return out
@@ -313,18 +470,18 @@ def gradients(net: dict, tokens: np.ndarray, around: np.ndarray) -> dict[str, np
     order, runs = _by_class(tokens)
     near, target = around.T.take(order, axis=1), tokens.take(order)
     hidden = _hidden(net, _tables(net), near)
-    rows = np.arange(len(target))
     both = []
-    for scores, place in ((hidden @ net["outer"] + net["bias"], target // CLASS), (_within(net, hidden, runs), target % CLASS)):
+    for scores, places in _both(net, hidden, target, runs):
         scores *= 1 / (len(target) * _exponentials(scores))
-        scores[rows, place] -= 1 / len(target)
+        scores.reshape(-1)[places] -= 1 / len(target)
         both.append(scores)
     p, q = both
     dh = p @ net["outer"].T
-    within, offset = np.zeros_like(net["within"]), np.zeros_like(net["offset"])
+    within, offset, back = np.zeros_like(net["within"]), np.zeros_like(net["offset"]), np.empty_like(dh)
     for c, a, b in runs:
-        dh[a:b] += q[a:b] @ net["within"][c].T
+        np.matmul(q[a:b], net["within"][c].T, out=back[a:b])
         within[c] = hidden[a:b].T @ q[a:b]
+    dh += back
     offset[[c for c, _, _ in runs]] = np.add.reduceat(q, [a for _, a, _ in runs], axis=0)
     dh *= hidden > 0
     # Through the tables of the first layer, so that the products have a row per token of the vocabulary only.
